@@ -4,17 +4,32 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, simhash_dedup
+from . import exact_dedup, mixing, packing, simhash_dedup
 from .common import documents
 
 
+def tokenizer_path() -> str:
+    """Where the public tokenizers' byte-level BPE file is; it is never copied."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir)).drop("uid")
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), tokenizer_path())
+
+
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir)).drop("hash", "spans")
+
+
 def op10_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op3_exact_dedup, op10_simhash_pigeonring)}
+QUERIES = {f.__name__: f for f in (op3_exact_dedup, op4_best_fit_packing, op5_source_mixing, op10_simhash_pigeonring)}
 ORACLE_SQL = {"op3_exact_dedup": exact_dedup.SQL}
