@@ -18,6 +18,7 @@ LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Rows of an Arrow batch given back to Spark hold at most about so many bytes.
 BATCH_BYTES = 8 << 20
 
+_stored: list[tuple[SparkSession, str]] = []
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -43,6 +44,15 @@ def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Like written(), but release() leaves the table; the process deletes it at its end."""
+    spark = df.sparkSession
+    path = f"{scratch_dir(spark)}/lumatile-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _stored.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def release() -> None:
     """Delete all tables of written(). Call it once the results that read them are stored."""
     while _written:
@@ -72,6 +82,8 @@ def _delete(spark: SparkSession, path: str) -> None:
 def _at_exit() -> None:
     try:
         release()
+        while _stored:
+            _delete(*_stored.pop())
     except Exception:  # the JVM may be gone by now; the folder's owner clears it then
         _written.clear()
 

@@ -9,6 +9,7 @@ seeded place on as many blocks in a row as remain.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +24,8 @@ from .common import id_and_text, written
 WEIGHTS, SHARE, REPEATS = (5, 2, 1), 1.5, 2
 #: Words of a block and, about, of a shard.
 BLOCK, SHARD = 64, 1_000_000
+#: Columns that a shard has before those of its rows.
+OWN = 6
 #: Sources are a mixture's settings and live on the driver; more of them than this is an error, not a mixture.
 MOST_SOURCES = 100_000
 
@@ -67,12 +70,13 @@ def apportion(shares: np.ndarray, blocks: int, most: np.ndarray) -> np.ndarray:
     return quota
 
 
-def _shard(target_of: dict, size_of: dict, seed: int, block: int, repeats: float):
+def _chooser(target_of: dict, size_of: dict, seed: int, block: int, repeats: float):
+    """A function of a shard's table: its rows' order, source ranks, sizes, words taken and spans (epoch, first, last)."""
     order = {s: i for i, s in enumerate(sorted(target_of, key=lambda s: (s is None, s or "")))}
 
     names = list(order)
 
-    def run(group: pa.Table) -> pa.Table:
+    def choose(group: pa.Table) -> tuple:
         rank = np.array([order[x] for x in group["source"].to_pylist()], np.int64)
         hashes, place = group["hash"].to_numpy(), group["place"].to_numpy()
         by = np.lexsort((hashes, place, rank))  # whatever the order of the rows was
@@ -102,14 +106,83 @@ def _shard(target_of: dict, size_of: dict, seed: int, block: int, repeats: float
                 for i in np.flatnonzero(y > x):
                     taken[a + i] += y[i] - x[i]
                     spans[a + i].append({"epoch": epoch, "first": int(x[i]), "last": int(y[i])})
-        kind = pa.list_(pa.struct([("epoch", pa.int32()), ("first", pa.int64()), ("last", pa.int64())]))
-        return pa.table({"doc_id": group["doc_id"].take(pa.array(by)), "hash": hashes, "rank": pa.array(rank, pa.int32()), "size": size, "taken": taken, "spans": pa.array(spans, kind)})
+        return by, rank, size, taken, spans
+
+    return choose
+
+
+def _shard(choose):
+    kind = pa.list_(pa.struct([("epoch", pa.int32()), ("first", pa.int64()), ("last", pa.int64())]))
+
+    def run(group: pa.Table) -> pa.Table:
+        by, rank, size, taken, spans = choose(group)
+        return pa.table({"doc_id": group["doc_id"].take(pa.array(by)), "rank": pa.array(rank, pa.int32()), "size": size, "taken": taken, "spans": pa.array(spans, kind)})
+
+    return run
+
+
+def _cut(text: str, size: int, spans: list[tuple[int, int]]) -> str:
+    """The words of the spans, with what stands between them in the text; spans are joined by a line break."""
+    if spans == [(0, size)]:
+        return text
+    raw = text.encode()
+    words = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw)]
+    return b"\n".join(raw[words[i][0] : words[j - 1][1]] for i, j in spans).decode()
+
+
+def _taken_rows(choose, names: list[str], schema: pa.Schema):
+    text_at = names.index("text")
+
+    def run(group: pa.Table) -> pa.Table:
+        # The shard's own columns come first; the row's columns follow by position, whatever their names are.
+        by, _, size, _, spans = choose(group)
+        rows, texts = [], []
+        texts_in = group.column(OWN + text_at)
+        for i, n, found in zip(by, size, spans, strict=True):
+            for epoch in sorted({s["epoch"] for s in found}):
+                rows.append(i)
+                texts.append(_cut(texts_in[int(i)].as_py(), int(n), sorted((s["first"], s["last"]) for s in found if s["epoch"] == epoch)))
+        columns = [group.column(OWN + k).take(pa.array(rows, pa.int64())) for k in range(len(names))]
+        columns[text_at] = pa.chunked_array([pa.array(texts, pa.string())])
+        return pa.table([c.cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    return run
+
+
+def _measured(names: list[str]):
+    text_at = names.index("text")
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts:
+            texts = [(t or "").encode() for t in b.column(text_at).to_pylist()]
+            n = np.fromiter((len(t.split()) for t in texts), np.int64, len(texts))
+            h = np.fromiter((xxhash.xxh3_64_intdigest(t) >> 1 for t in texts), np.int64, len(texts))
+            ids, source = b.column(names.index("doc_id")).cast(pa.int64()), b.column(names.index("source")).cast(pa.string())
+            own = [ids, source, pa.array(n), pa.array(h)]
+            yield pa.RecordBatch.from_arrays([*own, *b.columns], names=[f"c{i}" for i in range(4 + len(names))])
 
     return run
 
 
+def _sizes_of(docs: DataFrame) -> DataFrame:
+    rows = id_and_text(docs, "source").select("doc_id", "text", F.col("source").cast("string").alias("source"))
+    return rows.mapInArrow(_sizes, "doc_id long, source string, size long, hash long")
+
+
+def _targets_of(sizes: DataFrame, weights: tuple, share: float, repeats: float) -> tuple[dict, dict]:
+    found = sizes.groupBy("source").agg(F.sum("size").alias("size")).limit(MOST_SOURCES + 1).collect()
+    if len(found) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources")
+    size_of = {r["source"]: r["size"] for r in found}
+    return size_of, targets(size_of, weights, share, repeats)
+
+
+def _place(seed: int):
+    return F.xxhash64(F.lit(seed), "doc_id", "hash")
+
+
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, repeats: int = REPEATS, block: int = BLOCK, shard: int = SHARD, seed: int = 0) -> DataFrame:
-    """One row per row of docs (columns doc_id, text, source): doc_id, source, size, source_size, target, taken, hash, spans.
+    """One row per row of docs (columns doc_id, text, source): doc_id, source, size, source_size, target, taken, spans.
 
     size: words of the text (null: 0). target: the source's, in words; a null source is a source
     of its own, last in order. taken: words that the mix takes of the row, at most `repeats` *
@@ -117,19 +190,35 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, repeats
     has target 0. Repeated rows are rows of their own and may be taken unlike each other. An
     empty table gives no rows. Reruns agree, in whatever order the rows are read.
     """
-    sizes = written(id_and_text(docs, "source").select("doc_id", "text", F.col("source").cast("string").alias("source")).mapInArrow(_sizes, "doc_id long, source string, size long, hash long"))
-    found = sizes.groupBy("source").agg(F.sum("size").alias("size")).limit(MOST_SOURCES + 1).collect()
-    if len(found) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
-    size_of = {r.source: r["size"] for r in found}
-    target_of = targets(size_of, weights, share, repeats)
+    sizes = written(_sizes_of(docs))
+    size_of, target_of = _targets_of(sizes, weights, share, repeats)
     shards = max(1, round(sum(size_of.values()) / shard))
-    place = F.xxhash64(F.lit(seed), "doc_id", "hash")
-    placed = sizes.withColumn("place", place).withColumn("shard", F.pmod("place", F.lit(shards)))
+    placed = sizes.withColumn("place", _place(seed)).withColumn("shard", F.pmod("place", F.lit(shards)))
     rows = placed.groupBy("shard").applyInArrow(
-        _shard(target_of, size_of, seed, block, repeats),
-        "doc_id long, hash long, rank int, size long, taken long, spans array<struct<epoch:int,first:long,last:long>>",
+        _shard(_chooser(target_of, size_of, seed, block, repeats)),
+        "doc_id long, rank int, size long, taken long, spans array<struct<epoch:int,first:long,last:long>>",
     )
     names = sorted(target_of, key=lambda s: (s is None, s or ""))
     table = docs.sparkSession.createDataFrame([(i, s, size_of[s], target_of[s]) for i, s in enumerate(names)], "rank int, source string, source_size long, target double")
-    return rows.join(F.broadcast(table), "rank").select("doc_id", "source", "size", "source_size", "target", "taken", "hash", "spans")
+    return rows.join(F.broadcast(table), "rank").select("doc_id", "source", "size", "source_size", "target", "taken", "spans")
+
+
+def mixed(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, repeats: int = REPEATS, block: int = BLOCK, shard: int = SHARD, seed: int = 0) -> DataFrame:
+    """The mix itself: a row of docs for each time that words of it are taken, with the text cut to these words.
+
+    Chooses as mix() does. A row taken whole keeps its text as it is; of one that a run of blocks
+    enters or leaves, the words in the run stay. Rows without words or that aren't taken are left
+    out. All columns are kept, whatever their names are; only text changes.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import LongType, StringType, StructType
+
+    size_of, target_of = _targets_of(_sizes_of(docs), weights, share, repeats)
+    shards = max(1, round(sum(size_of.values()) / shard))
+    schema = StructType().add("doc_id", LongType()).add("source", StringType()).add("size", LongType()).add("hash", LongType())
+    for i, field in enumerate(docs.schema.fields):
+        schema = schema.add(f"col{i}", field.dataType)
+    rows = docs.mapInArrow(_measured(docs.columns), schema).withColumn("place", _place(seed))
+    rows = rows.select("doc_id", "source", "size", "hash", "place", F.pmod("place", F.lit(shards)).alias("shard"), *(f"col{i}" for i in range(len(docs.columns))))
+    choose = _chooser(target_of, size_of, seed, block, repeats)
+    return rows.groupBy("shard").applyInArrow(_taken_rows(choose, docs.columns, to_arrow_schema(docs.schema)), docs.schema)

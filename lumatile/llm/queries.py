@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, packing, simhash_dedup
+from . import exact_dedup, mixing, packing, quality_crf, simhash_dedup
 from .common import documents
 
 
@@ -24,12 +24,17 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(documents(spark, sf_dir)).drop("hash", "spans")
+    return mixing.mix(documents(spark, sf_dir)).drop("spans")
+
+
+def op8_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return quality_crf.classify(docs, quality_crf.train(docs, documents(spark, sf_dir, "labels")))
 
 
 def op10_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op3_exact_dedup, op4_best_fit_packing, op5_source_mixing, op10_simhash_pigeonring)}
+QUERIES = {f.__name__: f for f in (op3_exact_dedup, op4_best_fit_packing, op5_source_mixing, op8_quality_crf, op10_simhash_pigeonring)}
 ORACLE_SQL = {"op3_exact_dedup": exact_dedup.SQL}
