@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, packing, quality_crf, simhash_dedup
+from . import exact_dedup, license_scan, mixing, packing, pii, quality_crf, quality_rules, simhash_dedup
 from .common import documents
 
 
@@ -15,6 +15,14 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_rules(documents(spark, sf_dir))
+
+
+def op2_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_digest(documents(spark, sf_dir))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir)).drop("uid")
 
@@ -27,6 +35,10 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).drop("spans")
 
 
+def op7_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(documents(spark, sf_dir)).drop("places")
+
+
 def op8_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return quality_crf.classify(docs, quality_crf.train(docs, documents(spark, sf_dir, "labels")))
@@ -36,5 +48,5 @@ def op10_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op3_exact_dedup, op4_best_fit_packing, op5_source_mixing, op8_quality_crf, op10_simhash_pigeonring)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_pii_boosting, op3_exact_dedup, op4_best_fit_packing, op5_source_mixing, op7_license_templates, op8_quality_crf, op10_simhash_pigeonring)}
 ORACLE_SQL = {"op3_exact_dedup": exact_dedup.SQL}
