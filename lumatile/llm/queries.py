@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, license_scan, mixing, packing, pii, quality_crf, quality_rules, simhash_dedup
+from . import exact_dedup, fuzzy_lines, html_main, license_scan, mixing, packing, pii, quality_crf, quality_rules, simhash_dedup
 from .common import documents
 
 
@@ -35,6 +35,10 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).drop("spans")
 
 
+def op6_html_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.extract(documents(spark, sf_dir, "pages"))
+
+
 def op7_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(documents(spark, sf_dir)).drop("places")
 
@@ -44,9 +48,19 @@ def op8_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_crf.classify(docs, quality_crf.train(docs, documents(spark, sf_dir, "labels")))
 
 
+def op9_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuzzy_lines.dedup_lines(documents(spark, sf_dir))
+
+
 def op10_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_pii_boosting, op3_exact_dedup, op4_best_fit_packing, op5_source_mixing, op7_license_templates, op8_quality_crf, op10_simhash_pigeonring)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_quality_rules, op2_pii_boosting, op3_exact_dedup, op4_best_fit_packing, op5_source_mixing,
+        op6_html_differencing, op7_license_templates, op8_quality_crf, op9_fuzzy_lines, op10_simhash_pigeonring,
+    )
+}
 ORACLE_SQL = {"op3_exact_dedup": exact_dedup.SQL}

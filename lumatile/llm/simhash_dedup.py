@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, id_and_text, written
@@ -104,9 +104,7 @@ def _spans(fps: np.ndarray, start: int, free: int, bucket: int) -> list[tuple[in
     return found
 
 
-def _links(bucket: int):
-    masks = keys()
-
+def _links(bucket: int, masks: list[tuple[int, int]]):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not (held := [b for b in parts if b.num_rows]):
             return
@@ -118,7 +116,7 @@ def _links(bucket: int):
         out = []
         for c in np.flatnonzero(np.diff(cuts) > 1):
             a, b = cuts[c], cuts[c + 1]
-            start, _, mask = masks[k[a] % len(masks)]
+            start, mask = masks[k[a] % len(masks)]
             extra = 0 if k[a] < len(masks) else _extra(mask)[k[a] // len(masks) - 1]
             out += _spans(fp[a:b], start, ~(mask | extra) & ((1 << BITS) - 1), bucket)
         links = np.array(out, np.uint64).reshape(-1, 2).view(np.int64)
@@ -137,20 +135,28 @@ def _signed(x: int) -> int:
     return x - (1 << BITS) if x >> (BITS - 1) else x
 
 
-def links(distinct: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """(u, v): links among the distinct fingerprints in column fp that connect all that differ in at most T bits."""
-    masks = keys()
-    all_keys = F.array(*(F.struct(F.lit(n).alias("k"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for n, (_, _, m) in enumerate(masks)))
+def key_rows(masks: list[tuple[int, int]]) -> Column:
+    """For each mask (k: its number, key: the fingerprint's bits in it), as an array."""
+    return F.array(*(F.struct(F.lit(n).alias("k"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for n, (_, m) in enumerate(masks)))
+
+
+def links(distinct: DataFrame, bucket: int = BUCKET, masks: list[tuple[int, int]] | None = None) -> DataFrame:
+    """(u, v): links among the distinct fingerprints in column fp that connect all that differ in at most T bits.
+
+    masks: (first segment of the chain to check or -1, bits) of keys of which linked fingerprints share one.
+    """
+    masks = masks or [(i, m) for i, _, m in keys()]
+    all_keys = key_rows(masks)
     rows = distinct.select("fp", F.explode(all_keys).alias("x")).select("x.k", "x.key", "fp")
     # Hot keys, of which there are at most rows / bucket, are refined before any task has to hold one.
     hot = rows.groupBy("k", "key").count().where(F.col("count") > bucket).select("k", "key", F.lit(True).alias("hot"))
     longer = F.lit(None)
-    for n, (_, _, m) in enumerate(masks):
+    for n, (_, m) in enumerate(masks):
         parts = F.array(*(F.struct((F.lit(n + len(masks) * (e + 1))).alias("k"), F.col("fp").bitwiseAND(F.lit(_signed(m | x))).alias("key")) for e, x in enumerate(_extra(m))))
         longer = F.when(F.col("k") == n, parts).otherwise(longer)
     same = F.array(F.struct("k", "key"))
     rows = rows.join(hot, ["k", "key"], "left").select("fp", F.explode(F.when(F.col("hot"), longer).otherwise(same)).alias("x")).select("x.k", "x.key", "fp")
-    return rows.repartition("k", "key").mapInArrow(_links(bucket), "u long, v long")
+    return rows.repartition("k", "key").mapInArrow(_links(bucket, masks), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
