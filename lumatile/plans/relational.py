@@ -421,7 +421,7 @@ def sel14_code_length(spark, sf):
 
 # --- spots measured in images -------------------------------------------------------------------
 
-_BOX = """boxes AS (SELECT spot_id, 'F' AS fov, (y // 4)::INT AS cy, (x // 4)::INT AS cx FROM spots WHERE fov = 'fov_0'),
+_BOX = """boxes AS (SELECT spot_id, 'F' AS fov, floor(y / 4)::INT AS cy, floor(x / 4)::INT AS cx FROM spots WHERE fov = 'fov_0'),
  hit AS (SELECT spot_id, p.r, p.c, value FROM boxes b JOIN pixels p ON p.fov = b.fov AND p.z < 2 AND p.y BETWEEN cy - 1 AND cy + 1 AND p.x BETWEEN cx - 1 AND cx + 1)"""
 
 
