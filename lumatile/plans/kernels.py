@@ -295,7 +295,7 @@ def src2_codebook_json(spark, sf):
 def x2_validate(spark, sf):
     e = P.table(spark, sf, "events")
     good = '{"version":"0.0.0","mappings":[{"target":"A","codeword":[{"r":0,"c":1,"v":1}]}]}'
-    texts = ["[1]", good.replace('"0.0.0"', '"x"'), '{"version":"0.0.0","mappings":[]}', good.replace('"v":1', '"v":7'), good]
+    texts = ["{nonsense", good.replace('"0.0.0"', '"x"'), '{"version":"0.0.0","mappings":[]}', good.replace('"v":1', '"v":7'), good]
     value = F.element_at(F.array(*map(F.lit, texts)), (F.col("event_id") % 5 + 1).cast("int"))
     return validate.codebook_problems(e.select("event_id", value.alias("value"))).select("event_id", "problem")
 

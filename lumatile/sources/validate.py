@@ -88,5 +88,5 @@ def codebook_problems(documents: DataFrame, column: str = "value") -> DataFrame:
     m = F.col("__d.mappings")
     bad = F.exists(m, lambda x: x["target"].isNull() | x["codeword"].isNull() | (F.size(x["codeword"]) == 0))
     entry = F.exists(m, lambda x: F.exists(x["codeword"], lambda e: e["c"].isNull() | (e["c"] < 0) | (F.coalesce(e["r"], F.lit(0)) < 0) | ~F.coalesce(e["v"], F.lit(1.0)).between(0, 1)))
-    problem = F.when(F.col("__d").isNull(), "not JSON").when(~F.coalesce(F.col("__d.version").rlike(VERSION), F.lit(False)), "version").when(m.isNull() | (F.size(m) == 0), "mappings").when(bad, "mapping").when(entry, "entry")
+    problem = F.when(F.try_parse_json(F.col(column)).isNull(), "not JSON").when(~F.coalesce(F.col("__d.version").rlike(VERSION), F.lit(False)), "version").when(m.isNull() | (F.size(m) == 0), "mappings").when(bad, "mapping").when(entry, "entry")
     return documents.withColumn("__d", d).withColumn("problem", problem).drop("__d")
