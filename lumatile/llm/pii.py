@@ -60,6 +60,7 @@ FEATURES = {
     "three_two_four": ("int(hit RLIKE '^[0-9]{3}[- ][0-9]{2}[- ][0-9]{4}$')", lambda h, b, a: int(bool(re.search("^[0-9]{3}[- ][0-9]{2}[- ][0-9]{4}$", h)))),
     "phone_groups": ("int(hit RLIKE '^(?:.[0-9]{2,4}. ?|[0-9]{3}[-. /])[0-9]{3}[-. ]?[0-9]{4}$')", lambda h, b, a: int(bool(re.search("^(?:.[0-9]{2,4}. ?|[0-9]{3}[-. /])[0-9]{3}[-. ]?[0-9]{4}$", h)))),
     "date": ("int(hit RLIKE '^(?:(?:19|20)[0-9]{2}[-./][0-9]{1,2}[-./][0-9]{1,2}|[0-9]{1,2}[-./][0-9]{1,2}[-./](?:19|20)[0-9]{2})')", lambda h, b, a: int(bool(re.search("^(?:(?:19|20)[0-9]{2}[-./][0-9]{1,2}[-./][0-9]{1,2}|[0-9]{1,2}[-./][0-9]{1,2}[-./](?:19|20)[0-9]{2})", h)))),
+    "domain_end": ("int(hit RLIKE '(?i)(?:com|org|net|edu|gov|info|io|eu|de|fr|es|uk|it)$')", lambda h, b, a: int(bool(re.search("(?i)(?:com|org|net|edu|gov|info|io|eu|de|fr|es|uk|it)$", h)))),
     "assigned": ("int(before RLIKE '[=:] ?.?$')", lambda h, b, a: int(bool(re.search("[=:] ?.?$", b)))),
     "glued": ("int(before RLIKE '[A-Za-z0-9_/.]$' OR after RLIKE '^[A-Za-z0-9_/]')", lambda h, b, a: int(bool(re.search("[A-Za-z0-9_/.]$", b) or re.search("^[A-Za-z0-9_/]", a)))),
 } | {k: (f"int(before RLIKE '{v}')", lambda h, b, a, v=v: int(bool(re.search(v, b)))) for k, v in WORDS.items()}
