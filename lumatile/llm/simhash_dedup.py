@@ -71,6 +71,24 @@ def keys() -> list[tuple[int, int, int]]:
     return [(i, j, whole << i * WIDTH | half << ((i + 1) % M * WIDTH + j * WIDTH // 2)) for i in range(M) for j in (0, 1)]
 
 
+def viable(x: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Whether differences x keep a chain's budgets: of the segments from start on, the first l hold at most l * T / M bits, for every l. No chain: start -1."""
+    ok, total = np.ones(len(x), bool), np.zeros(len(x), np.uint8)
+    for step in range(M):
+        at = ((np.maximum(start, 0) + step) % M * WIDTH).astype(np.uint64)
+        total += np.bitwise_count(x >> at & np.uint64((1 << WIDTH) - 1))
+        ok &= (start < 0) | (total <= (step + 1) * T // M)
+    return ok
+
+
+def _linked(a: np.ndarray, b: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Which pairs survive the chain's budgets and then the full Hamming check."""
+    x = a ^ b
+    ok = viable(x, start)
+    ok[ok] = np.bitwise_count(x[ok]) <= T
+    return ok
+
+
 def _spans(fps: np.ndarray, start: int, free: int, bucket: int) -> list[tuple[int, int]]:
     """Links among distinct fingerprints that share all bits but those of free; they span what is linked there."""
     if len(fps) < 2:
@@ -88,19 +106,15 @@ def _spans(fps: np.ndarray, start: int, free: int, bucket: int) -> list[tuple[in
         return found
     root = np.arange(len(fps))
     found = []
+    starts = np.full(len(fps), start)
     for i in range(len(fps) - 1):
-        x = fps[i + 1 :] ^ fps[i]
-        ok = np.ones(len(x), bool)
-        if start >= 0:
-            total = np.zeros(len(x), np.uint8)
-            for step in range(M):  # the chain's first step + 1 segments
-                segment = np.uint64(((1 << WIDTH) - 1) << (start + step) % M * WIDTH)
-                total += np.bitwise_count(x & segment)
-                ok &= total <= (step + 1) * T // M
-        for j in np.flatnonzero(ok) + i + 1:
-            if np.bitwise_count(fps[i] ^ fps[j]) <= T and (a := root[i]) != (b := root[j]):
-                found.append((int(fps[i]), int(fps[j])))
-                root[root == max(a, b)] = min(a, b)
+        j = np.flatnonzero(_linked(fps[i + 1 :], fps[i], starts[i + 1 :])) + i + 1
+        groups, at = np.unique(root[j], return_index=True)  # one link to each group is enough
+        at = j[at[groups != root[i]]]
+        if len(at):
+            found += [(int(fps[i]), int(fps[k])) for k in at]
+            joined = np.append(root[at], root[i])
+            root[np.isin(root, joined)] = joined.min()
     return found
 
 
@@ -113,13 +127,26 @@ def _links(bucket: int, masks: list[tuple[int, int]]):
         order = np.lexsort((fp, key, k))
         k, key, fp = k[order], key[order], fp[order].view(np.uint64)
         cuts = np.concatenate(([0], np.flatnonzero((np.diff(k) != 0) | (np.diff(key) != 0)) + 1, [len(k)]))
+        # Rows linked to the first one of their key need no more comparing if that holds for all of the key.
+        sizes = np.diff(cuts)
+        run = np.repeat(np.arange(len(sizes)), sizes)
+        rest = np.ones(len(k), bool)
+        rest[cuts[:-1]] = False
+        rest = np.flatnonzero(rest)
+        first = cuts[:-1][run[rest]]
+        starts = np.array([m[0] for m in masks])[k % len(masks)]
+        near = _linked(fp[rest], fp[first], starts[rest])
+        far = np.zeros(len(sizes), bool)
+        np.logical_or.at(far, run[rest[~near]], True)
+        far &= sizes > 2
+        star = near & ~far[run[rest]]
         out = []
-        for c in np.flatnonzero(np.diff(cuts) > 1):
+        for c in np.flatnonzero(far):
             a, b = cuts[c], cuts[c + 1]
             start, mask = masks[k[a] % len(masks)]
             extra = 0 if k[a] < len(masks) else _extra(mask)[k[a] // len(masks) - 1]
             out += _spans(fp[a:b], start, ~(mask | extra) & ((1 << BITS) - 1), bucket)
-        links = np.array(out, np.uint64).reshape(-1, 2).view(np.int64)
+        links = np.concatenate([np.stack([fp[first[star]], fp[rest[star]]], axis=1), np.array(out, np.uint64).reshape(-1, 2)]).view(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], names=["u", "v"])
 
     return run
@@ -140,6 +167,24 @@ def key_rows(masks: list[tuple[int, int]]) -> Column:
     return F.array(*(F.struct(F.lit(n).alias("k"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for n, (_, m) in enumerate(masks)))
 
 
+#: Cells by which keys are counted roughly.
+CELLS = 1 << 14
+
+
+def _hot_keys(rows: DataFrame, bucket: int) -> DataFrame | None:
+    """(k, key, hot): keys that hold more rows than bucket and than a task should, refined before any task has to hold them.
+
+    Keys are counted exactly in those cells only that hold far more rows than others; cells are
+    counted before the shuffle, and CELLS of them at most come to the driver.
+    """
+    cell = F.pmod(F.xxhash64("k", "key"), F.lit(CELLS))
+    cells = {r["cell"]: r["count"] for r in rows.groupBy(cell.alias("cell")).count().collect()}
+    limit = max(bucket, 4 * sum(cells.values()) // CELLS)
+    if not (full := [c for c, n in cells.items() if n > limit]):
+        return None
+    return rows.where(cell.isin(full)).groupBy("k", "key").count().where(F.col("count") > limit // 2).select("k", "key", F.lit(True).alias("hot"))
+
+
 def links(distinct: DataFrame, bucket: int = BUCKET, masks: list[tuple[int, int]] | None = None) -> DataFrame:
     """(u, v): links among the distinct fingerprints in column fp that connect all that differ in at most T bits.
 
@@ -148,8 +193,9 @@ def links(distinct: DataFrame, bucket: int = BUCKET, masks: list[tuple[int, int]
     masks = masks or [(i, m) for i, _, m in keys()]
     all_keys = key_rows(masks)
     rows = distinct.select("fp", F.explode(all_keys).alias("x")).select("x.k", "x.key", "fp")
-    # Hot keys, of which there are at most rows / bucket, are refined before any task has to hold one.
-    hot = rows.groupBy("k", "key").count().where(F.col("count") > bucket).select("k", "key", F.lit(True).alias("hot"))
+    hot = _hot_keys(rows, bucket)
+    if hot is None:
+        return rows.repartition("k", "key").mapInArrow(_links(bucket, masks), "u long, v long")
     longer = F.lit(None)
     for n, (_, m) in enumerate(masks):
         parts = F.array(*(F.struct((F.lit(n + len(masks) * (e + 1))).alias("k"), F.col("fp").bitwiseAND(F.lit(_signed(m | x))).alias("key")) for e, x in enumerate(_extra(m))))
