@@ -91,7 +91,7 @@ def from_json(spark: SparkSession, path: str, strict: bool = False) -> tuple[Dat
 def load_tiles(index: DataFrame, decode: Callable[[bytes, str, int, int], np.ndarray] | None = None) -> DataFrame:
     """Tiles of an index, each file read by Spark and decoded in Arrow batches. Only the tiles left in the index are read.
 
-    decode(content, format, height, width) -> array; by default NUMPY files and raw little-endian
+    decode(content, format, height, width) -> array; by default TIFF, NUMPY files and raw little-endian
     float32 ('RAW'). Values of whole-number types are scaled by their type's largest value; all
     must end in [0, 1].
     """
@@ -117,6 +117,10 @@ def decode_tile(raw: bytes, kind: str, height: int, width: int) -> np.ndarray:
 
     if kind.upper() in ("NUMPY", "NPY"):
         return np.load(io.BytesIO(raw), allow_pickle=False)
+    if kind.upper() in ("TIFF", "TIF"):
+        from .tiff import read_pages
+
+        return read_pages(raw)[0]
     if kind.upper() == "RAW":
         return np.frombuffer(raw, "<f4").reshape(height, width)
     raise ValueError(f"format {kind!r} needs a decode function")
@@ -231,3 +235,15 @@ def write_experiment(index: DataFrame, codebook: DataFrame, folder: str, extras:
 def save_tiles(tiles: DataFrame, path: str) -> None:
     """Tiles as Parquet, a folder per field of view, so that reading one prunes the others."""
     tiles.repartition("fov").write.partitionBy("fov").parquet(path)
+
+
+def multipage_tiffs(tiles: DataFrame) -> DataFrame:
+    """(fov, content): each field of view's planes as one TIFF file, pages in order of r, z, c. A field of view's tiles meet in one task."""
+    from .tiff import write_pages
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values(["r", "z", "c"])
+        pages = [np.asarray(p, np.float32).reshape(h, w) for p, h, w in zip(f["pixels"], f["height"], f["width"], strict=True)]
+        return pd.DataFrame({"fov": [f["fov"].iloc[0]], "content": [write_pages(pages)]})
+
+    return tiles.groupBy("fov").applyInPandas(run, "fov string, content binary")

@@ -8,8 +8,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lumatile import cli
 from lumatile.operators import select
-from lumatile.sources import codebook, experiment, projections, tables, validate
+from lumatile.sources import codebook, experiment, projections, tables, tiff, validate
 from lumatile.streaming import fields
 
 
@@ -185,3 +186,29 @@ def test_stream_equals_batch(spark, tmp_path):
     q = counts.writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("counts").agg(F.sum("n")).first()[0] == batch.where("target IS NOT NULL").count()
+
+
+@pytest.mark.parametrize("kind", [np.uint8, np.uint16, np.float32])
+def test_tiff_pages(kind):
+    pages = [(np.arange(12).reshape(3, 4) * (k + 1)).astype(kind) for k in range(3)]
+    back = tiff.read_pages(tiff.write_pages(pages))
+    assert len(back) == 3 and all((a == b).all() and a.dtype == b.dtype for a, b in zip(pages, back, strict=True))
+    with pytest.raises(ValueError):
+        tiff.read_pages(b"nothing")
+
+
+def test_multipage_tiffs_are_in_order(spark):
+    data = np.zeros((2, 2, 1, 2, 3), np.float32)
+    data[:] = np.arange(4).reshape(2, 2, 1, 1, 1) / 4
+    row = experiment.multipage_tiffs(experiment.from_numpy(spark, data)).first()
+    assert [float(p[0, 0]) for p in tiff.read_pages(bytes(row.content))] == [0, 0.25, 0.5, 0.75]
+    assert (experiment.decode_tile(bytes(row.content), "TIFF", 2, 3) == 0).all()
+
+
+def test_cli(tmp_path, capsys):
+    write(tmp_path / "good.json", GOOD["codebook"])
+    (tmp_path / "bad.json").write_text("{")
+    assert cli.main(["validate", "codebook", f"{tmp_path}/good.json"]) == 0
+    assert cli.main(["validate", "codebook", f"{tmp_path}/good.json", f"{tmp_path}/bad.json"]) == 1
+    assert cli.main(["version"]) == 0 and cli.main([]) == 2
+    assert "not JSON" in capsys.readouterr().out
