@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import chunks, clean, distance, first_argmax, norm, normalised
-from .traces import build_traces, physical_coords
+from .traces import build_traces, checked, physical_coords
 
-#: Codes that are broadcast; a larger codebook is joined by a shuffle.
+#: Codes that are broadcast at once; a larger codebook is joined by a shuffle, or compared in several steps.
 BROADCAST_CODES = 100_000
 
 
@@ -25,13 +25,23 @@ def normalize_features(features: DataFrame, size: int, order: float = 2, column:
 def nearest_code(features: DataFrame, codes: DataFrame, metric: str = "euclidean") -> DataFrame:
     """features with code_idx, target and distance of the nearest code; of equally near ones the first.
 
-    Every trace is compared with every code: a broadcast of the codes, no shuffle of the traces.
-    Codes are gathered into one array, so the nearest is found within the row.
+    Every trace is compared with every code, and traces are not shuffled: BROADCAST_CODES codes at a
+    time are gathered into one array and broadcast, the nearest is found within the row, and larger
+    codebooks take several such steps.
     """
-    book = codes.agg(F.array_sort(F.collect_list(F.struct("code_idx", "target", F.col("trace").alias("code")))).alias("__book"))
+    numbered = codes.select("code_idx", "target", F.col("trace").alias("code"))
+    found = codes.limit(BROADCAST_CODES + 1).count()
+    blocks = [numbered]
+    if found > BROADCAST_CODES:
+        n = -(-codes.count() // BROADCAST_CODES)
+        blocks = [numbered.where(F.pmod(F.xxhash64("code_idx"), F.lit(n)) == i) for i in range(n)]
     far = lambda k: F.struct(F.round(distance(F.col("trace"), k["code"], metric), 12).alias("d"), k["code_idx"].alias("i"), k["target"].alias("t"))
-    best = F.array_min(F.transform("__book", far))
-    return features.crossJoin(F.broadcast(book)).withColumn("__best", best).withColumns({"code_idx": F.col("__best.i"), "target": F.col("__best.t"), "distance": F.col("__best.d")}).drop("__book", "__best")
+    out = features
+    for i, block in enumerate(blocks):
+        book = block.agg(F.collect_list(F.struct("code_idx", "target", "code")).alias("__book"))
+        best = F.array_min(F.transform("__book", far))
+        out = out.crossJoin(F.broadcast(book)).withColumn("__best", F.least(F.col("__best"), best) if i else best).drop("__book")
+    return out.withColumns({"code_idx": F.col("__best.i"), "target": F.col("__best.t"), "distance": F.col("__best.d")}).drop("__best")
 
 
 def decode_metric(features: DataFrame, codes: DataFrame, size: int, max_distance: float, min_intensity: float, norm_order: float = 2, metric: str = "euclidean", return_original_intensities: bool = False) -> DataFrame:
@@ -39,6 +49,7 @@ def decode_metric(features: DataFrame, codes: DataFrame, size: int, max_distance
 
     NULL and NaN cells count as 0 for the norm.
     """
+    features, codes = checked(features, size, 1), checked(codes, size, 1)
     kept = features.withColumn("__trace", F.col("trace")).withColumn("trace", clean(F.col("trace")))
     unit = normalize_features(kept, size, norm_order)
     book = normalize_features(codes.select("code_idx", "target", clean(F.col("trace")).alias("trace")), size, norm_order).drop("norm")
@@ -58,6 +69,7 @@ def decode_per_round_max(features: DataFrame, codes: DataFrame, rounds: int, cha
     last one counts. distance is 1 - the mean over rounds of largest / sum, rounds of zeros skipped.
     A codeword's round without any signal stands for channel 0.
     """
+    features, codes = checked(features, rounds, channels), checked(codes, rounds, channels)
     rows = F.transform(chunks(clean(F.col("trace")), rounds, channels), lambda r: F.struct(F.array_max(r).alias("m"), F.aggregate(r, F.lit(0.0), lambda s, v: s + v).alias("s")))
     good = F.filter(rows, lambda x: x["s"] != 0)
     share = F.try_divide(F.aggregate(good, F.lit(0.0), lambda s, x: s + x["m"] / x["s"]), F.size(good))

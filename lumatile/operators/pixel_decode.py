@@ -23,7 +23,7 @@ def targets_map(decoded: DataFrame) -> DataFrame:
 def decoded_image(decoded: DataFrame, codes: DataFrame, mask_failing: bool = True) -> DataFrame:
     """(fov, z, y, x, code): 0 where a pixel has no target or, if asked for, fails its thresholds."""
     ok = F.col("passes_thresholds") if mask_failing else F.lit(True)
-    named = decoded.join(F.broadcast(codes), "target", "left")
+    named = decoded.join(codes, "target", "left")
     return named.select(*PLACE, F.when(ok, F.coalesce("code", F.lit(0))).otherwise(0).cast("int").alias("code"))
 
 
@@ -85,7 +85,7 @@ def component_attributes(labels: DataFrame, image: DataFrame, codes: DataFrame,
     mode = hits.groupBy("fov", "label").agg(F.min_by("code", F.struct(-F.col("n"), "code")).alias("code"))
     flat = F.col("z_min") == F.col("z_max")
     diameter = F.when(flat, F.sqrt(4 * F.col("area") / F.pi())).otherwise(F.cbrt(6 * F.col("area") / F.pi()))
-    out = box.join(mode, ["fov", "label"]).join(F.broadcast(codes), "code")
+    out = box.join(mode, ["fov", "label"]).join(codes, "code")
     return out.withColumns({"radius": diameter / 2, "passes_thresholds": (F.col("area") >= min_area) & (F.col("area") < max_area)})
 
 

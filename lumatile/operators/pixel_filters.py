@@ -80,7 +80,7 @@ def zero_by_channel_magnitude(pixels: DataFrame, thresh: float, normalize: bool)
 def shift(pixels: DataFrame, shifts: DataFrame, height: int, width: int) -> DataFrame:
     """Translate by whole pixels: shifts has any of fov, r, c, z, and dy, dx. What comes in from outside is 0."""
     on = [a for a in ("fov", "r", "c", "z") if a in shifts.columns]
-    moved = pixels.join(F.broadcast(shifts), on, "left").na.fill(0, ["dy", "dx"])
+    moved = pixels.join(shifts, on, "left").na.fill(0, ["dy", "dx"])
     moved = moved.withColumn("y", (F.col("y") - F.col("dy")).cast("int")).withColumn("x", (F.col("x") - F.col("dx")).cast("int")).select(*pixels.columns)
     inside = moved.where(F.col("y").between(0, height - 1) & F.col("x").between(0, width - 1))
     return pixels.drop("value").join(inside, ["fov", *AXES], "left").na.fill(0.0, ["value"]).select(*pixels.columns)

@@ -41,7 +41,7 @@ def isel(pixels: DataFrame, indexers: dict[str, Index]) -> DataFrame:
         if isinstance(index, int) and index < 0:
             at = at.withColumn("position", F.col("position") - F.count("*").over(Window.partitionBy("fov")))
         chosen = at.where(_condition(F.col("position"), index, False)).select("fov", F.col("label").alias(axis))
-        pixels = pixels.join(F.broadcast(chosen), ["fov", axis], "left_semi")  # labels of an axis
+        pixels = pixels.join(chosen, ["fov", axis], "left_semi")
     return pixels
 
 
@@ -57,12 +57,12 @@ def sel_by_physical_coords(pixels: DataFrame, ticks: DataFrame, indexers: dict[s
         axis = PHYSICAL[name]
         lo, hi = index if isinstance(index, tuple) else (index, None)
         first = nearest_tick(ticks, axis, lo).withColumnRenamed("idx", "__lo")
-        pixels = pixels.join(F.broadcast(first), "fov")
+        pixels = pixels.join(first, "fov")
         if hi is None:
             pixels = pixels.where(F.col(axis) == F.col("__lo")).drop("__lo")
         else:
             last = nearest_tick(ticks, axis, hi).withColumnRenamed("idx", "__hi")
-            pixels = pixels.join(F.broadcast(last), "fov").where((F.col(axis) >= F.col("__lo")) & (F.col(axis) < F.col("__hi"))).drop("__lo", "__hi")
+            pixels = pixels.join(last, "fov").where((F.col(axis) >= F.col("__lo")) & (F.col(axis) < F.col("__hi"))).drop("__lo", "__hi")
     return pixels
 
 
@@ -78,7 +78,7 @@ def codebook_partial(codebook: DataFrame, indexers: dict[str, Index]) -> DataFra
     for axis, index in indexers.items():
         chosen = codebook.where(_condition(F.col(axis), index, True))
         labels = chosen.select(axis).distinct().withColumn("__new", (F.row_number().over(Window.orderBy(axis)) - 1).cast("int"))  # rounds or channels: a few
-        codebook = chosen.join(F.broadcast(labels), axis).withColumn(axis, F.col("__new")).drop("__new").select(*codebook.columns)
+        codebook = chosen.join(labels, axis).withColumn(axis, F.col("__new")).drop("__new").select(*codebook.columns)
     return codebook
 
 

@@ -93,3 +93,15 @@ def pixel_features(pixels: DataFrame, channels: int | None = None, crop_x=None,
     traces = pixels.groupBy("fov", "z", "y", "x").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "c", "value"))), lambda s: s["value"]).alias("trace"))
     number = ((F.col("z") - F.col("__z0")) * F.col("__yn") + F.col("y") - F.col("__y0")) * F.col("__xn") + F.col("x") - F.col("__x0")
     return traces.join(size, "fov").select("fov", number.cast("long").alias("feature_id"), "z", "y", "x", F.lit(0.5).alias("radius"), "trace")
+
+
+def zeros(features: DataFrame, rounds: int, channels: int) -> DataFrame:
+    """features with traces of zeros."""
+    return features.withColumn("trace", F.array_repeat(F.lit(0.0), rounds * channels))
+
+
+def checked(features: DataFrame, rounds: int, channels: int) -> DataFrame:
+    """features; a row whose trace isn't of rounds * channels values is an error when it is read."""
+    n = rounds * channels
+    text = F.concat(F.lit(f"traces must have {n} values, not "), F.size("trace").cast("string"))
+    return features.withColumn("trace", F.when(F.size("trace") == n, F.col("trace")).otherwise(F.raise_error(text).cast("array<double>")))

@@ -48,7 +48,7 @@ def spots(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events")
     kinds = ev.select("event_type").distinct().orderBy("event_type").limit(64)  # a handful of event types
     index = kinds.select("event_type", (F.row_number().over(_by("event_type")) - 1).cast("int").alias("c"))
-    return ev.join(F.broadcast(index), "event_type").select(
+    return ev.join(index, "event_type").select(
         F.concat(F.lit("fov_"), F.pmod("user_id", F.lit(3)).cast("string")).alias("fov"), F.pmod("event_id", F.lit(4)).cast("int").alias("r"), "c",
         F.col("event_id").alias("spot_id"), F.lit(0.0).alias("z"), F.pmod("user_id", F.lit(64)).cast("double").alias("y"), F.pmod("value", F.lit(64.0)).alias("x"),
         F.lit(1.0).alias("radius"), (F.col("value") / 500).alias("intensity"),

@@ -81,7 +81,7 @@ def synthetic_spots(spark: SparkSession, codes: DataFrame, rounds: int, channels
     from pyspark.sql import Window
 
     numbered = book.withColumn("k", (F.row_number().over(Window.orderBy("code_idx")) - 1).cast("int"))  # a codebook
-    cell = base.join(F.broadcast(numbered), "k").select("molecule", "target", "z", "y", "x", F.posexplode("trace").alias("i", "v")).where("v > 0")
+    cell = base.join(numbered, "k").select("molecule", "target", "z", "y", "x", F.posexplode("trace").alias("i", "v")).where("v > 0")
     moved = {a: F.col(a) + F.lit(jitter) * (F.rand(seed + 10 + i) - 0.5) * 2 for i, a in enumerate(("y", "x"))} if jitter else {}
     out = cell.withColumns({"r": F.floor(F.col("i") / channels).cast("int"), "c": (F.col("i") % channels).cast("int"), **moved})
     return out.select(F.lit("fov_000").alias("fov"), "r", "c", (F.col("molecule") * rounds + F.col("r")).alias("spot_id"), "z", "y", "x", F.lit(1.0).alias("radius"), (F.col("v") * photons).alias("intensity"), "target", "molecule")
@@ -107,6 +107,26 @@ def synthetic_tiles(spots: DataFrame, rounds: int, channels: int, planes: int, h
     return spots.select("fov", "r", "c", "z", "y", "x", "intensity").unionByName(empty).groupBy("fov", "r", "c").applyInPandas(run, DDL["tiles"])
 
 
+def synthetic_intensities(spark: SparkSession, codes: DataFrame, n_spots: int, height: int = 50, width: int = 45, planes: int = 10, fluorophores: float = 200, photons: float = 50, seed: int = 0) -> DataFrame:
+    """Features of n_spots at random places with Poisson-noisy traces of random codes, scaled to 1; every row has its own seed."""
+    import pandas as pd
+
+    book = [(r.target, np.array(r.trace)) for r in codes.orderBy("code_idx").collect()]  # a codebook
+
+    def run(frames):
+        for f in frames:
+            rows = []
+            for i in f["id"]:
+                g = np.random.default_rng([seed, int(i)])
+                target, trace = book[int(g.integers(len(book)))]
+                z, y, x = g.random(3) * (np.array([planes, height, width]) - 1)
+                bright = g.poisson(g.poisson(fluorophores * trace) * photons).astype(float)
+                rows.append(("fov_000", i, z, y, x, 1.0, (bright / (fluorophores * photons * 2)).clip(0, 1).tolist(), target))
+            yield pd.DataFrame(rows, columns=["fov", "feature_id", "z", "y", "x", "radius", "trace", "target"])
+
+    return spark.range(n_spots).mapInPandas(run, DDL["features"] + ", target STRING")
+
+
 class Log:
     """Provenance: what ran, with which arguments."""
 

@@ -37,6 +37,18 @@ def test_nearest_code_takes_first_of_a_tie(spark):
     assert result(out, "target") == [("A",), ("B",), ("A",), ("A",)]
 
 
+def test_large_codebooks_are_compared_in_steps(spark, monkeypatch):
+    import random
+
+    r = random.Random(1)
+    book = codes(spark, *((f"T{i}", [r.random() for _ in range(4)]) for i in range(30)))
+    f = features(spark, *([r.random() for _ in range(4)] for _ in range(50)))
+    whole = result(decode.nearest_code(f, book), "target", "distance")
+    monkeypatch.setattr(decode, "BROADCAST_CODES", 7)
+    assert result(decode.nearest_code(f, book), "target", "distance") == whole
+    assert result(decode.decode_per_round_max(f, book, 2, 2), "target") == result(decode.decode_per_round_max(f, book, 2, 2), "target")
+
+
 @pytest.mark.parametrize(("order", "expected"), [(1, 7.0), (2, 5.0)])
 def test_norms(spark, order, expected):
     out = decode.normalize_features(features(spark, [0, 3, 4, 0], [0, 0, 0, 0]), 4, order).orderBy("feature_id").collect()
@@ -180,3 +192,20 @@ def test_composite_codebook(spark):
     assert {r.target for r in first.collect()} == {"A", "B"}
     s = spark.createDataFrame([("f", 2, 0, 1), ("f", 2, 1, 2), ("f", 2, 7, 3)], "fov string, r int, c int, spot_id long")
     assert [r.target for r in decode.simple_lookup(s, book.where("r = 2")).orderBy("spot_id").collect()] == ["C", "D", None]
+
+
+def test_traces_of_another_size_are_refused(spark):
+    for f in (lambda d: decode.decode_metric(d, codes(spark, ("A", A)), 4, 1, 0), lambda d: decode.decode_per_round_max(d, codes(spark, ("A", A)), 2, 2)):
+        with pytest.raises(Exception, match="traces must have 4 values"):
+            f(features(spark, [1, 2, 3])).collect()
+    assert traces.zeros(features(spark, [1]), 2, 2).first().trace == [0.0] * 4
+
+
+def test_synthetic_intensities_decode_to_what_they_are(spark):
+    from lumatile.sources import tables
+
+    book = codebook.to_codes(codebook.synthetic_one_hot(spark, 3, 3, 6), 3, 3)
+    f = tables.synthetic_intensities(spark, book, 60, seed=4)
+    assert f.collect() == tables.synthetic_intensities(spark, book, 60, seed=4).repartition(3).orderBy("feature_id").collect()
+    out = decode.decode_metric(f.withColumnRenamed("target", "planted"), book, 9, 0.5, 0.1).collect()
+    assert all(r.target == r.planted and r.passes_thresholds for r in out)
