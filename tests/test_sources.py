@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lumatile import cli
 from lumatile.operators import select
-from lumatile.sources import codebook, experiment, projections, tables, tiff, validate
+from lumatile.sources import codebook, datasource, experiment, projections, tables, tiff, validate
 from lumatile.streaming import fields
 
 
@@ -212,3 +212,16 @@ def test_cli(tmp_path, capsys):
     assert cli.main(["validate", "codebook", f"{tmp_path}/good.json", f"{tmp_path}/bad.json"]) == 1
     assert cli.main(["version"]) == 0 and cli.main([]) == 2
     assert "not JSON" in capsys.readouterr().out
+
+
+def test_tile_data_source(spark, tmp_path):
+    def fetch(fov, r, c, z):
+        (tmp_path / f"{fov}-{r}-{c}-{z}").touch()
+        return np.full((2, 3), r / 10)
+
+    datasource.register(spark, fetch)
+    t = spark.read.format("tiles").options(fovs="a,b", rounds="0,1,2", chs="0,1", zplanes="0").load()
+    out = t.where("fov = 'b' AND r IN (1, 2)").orderBy("r", "c").collect()
+    assert [(x.fov, x.r, x.c) for x in out] == [("b", 1, 0), ("b", 1, 1), ("b", 2, 0), ("b", 2, 1)] and out[2].pixels == pytest.approx([0.2] * 6)
+    assert len(list(tmp_path.iterdir())) == 12
+    assert t.where("fov = 'none'").count() == 0 and t.count() == 12
