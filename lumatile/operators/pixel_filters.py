@@ -58,10 +58,15 @@ def linear_unmixing(pixels: DataFrame, coeff: list[list[float]], method: Levels
 
 
 def _over_channels(pixels: DataFrame) -> DataFrame:
-    """pixels with norm, top and first (the smallest channel with the top value) over channels."""
-    keys = ["fov", "r", "z", "y", "x"]
-    found = pixels.groupBy(*keys).agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"), F.max("value").alias("top"), F.max_by("c", F.struct("value", -F.col("c"))).alias("first"))
-    return pixels.join(found, keys)
+    """pixels with norm, top and first (the smallest channel with the top value) over channels.
+
+    A voxel's channels, a few values, travel together: one shuffle and one read of the pixels.
+    """
+    found = pixels.groupBy("fov", "r", "z", "y", "x").agg(
+        F.collect_list(F.struct("c", "value")).alias("__v"), F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"),
+        F.max("value").alias("top"), F.max_by("c", F.struct("value", -F.col("c"))).alias("first"),
+    )
+    return found.select("fov", "r", "z", "y", "x", "norm", "top", "first", F.inline("__v"))
 
 
 def call_bases(pixels: DataFrame, intensity_threshold: float = 0, quality_threshold: float = 0) -> DataFrame:
