@@ -93,7 +93,12 @@ def word_counts(words: list[bytes]) -> list[int]:
     return out
 
 
-MEASURED = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, classes array<long>, common array<long>"
+def _shares(counts: list[int]) -> list[float]:
+    total = max(sum(counts), 1)
+    return [n / total for n in counts]
+
+
+MEASURED = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, classes array<double>, common array<double>"
 
 
 def _measure(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,18 +106,13 @@ def _measure(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for text in b.column(1).to_pylist():
             *base, words = base_counts(text)
-            rows.append((*base, class_counts(text), word_counts(words)))
+            rows.append((*base, _shares(class_counts(text)), _shares(word_counts(words))))
         columns = list(zip(*rows, strict=True)) if rows else [()] * 7
-        kinds = [pa.int64()] * 5 + [pa.list_(pa.int64())] * 2
+        kinds = [pa.int64()] * 5 + [pa.list_(pa.float64())] * 2
         names = [x.split()[0] for x in MEASURED.split(", ")]
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=names)
 
 
-def _shares(counts: Column) -> Column:
-    total = F.greatest(F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x), F.lit(1))
-    return F.transform(counts, lambda x: x / total)
-
-
 def jensen_shannon(p: Column, q: Column) -> Column:
     """The distance of two histograms of shares: the root of the divergence in bits, 0 to 1."""
     part = lambda x, m: F.when(x > 0, x * F.log2(x / m)).otherwise(0.0)
@@ -128,7 +128,7 @@ def references(measured: DataFrame) -> DataFrame:
     the mean over the half of these documents that is nearest to the first.
     """
     good = measured.where((F.col("n_words") >= MIN_COMMON) & (100 * F.col("n_repeat_words") <= round(100 * MAX_REPEAT) * F.col("n_words")) & F.col("lang").isin(*COMMON))
-    shares = good.select("lang", _shares(F.col("classes")).alias("p"), _shares(F.col("common")).alias("q"))
+    shares = good.select("lang", F.col("classes").alias("p"), F.col("common").alias("q"))
     first = _means(shares)
     far = shares.join(F.broadcast(first), "lang").withColumn("far", jensen_shannon(F.col("p"), F.col("class_ref")) + jensen_shannon(F.col("q"), F.col("common_ref")))
     limit = far.groupBy("lang").agg(F.percentile_approx("far", 0.5, 10_000).alias("limit"))
@@ -154,7 +154,7 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     refs = references(measured)  # a row per language of COMMON at most
     every = F.broadcast(refs.groupBy().agg(F.collect_list(F.struct("lang", "class_ref", "common_ref")).alias("refs")))
     own = F.filter("refs", lambda r: r["lang"] == F.col("lang"))
-    near = lambda kind, c: F.array_min(F.transform(F.when(F.size(own) > 0, own).otherwise(F.col("refs")), lambda r: jensen_shannon(_shares(F.col(c)), r[kind])))
+    near = lambda kind, c: F.array_min(F.transform(F.when(F.size(own) > 0, own).otherwise(F.col("refs")), lambda r: jensen_shannon(F.col(c), r[kind])))
     failed = (F.col("n_words") < MIN_WORDS) | (F.lit(100) * F.col("n_repeat_words") > F.lit(round(100 * MAX_REPEAT)) * F.col("n_words"))
     strange = ((F.col("word_chars") >= MIN_CHARS) & (F.col("class_distance") > MAX_CLASS + SLACK_CLASS / F.sqrt("word_chars"))) | ((F.col("n_words") >= MIN_COMMON) & (F.col("word_distance") > MAX_WORD + SLACK_WORD / F.sqrt("n_words")))
     return measured.crossJoin(every).withColumns({"class_distance": near("class_ref", "classes"), "word_distance": near("common_ref", "common"), "base_failed": failed}).select(
