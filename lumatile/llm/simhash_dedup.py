@@ -123,10 +123,11 @@ def _links(bucket: int, masks: list[tuple[int, int]]):
         if not (held := [b for b in parts if b.num_rows]):
             return
         held = pa.Table.from_batches(held)
-        k, key, fp = (c.to_numpy() for c in held.columns)
-        order = np.lexsort((fp, key, k))
-        k, key, fp = k[order], key[order], fp[order].view(np.uint64)
-        cuts = np.concatenate(([0], np.flatnonzero((np.diff(k) != 0) | (np.diff(key) != 0)) + 1, [len(k)]))
+        key, fp = (c.to_numpy().view(np.uint64) for c in held.columns)
+        order = np.argsort(key)
+        key, fp = key[order], fp[order]
+        k = (key >> np.uint64(KEY_BITS)).astype(np.int64)
+        cuts = np.concatenate(([0], np.flatnonzero(np.diff(key)) + 1, [len(key)]))
         # Rows linked to the first one of their key need no more comparing if that holds for all of the key.
         sizes = np.diff(cuts)
         run = np.repeat(np.arange(len(sizes)), sizes)
@@ -162,27 +163,61 @@ def _signed(x: int) -> int:
     return x - (1 << BITS) if x >> (BITS - 1) else x
 
 
+#: A key's low bits are those of the fingerprint, pushed together; above them is the number of its mask.
+KEY_BITS = 58
+
+
+def _key(number: int, mask: int) -> Column:
+    at, out = 0, F.lit(_signed(number << KEY_BITS))
+    while mask:
+        start = (mask & -mask).bit_length() - 1
+        run = mask >> start
+        size = (~run & (run + 1)).bit_length() - 1
+        bits = F.shiftrightunsigned("fp", start).bitwiseAND(F.lit((1 << size) - 1))
+        out = out.bitwiseOR(F.shiftleft(bits, at))
+        at += size
+        mask &= ~(((1 << size) - 1) << start)
+    return out
+
+
 def key_rows(masks: list[tuple[int, int]]) -> Column:
-    """For each mask (k: its number, key: the fingerprint's bits in it), as an array."""
-    return F.array(*(F.struct(F.lit(n).alias("k"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for n, (_, m) in enumerate(masks)))
+    """The fingerprint's key for each mask, as an array of longs."""
+    return F.array(*(_key(n, m) for n, (_, m) in enumerate(masks)))
 
 
-#: Cells by which keys are counted roughly.
-CELLS = 1 << 14
+#: Bits by which keys are counted roughly.
+ROUGH = 13
 
 
-def _hot_keys(rows: DataFrame, bucket: int) -> DataFrame | None:
-    """(k, key, hot): keys that hold more rows than bucket and than a task should, refined before any task has to hold them.
+def _hot_keys(distinct: DataFrame, rows: DataFrame, masks: list[tuple[int, int]], bucket: int) -> DataFrame | None:
+    """(key, hot): keys that hold more rows than bucket and than a task should, refined before any task has to hold them.
 
-    Keys are counted exactly in those cells only that hold far more rows than others; cells are
-    counted before the shuffle, and CELLS of them at most come to the driver.
+    A key holds no more rows than its lowest ROUGH bits do. These are counted first, in cells of
+    which there are a few thousand per mask, and before the shuffle; keys are counted exactly only
+    below cells that hold far more than others.
     """
-    cell = F.pmod(F.xxhash64("k", "key"), F.lit(CELLS))
-    cells = {r["cell"]: r["count"] for r in rows.groupBy(cell.alias("cell")).count().collect()}
-    limit = max(bucket, 4 * sum(cells.values()) // CELLS)
-    if not (full := [c for c, n in cells.items() if n > limit]):
+    low = {}
+    for n, (_, m) in enumerate(masks):
+        bits, part = [i for i in range(BITS) if m >> i & 1][:ROUGH], 0
+        for i in bits:
+            part |= 1 << i
+        low.setdefault(part, []).append(n)
+    parts = list(low)
+    cells = distinct.select(F.explode(F.array(*(_key(i, p) for i, p in enumerate(parts)))).alias("cell")).groupBy("cell").count().toArrow()
+    n = cells["count"].to_numpy()
+    limit = max(bucket, 4 * int(n.sum()) // (len(parts) << ROUGH))
+    full = cells["cell"].to_numpy()[n > limit].view(np.uint64)
+    if not len(full):
         return None
-    return rows.where(cell.isin(full)).groupBy("k", "key").count().where(F.col("count") > limit // 2).select("k", "key", F.lit(True).alias("hot"))
+    hot = F.lit(False)
+    for i, part in enumerate(parts):
+        own = (full[full >> np.uint64(KEY_BITS) == i] & np.uint64((1 << KEY_BITS) - 1)).tolist()
+        if own:
+            size = part.bit_count()
+            mine = F.shiftrightunsigned("key", KEY_BITS).isin(low[part])
+            hot = hot | mine & F.col("key").bitwiseAND(F.lit((1 << size) - 1)).isin(own)
+    found = written(rows.where(hot).groupBy("key").count().where(F.col("count") > bucket).select("key", F.lit(True).alias("hot")))
+    return found if found.limit(1).count() else None
 
 
 def links(distinct: DataFrame, bucket: int = BUCKET, masks: list[tuple[int, int]] | None = None) -> DataFrame:
@@ -191,18 +226,15 @@ def links(distinct: DataFrame, bucket: int = BUCKET, masks: list[tuple[int, int]
     masks: (first segment of the chain to check or -1, bits) of keys of which linked fingerprints share one.
     """
     masks = masks or [(i, m) for i, _, m in keys()]
-    all_keys = key_rows(masks)
-    rows = distinct.select("fp", F.explode(all_keys).alias("x")).select("x.k", "x.key", "fp")
-    hot = _hot_keys(rows, bucket)
-    if hot is None:
-        return rows.repartition("k", "key").mapInArrow(_links(bucket, masks), "u long, v long")
-    longer = F.lit(None)
-    for n, (_, m) in enumerate(masks):
-        parts = F.array(*(F.struct((F.lit(n + len(masks) * (e + 1))).alias("k"), F.col("fp").bitwiseAND(F.lit(_signed(m | x))).alias("key")) for e, x in enumerate(_extra(m))))
-        longer = F.when(F.col("k") == n, parts).otherwise(longer)
-    same = F.array(F.struct("k", "key"))
-    rows = rows.join(hot, ["k", "key"], "left").select("fp", F.explode(F.when(F.col("hot"), longer).otherwise(same)).alias("x")).select("x.k", "x.key", "fp")
-    return rows.repartition("k", "key").mapInArrow(_links(bucket, masks), "u long, v long")
+    rows = distinct.select(F.explode(key_rows(masks)).alias("key"), "fp")
+    hot = _hot_keys(distinct, rows, masks, bucket)
+    if hot is not None:
+        longer = F.lit(None)
+        for n, (_, m) in enumerate(masks):
+            parts = F.array(*(_key(n + len(masks) * (e + 1), m | x) for e, x in enumerate(_extra(m))))
+            longer = F.when(F.shiftrightunsigned("key", KEY_BITS) == n, parts).otherwise(longer)
+        rows = rows.join(hot, "key", "left").select(F.explode(F.when(F.col("hot"), longer).otherwise(F.array("key"))).alias("key"), "fp")
+    return rows.repartition("key").mapInArrow(_links(bucket, masks), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
