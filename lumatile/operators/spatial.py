@@ -32,12 +32,16 @@ def radius_join(left: DataFrame, right: DataFrame, radius: float, on: tuple[str,
 def nearest(left: DataFrame, right: DataFrame, radius: float, key: tuple[str, ...], per: tuple[str, ...], tie: str, on: tuple[str, ...] = ("fov",), axes: tuple[str, ...] = ("z", "y", "x"), prefix: str = "o_") -> DataFrame:
     """For each left row (key) and each value of the right columns `per`, the nearest right row below radius; ties go to the smallest `tie`.
 
-    An aggregate with partial results before the shuffle, not a window.
+    Pairs carry only keys, distance and tie through the aggregate, which has partial results before
+    its shuffle; the other columns of the nearest rows, one per result, are joined afterwards, so
+    `tie` must name a right row within `on`.
     """
-    pairs = radius_join(left, right, radius, on, axes, strict=True, prefix=prefix)
-    best = F.struct("dist", *(F.col(prefix + c) for c in dict.fromkeys((tie, *right.columns))))
-    return pairs.groupBy(*on, *key, *(F.col(prefix + p) for p in per)).agg(F.min(F.struct(F.round("dist", 9).alias("d"), F.col(prefix + tie).alias("t"), best.alias("b"))).alias("n")).select(
-        *on, *key, "n.b.*")
+    slim = right.select(*on, *dict.fromkeys((*per, tie, *axes)))
+    pairs = radius_join(left.select(*on, *key, *axes), slim, radius, on, axes, strict=True, prefix=prefix)
+    order = F.struct(F.round("dist", 9).alias("d"), F.col(prefix + tie).alias("t"))
+    best = pairs.groupBy(*on, *key, *(F.col(prefix + p) for p in per)).agg(F.min(order).alias("n")).select(*on, *key, F.col("n.d").alias("dist"), F.col("n.t").alias(prefix + tie))
+    rest = right.select(*(F.col(c).alias(f"__{c}") for c in on), *(F.col(c).alias(prefix + c) for c in right.columns if c not in on))
+    return best.join(rest.withColumnRenamed(prefix + tie, "__tie"), [*(best[c] == F.col(f"__{c}") for c in on), best[prefix + tie] == F.col("__tie")]).drop("__tie", *(f"__{c}" for c in on))
 
 
 def box_join(boxes: DataFrame, points: DataFrame, axes: tuple[str, ...] = ("z", "y", "x"), on: tuple[str, ...] = ("fov",)) -> DataFrame:
