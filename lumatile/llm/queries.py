@@ -49,7 +49,7 @@ def op8_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fuzzy_lines.dedup_lines(documents(spark, sf_dir))
+    return fuzzy_lines.dedup_lines(documents(spark, sf_dir), grams=True)
 
 
 def op10_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -551,6 +551,28 @@ def test_fuzzy_lines(spark, empty):
     assert fuzzy_lines.dedup_lines(empty).count() == 0
 
 
+def test_lines_with_edits_are_linked(spark):
+    """Pairs of lines that differ in one letter (edits 0) or in so many words: of those that brute force calls similar, nearly all are linked."""
+    r = random.Random(14)
+    word = lambda: "".join(r.choice("etaoinshrdlu") for _ in range(r.randint(3, 9)))
+    shares = {(3, 0): 0.9, (6, 0): 0.95, (10, 0): 0.97, (10, 1): 0.95, (28, 1): 0.97, (28, 3): 0.9, (60, 4): 0.95}
+    pairs = []
+    for words, edits in shares:
+        for _ in range(150):
+            w = [word() for _ in range(words)]
+            x = w[:]
+            for i in r.sample(range(words), edits or 1):
+                x[i] = word() if edits else x[i] + "q"
+            pairs.append(((words, edits), " ".join(w), " ".join(x)))
+    alike = {k: p[0] for k, p in enumerate(pairs) if fuzzy_lines.similar(p[1].encode(), p[2].encode())}
+    rows = [(2 * k + n, p[n + 1]) for k, p in enumerate(pairs) for n in range(2)]
+    got = {f.doc_id: f.n_dropped for f in fuzzy_lines.dedup_lines(table(spark, rows), grams=True).collect()}
+    for kind, share in shares.items():
+        own = [k for k in alike if alike[k] == kind]
+        assert len(own) > 40 and sum(got[2 * k + 1] for k in own) >= share * len(own)
+    assert sum(got.values()) <= len(alike)
+
+
 # --- pipeline -----------------------------------------------------------------------------------
 
 
