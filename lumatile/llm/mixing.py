@@ -1,7 +1,8 @@
 """Mixing sources to target weights by Sainte-Laguë apportionment.
 
-Documents fall into shards by a hash of their key, so every shard sees a share of every source,
-hot ones included. In each shard the sources' words are cut into blocks of as many tokens; the
+Documents fall into shards by a hash of their key. A source is spread over as many shards as it
+has pieces of PIECE blocks, up to all: hot ones are everywhere, and rare ones stay together, as
+each shard rounds quotas to blocks on its own. In each shard the sources' words are cut into blocks of as many tokens; the
 shard's blocks go to sources one by one, each to the highest quotient share / (2 * quota + 1);
 then a seeded choice takes a source's quota: all its blocks as often as they fit, and from a
 seeded place on as many blocks in a row as remain.
@@ -24,6 +25,8 @@ from .common import id_and_text, written
 WEIGHTS, SHARE, REPEATS = (5, 2, 1), 1.5, 2
 #: Words of a block and, about, of a shard.
 BLOCK, SHARD = 64, 1_000_000
+#: Blocks that a source has at least, about, in each shard that it is spread over.
+PIECE = 256
 #: Columns that a shard has before those of its rows.
 OWN = 6
 #: Sources are a mixture's settings and live on the driver; more of them than this is an error, not a mixture.
@@ -181,6 +184,15 @@ def _place(seed: int):
     return F.xxhash64(F.lit(seed), "doc_id", "hash")
 
 
+def _sharded(placed: DataFrame, size_of: dict, shards: int, block: int) -> DataFrame:
+    """placed (columns source, place) with a column shard."""
+    spread = [(s, min(shards, max(1, n // (PIECE * block)))) for s, n in size_of.items()]
+    table = placed.sparkSession.createDataFrame(spread, "of string, spread long")
+    own = placed.join(F.broadcast(table), placed["source"].eqNullSafe(table["of"]))
+    first = F.xxhash64(F.lit("shard"), "source")  # rare sources begin at different shards
+    return own.withColumn("shard", F.pmod(F.pmod(first, F.lit(shards)) + F.pmod("place", "spread"), F.lit(shards))).drop("of", "spread")
+
+
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, repeats: int = REPEATS, block: int = BLOCK, shard: int = SHARD, seed: int = 0) -> DataFrame:
     """One row per row of docs (columns doc_id, text, source): doc_id, source, size, source_size, target, taken, spans.
 
@@ -193,7 +205,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, repeats
     sizes = written(_sizes_of(docs))
     size_of, target_of = _targets_of(sizes, weights, share, repeats)
     shards = max(1, round(sum(size_of.values()) / shard))
-    placed = sizes.withColumn("place", _place(seed)).withColumn("shard", F.pmod("place", F.lit(shards)))
+    placed = _sharded(sizes.withColumn("place", _place(seed)), size_of, shards, block)
     rows = placed.groupBy("shard").applyInArrow(
         _shard(_chooser(target_of, size_of, seed, block, repeats)),
         "doc_id long, rank int, size long, taken long, spans array<struct<epoch:int,first:long,last:long>>",
@@ -218,7 +230,7 @@ def mixed(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, repea
     schema = StructType().add("doc_id", LongType()).add("source", StringType()).add("size", LongType()).add("hash", LongType())
     for i, field in enumerate(docs.schema.fields):
         schema = schema.add(f"col{i}", field.dataType)
-    rows = docs.mapInArrow(_measured(docs.columns), schema).withColumn("place", _place(seed))
-    rows = rows.select("doc_id", "source", "size", "hash", "place", F.pmod("place", F.lit(shards)).alias("shard"), *(f"col{i}" for i in range(len(docs.columns))))
+    rows = _sharded(docs.mapInArrow(_measured(docs.columns), schema).withColumn("place", _place(seed)), size_of, shards, block)
+    rows = rows.select("doc_id", "source", "size", "hash", "place", "shard", *(f"col{i}" for i in range(len(docs.columns))))
     choose = _chooser(target_of, size_of, seed, block, repeats)
     return rows.groupBy("shard").applyInArrow(_taken_rows(choose, docs.columns, to_arrow_schema(docs.schema)), docs.schema)

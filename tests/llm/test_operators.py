@@ -279,6 +279,14 @@ def test_mix(spark, empty):
     assert mixing.mix(empty).count() == 0 == mixing.mixed(empty).count()
 
 
+def test_a_small_source_reaches_its_target_over_many_shards(spark):
+    rows = [(i, " ".join(["w"] * 400), f"big{i % 5}") for i in range(2000)] + [(10_000 + i, " ".join(["w"] * 15), "tiny") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    tiny = [x for x in mixing.mix(docs, shard=4_000).collect() if x.source == "tiny"]
+    assert tiny[0].target == 12_000 and abs(sum(x.taken for x in tiny) - 12_000) <= 128
+    assert sum(len(x.text.split()) for x in mixing.mixed(docs, shard=4_000).where("source = 'tiny'").collect()) == sum(x.taken for x in tiny)
+
+
 def test_cut_keeps_what_stands_between_words():
     assert mixing._cut("  a  b\nc d ", 4, [(0, 4)]) == "  a  b\nc d "
     assert mixing._cut("  a  b\nc d ", 4, [(0, 2), (3, 4)]) == "a  b\nd"
