@@ -7,19 +7,21 @@ marginal probability of being good, and a document's score is their mean weighte
 
 from __future__ import annotations
 
+import bisect
 import zlib
+from array import array
 from collections.abc import Iterator
 from operator import eq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import id_and_text
 
-#: Labelled documents that the model is fitted to, at most.
-TRAIN_DOCS = 3000
+#: Labelled documents that the model is fitted to, and lines that they have in all, at most.
+TRAIN_DOCS, TRAIN_LINES = 3000, 200_000
 #: One of so many labelled documents, by CRC-32 of its doc_id, is held out.
 FOLDS = 5
 #: Scores from here on are label 1.
@@ -36,20 +38,20 @@ _HIGH = bytes(range(128, 256))
 
 def line_features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """(lines, WIDTH) features and the lines' lengths in bytes; lines without a word are left out."""
-    rows, lengths, seen = [], [], set()
+    rows, lengths, seen = array("d"), array("d"), set()
     for line in text.split(b"\n"):
         w = line.split()
         if not w:
             continue
         n, size = len(w), len(line)
         left = lambda drop: (size - len(line.translate(None, drop))) / size
-        rows.append((
+        rows.extend((
             1.0, np.log1p(size), left(_SYMBOLS), left(b"!"), left(_UPPER), left(_DIGITS), left(_POINTS), left(_HIGH),
             min(sum(map(len, w)) / n, 40.0), sum(map(eq, w, w[1:])) / n, float(line in seen), 1 - len(set(w)) / n,
         ))
         lengths.append(size)
         seen.add(line)
-    own = np.array(rows, float).reshape(-1, 12)
+    own = np.array(rows).reshape(-1, 12)
     if not len(own):
         return np.zeros((0, WIDTH)), np.zeros(0)
     near = np.hstack([own[:, SEEN], np.ones((len(own), 1))])  # the 1 tells that there is such a line
@@ -70,7 +72,10 @@ def _log_sum(a: np.ndarray, axis: int) -> np.ndarray:
 
 
 def forward_backward(emit: np.ndarray, move: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """emit (docs, lines, 2), move (2, 2): marginals (docs, lines, 2), expected moves (docs, 2, 2), log partition sums."""
+    """emit (docs, lines, 2), move (2, 2): marginals (docs, lines, 2), expected moves (docs, 2, 2), log partition sums.
+
+    Lines from a document's length on are padding: their marginals are 0, whatever alpha has grown to there.
+    """
     docs, most, _ = emit.shape
     alpha, beta = np.empty_like(emit), np.zeros_like(emit)
     alpha[:, 0] = emit[:, 0]
@@ -80,7 +85,7 @@ def forward_backward(emit: np.ndarray, move: np.ndarray, lengths: np.ndarray) ->
         beta[:, t] = np.where((t + 1 < lengths)[:, None], _log_sum(move + (emit[:, t + 1] + beta[:, t + 1])[:, None, :], 2), 0)
     log_z = _log_sum(alpha[np.arange(docs), lengths - 1], 1)
     there = np.arange(most) < lengths[:, None]
-    marginals = np.exp(alpha + beta - log_z[:, None, None]) * there[..., None]
+    marginals = np.exp(np.where(there[..., None], alpha + beta - log_z[:, None, None], -np.inf))
     moves = np.zeros((docs, 2, 2))
     if most > 1:
         pair = alpha[:, :-1, :, None] + move + (emit[:, 1:] + beta[:, 1:])[:, :, None, :] - log_z[:, None, None, None]
@@ -88,6 +93,17 @@ def forward_backward(emit: np.ndarray, move: np.ndarray, lengths: np.ndarray) ->
     return marginals, moves, log_z
 
 
+def _runs(lengths: list[int], slots: int = SLOTS) -> Iterator[list[int]]:
+    """Indices of documents at least half as long as the longest of them, longest first, with at most `slots` lines when padded; longer ones are alone."""
+    order = sorted((i for i, n in enumerate(lengths) if n), key=lambda i: lengths[i])
+    while order:
+        most = lengths[order[-1]]
+        like = len(order) - bisect.bisect_left(order, most / 2, key=lambda i: lengths[i])
+        k = max(1, min(like, slots // most))
+        yield order[-k:]
+        del order[-k:]
+
+
 def fit(features: list[np.ndarray], labels: list[int], steps: int = 150, ridge: float = 1e-3) -> dict:
     """Weights by Adam on the conditional likelihood of the label sequences; deterministic."""
     rows = np.vstack(features) if features else np.zeros((0, WIDTH))
@@ -97,8 +113,7 @@ def fit(features: list[np.ndarray], labels: list[int], steps: int = 150, ridge:
     mean, scale = rows.mean(axis=0), rows.std(axis=0)
     mean[0], scale[0] = 0, 1
     scale[scale < 1e-9] = 1
-    order = np.argsort([len(f) for f in features], kind="stable")
-    chunks = [order[i : i + 256] for i in range(0, len(order), 256)]
+    chunks = list(_runs([len(f) for f in features]))
     data = [(_padded([(features[i] - mean) / scale for i in c]), np.array([labels[i] for i in c]), np.array([len(features[i]) for i in c])) for c in chunks]
     theta = np.zeros(WIDTH + 4)
     first, second = np.zeros_like(theta), np.zeros_like(theta)
@@ -119,24 +134,22 @@ def fit(features: list[np.ndarray], labels: list[int], steps: int = 150, ridge:
         first = 0.9 * first + 0.1 * grad
         second = 0.99 * second + 0.01 * grad**2
         theta -= 0.15 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
+    if not np.isfinite(theta).all():
+        raise ArithmeticError("the classifier's weights are not finite")
     return {"mean": mean, "scale": scale, "w": theta[:WIDTH], "move": theta[WIDTH:].reshape(2, 2), "empty": 0.0}
 
 
 def scores(model: dict, features: list[np.ndarray], lengths: list[np.ndarray]) -> np.ndarray:
     """Length-weighted mean marginal of each document; model["empty"] for one without lines."""
     out = np.full(len(features), model["empty"])
-    order = sorted((i for i, f in enumerate(features) if len(f)), key=lambda i: len(features[i]))
-    while order:
-        # Documents of like length run together, as many as fit.
-        most, k = len(features[order[-1]]), 1
-        while k < len(order) and (k + 1) * most <= SLOTS:
-            k += 1
-        own, order = order[-k:], order[:-k]
+    for own in _runs([len(f) for f in features]):
         n = np.array([len(features[i]) for i in own])
         good = _padded([((features[i] - model["mean"]) / model["scale"]) @ model["w"] for i in own])
         marginals, _, _ = forward_backward(np.stack([np.zeros_like(good), good], axis=-1), model["move"], n)
         weight = _padded([lengths[i] for i in own])
         out[own] = (marginals[..., 1] * weight).sum(axis=1) / weight.sum(axis=1)
+    if not np.isfinite(out).all():
+        raise ArithmeticError("a score is not finite")
     return np.clip(out, 0.0, 1.0)
 
 
@@ -146,8 +159,12 @@ def _features(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(2), pa.array(rows, pa.list_(pa.float64()))], names=["label", "features"])
 
 
-def train(docs: DataFrame, labels: DataFrame, column: str = "quality", most: int = TRAIN_DOCS, folds: int = FOLDS) -> dict:
-    """A model fitted to labelled rows whose doc_id isn't held out: `most` of them at most, chosen by a hash of doc_id."""
+def train(docs: DataFrame, labels: DataFrame, column: str = "quality", most: int = TRAIN_DOCS, folds: int = FOLDS, lines: int = TRAIN_LINES) -> dict:
+    """A model fitted to labelled rows whose doc_id isn't held out: `most` of them at most, chosen by a hash of doc_id.
+
+    Of these, those with over a hundredth of `lines` stay out of the fitting, as do those, in order of a
+    hash of their features, with which all would have more than `lines`: so the driver's share is bounded.
+    """
     key = F.col("doc_id").cast("string")
     chosen = (
         labels.where(F.col("doc_id").isNotNull() & F.col(column).isin(0, 1) & (F.crc32(key.cast("binary")) % folds != 0))
@@ -156,7 +173,9 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "quality", most: int
     )
     rows = id_and_text(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")  # of `most` rows
     one = rows.groupBy("doc_id").agg(F.min(F.struct("text", "label")).alias("x")).select("doc_id", "x.text", "x.label")
-    found = one.mapInArrow(_features, "label int, features array<double>").orderBy("label", F.xxhash64("features")).toArrow()
+    held = one.mapInArrow(_features, "label int, features array<double>").withColumn("n", F.size("features") / WIDTH).where(F.col("n") <= lines / 100)
+    in_all = F.sum("n").over(Window.orderBy(F.xxhash64("features")).rowsBetween(Window.unboundedPreceding, 0))  # of `most` rows
+    found = held.withColumn("in_all", in_all).where(F.col("in_all") <= lines).orderBy("label", F.xxhash64("features")).select("label", "features").toArrow()
     features = [np.array(f).reshape(-1, WIDTH) for f in found["features"].to_pylist()]
     y = found["label"].to_pylist()
     use = [i for i, f in enumerate(features) if len(f)]

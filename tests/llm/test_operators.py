@@ -348,6 +348,35 @@ def test_forward_backward_equals_all_paths():
         assert moves[d, 0, 1] == pytest.approx(sum(v * sum((a, b) == (0, 1) for a, b in zip(p, p[1:], strict=False)) for p, v in paths.items()) / z)
 
 
+def test_long_and_short_documents_share_a_batch():
+    """Padding of thousands of lines leaves scores and weights finite, and no score depends on the batch."""
+    r = random.Random(21)
+    line = lambda bad: " ".join(("***" if bad and r.random() < 0.5 else "") + "".join(r.choice("abcdef") for _ in range(r.randint(2, 8))) for _ in range(r.randint(3, 12)))
+    sizes = [1, 2, 3, 900, 1100, 5000, 20_000, 0] + [r.randint(1, 30) for _ in range(60)]
+    labels = [i % 2 for i in range(len(sizes))]
+    texts = ["\n".join(line(not y) for _ in range(n)).encode() for n, y in zip(sizes, labels, strict=True)]
+    pairs = [quality_crf.line_features(t) for t in texts]
+    use, short = [i for i, n in enumerate(sizes) if n], [i for i, n in enumerate(sizes) if 0 < n <= 5000]
+    model = quality_crf.fit([pairs[i][0] for i in short], [labels[i] for i in short], steps=40)
+    assert all(np.isfinite(model[k]).all() for k in ("w", "move"))
+    together = quality_crf.scores(model, [p[0] for p in pairs], [p[1] for p in pairs])
+    alone = [quality_crf.scores(model, [p[0]], [p[1]])[0] for p in pairs]
+    assert np.allclose(together, alone, rtol=0, atol=1e-9) and np.isfinite(together).all()
+    assert ((together > 0.5) == np.array(labels, bool))[use].mean() > 0.95
+    lengths = [len(p[0]) for p in pairs]
+    assert sorted(i for run in quality_crf._runs(lengths, 4000) for i in run) == use
+    assert all(len(run) == 1 or len(run) * max(lengths[i] for i in run) <= 4000 for run in quality_crf._runs(lengths, 4000))
+
+
+def test_training_lines_are_bounded(spark):
+    rows = [(i, "\n".join(["good words here"] * (5000 if i == 1 else 3)) if i % 2 else "*** ### ***") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    model = quality_crf.train(docs, labels, lines=10_000)
+    out = {x.doc_id: x.score for x in quality_crf.classify(docs, model).collect()}
+    assert all((s > 0.5) == (i % 2 == 1) for i, s in out.items())
+
+
 def test_classifier_holds_out_and_generalises(spark, docs, empty):
     sf = "/root/testdata/sf0.01"
     d, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
