@@ -1,10 +1,10 @@
 """Main text of web pages by nearest-URL page differencing.
 
 Pages are put in order of host and URL path; each is compared with the neighbour of its host whose
-path is nearest. Their text lines are aligned by a longest common subsequence, and lines that both
-have are deleted as the site's. Markup then settles what two pages can't: lines inside an article
-stay even if another page repeats them, and lines inside menus, forms, comments and the like go
-even if no neighbour has them.
+path is nearest and that isn't a copy of it. Their text lines are aligned by a longest common
+subsequence, and lines that both have are deleted as the site's. A check by markup follows, for
+what two pages can't tell: lines inside an article come back if another page repeats them, and
+lines inside menus, forms, comments and the like go even if no neighbour has them.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BATCH_BYTES, written
+from .common import BATCH_BYTES, to_batch, written
 
 #: Elements whose content is never main text, those that end a line, and those without an end tag (fixed values of HTML).
 NEVER = frozenset("head nav footer aside form button select option datalist noscript iframe object canvas svg math audio video template dialog menu map".split())
@@ -29,6 +29,8 @@ BLOCKS = frozenset("address article aside blockquote body caption center dd deta
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose nesting matters; of others only the line breaks do.
 NESTED = (NEVER | frozenset("article main header section div ul ol dl table blockquote figure body html span".split())) - VOID
+#: Elements that hold a whole page or its main part.
+WHOLE = frozenset({"html", "body", "main", "article"})
 #: Words in class, id or role that mark what isn't main text.
 MARKS = frozenset("ad ads advert advertisement adverts advertising adsense sponsor sponsored promo promotion banner sidebar sidenav nav navbar navigation navigational menu submenu breadcrumb breadcrumbs footer masthead topbar toolbar cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login signin share sharing social related recommended recommendations comment comments commentlist reply replies respond disqus discussion search searchbox pagination pager widget complementary contentinfo copyright disclaimer skip hidden paywall outbrain taboola".split())
 #: Those that count inside an article too only if they stand alone: an article has its own header.
@@ -40,10 +42,10 @@ _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
-def _marked(attributes: str) -> tuple[bool, bool, bool]:
-    """Whether an element is not main text, is a header, is the main part, by its attributes."""
+def _marked(attributes: str) -> tuple[bool, bool, bool, bool]:
+    """Whether an element is not main text, is a header, is the main part, isn't shown, by its attributes."""
     if not attributes or attributes.isspace():
-        return False, False, False
+        return False, False, False, False
     words, off, main = set(), False, False
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), a or b or c
@@ -54,7 +56,7 @@ def _marked(attributes: str) -> tuple[bool, bool, bool]:
             main |= value.lower() == "articlebody"
         elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             off = True
-    return off or not words.isdisjoint(MARKS), not words.isdisjoint(HEADERS) or "banner" in words, main
+    return off or not words.isdisjoint(MARKS), not words.isdisjoint(HEADERS) or "banner" in words, main, off
 
 
 def lines_of(page: str) -> tuple[list[str], list[int]]:
@@ -104,8 +106,10 @@ def lines_of(page: str) -> tuple[list[str], list[int]]:
                     end_line()
                 del stack[k:]
         elif not m[3].rstrip().endswith("/") or name not in ("svg", "span"):
-            off, header, main = _marked(m[3])
+            off, header, main, off_by_style = _marked(m[3])
             new = kind
+            if name in WHOLE and not off_by_style and all(x[0] != "article" for x in stack):
+                off = header = False  # class words of a page or its main part tell what it is about
             if name in NEVER or off or (header or name == "header") and kind != ARTICLE:
                 new = OTHER
             elif kind != OTHER and (name in ("article", "main") or main):
@@ -168,18 +172,24 @@ def _align(a: list, b: list, most_bits: int = 1 << 28) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def main_lines(lines: list[str], kinds: list[int], other: list[str] | None) -> list[str]:
-    """What stays of a page's lines, given those of its neighbour.
+def unshared(lines: list[str], kinds: list[int], other: list[str] | None) -> set[int]:
+    """The lines that differencing leaves: those not aligned with a line of the other page.
 
-    Shared lines go, unless they are an article's; marked ones go. A page that has an article
-    keeps that only. Pages equal in all plain lines are copies: their lines say nothing of the site.
+    If it would delete all lines that markup says nothing of, the pages are versions of one
+    another, and what they share is no site's: all lines stay.
     """
-    article = ARTICLE in kinds
-    shared = {i for i, _ in common_lines(lines, other)} if other is not None and lines != other else set()
+    shared = {i for i, _ in common_lines(lines, other)} if other is not None else set()
     plain = [i for i, k in enumerate(kinds) if k == PLAIN]
-    if plain and shared.issuperset(plain):
-        shared = set()
-    return [x for i, (x, k) in enumerate(zip(lines, kinds, strict=True)) if k == ARTICLE or k == PLAIN and not article and i not in shared]
+    return set(range(len(lines))) - (set() if plain and shared.issuperset(plain) else shared)
+
+
+def main_lines(lines: list[str], kinds: list[int], other: list[str] | None) -> list[str]:
+    """What stays of a page's lines, given those of its neighbour: differencing, then the check by markup.
+
+    A page that has an article keeps the whole of that, and nothing else.
+    """
+    left, article = unshared(lines, kinds, other), ARTICLE in kinds
+    return [x for i, (x, k) in enumerate(zip(lines, kinds, strict=True)) if k == ARTICLE or k == PLAIN and not article and i in left]
 
 
 def split_url(url: str) -> tuple[str, str]:
@@ -205,98 +215,168 @@ def nearness(a: str, b: str) -> tuple[int, int]:
 
 
 EXTRACTED = "page_id long, url string, text string, n_chars long"
+#: Bytes of html that a task gets, about; one page may have more.
+PART_BYTES = 32 << 20
+#: Columns of a page's row in its part: role is 0 for the part's own pages and 1 for a page of another part that is here to be compared with.
+ROW = "part int, role int, host string, path string, h long, page_id long, url string, html string"
 
 
 def _diff(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order of host, path: each page with the nearer one of those before and after it."""
+    """Rows in order of part, host, path, h, page_id: each own page with the nearer one of the pages before and after it that have another h."""
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
-    out, size = [], 0
 
-    def pages():
+    def runs():
+        """(part, host, h, lines and kinds, path of the first and the last page, own pages as (page_id, url, path)) of successive copies."""
+        run = None
         for b in parts:
-            for page_id, url, host, path, page in zip(*(c.to_pylist() for c in b.columns[:5]), strict=True):
-                yield page_id, url, host, path, *lines_of(page or "")
+            for part, role, host, path, h, page_id, url, page in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if run is None or run[:3] != [part, host, h]:
+                    if run:
+                        yield run
+                    run = [part, host, h, lines_of(page or ""), path, path, []]
+                run[5] = path
+                if not role:
+                    run[6].append((page_id, url, path))
+        if run:
+            yield run
         yield None
 
-    before, own = None, None
-    for after in pages():
+    out, size, before, own = [], 0, None, None
+    for after in runs():
         if own is not None:
-            page_id, url, host, path, lines, kinds = own
-            near = [p for p in (before, after) if p is not None and p[2] == host]
-            other = max(near, key=lambda p: nearness(path, p[3])) if near else None
-            text = "\n".join(main_lines(lines, kinds, other and other[4]))
-            out.append((page_id, url, text, len(text)))
-            size += len(text)
+            lines, kinds = own[3]
+            prev = before if before and before[:2] == own[:2] else None
+            following = after if after and after[:2] == own[:2] else None
+            texts = {}  # by neighbour: copies under one path, or near it, share theirs
+            for page_id, url, path in own[6]:
+                near = [(nearness(path, p[k]), k) for p, k in ((prev, 5), (following, 4)) if p]
+                k = max(near, key=lambda x: x[0])[1] if near else 0
+                if k not in texts:
+                    texts[k] = "\n".join(main_lines(lines, kinds, {5: prev, 4: following}[k][3][0] if k else None))
+                out.append((page_id, url, texts[k], len(texts[k])))
+                size += len(texts[k])
+                if size > BATCH_BYTES:
+                    yield to_batch(out, schema)
+                    out, size = [], 0
         before, own = own, after
-        if size > BATCH_BYTES or after is None:
-            columns = list(zip(*out, strict=True)) if out else [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
-            out, size = [], 0
+    if out:
+        yield to_batch(out, schema)
 
 
-def _hosts(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _keys(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, path, h, page_id, size) from (page_id, url, h, size)."""
     for b in parts:
-        both = [split_url(u or "") for u in b.column("url").to_pylist()]
-        yield b.append_column("host", pa.array([h for h, _ in both], pa.string())).append_column("path", pa.array([p for _, p in both], pa.string()))
-
-
-def _edges(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a sorted partition: its first two and last two keys."""
-    first, last = [], []
-    for b in parts:
-        for key in zip(b.column("host").to_pylist(), b.column("path").to_pylist(), b.column("page_id").to_pylist(), strict=True):
-            if len(first) < 2:
-                first.append(key)
-            last = [*last[-1:], key]
-    if first:
-        keys = [*first, *last] if len(first) > 1 else [first[0]] * 4
-        kind = pa.list_(pa.struct([("host", pa.string()), ("path", pa.string()), ("page_id", pa.int64())]))
-        yield pa.RecordBatch.from_arrays([pa.array([[dict(zip(("host", "path", "page_id"), k, strict=True)) for k in keys]], kind)], names=["keys"])
+        both = [split_url(u or "") for u in b.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in both], pa.string()), pa.array([x for _, x in both], pa.string()), b.column(2), b.column(0), b.column(3)], names=["host", "path", "h", "page_id", "size"])
 
 
 def order_of(key: tuple) -> tuple:
-    """Sorts as Spark does: text by UTF-8 bytes, null first."""
-    return key[0].encode(), key[1].encode(), key[2] is not None, key[2] or 0
-
-
-def bounds(edges: list[list[tuple]]) -> list[tuple]:
-    """First keys of all but the first partition; a page alone of its host at a partition's edge goes where its neighbour is."""
-    edges = sorted(edges, key=lambda e: order_of(e[0]))
-    out = []
-    for (_, _, near, last), (first, second, _, _) in zip(edges, edges[1:], strict=False):
-        if last[0] != first[0]:
-            out.append(first)
-        elif near[0] != last[0]:
-            out.append(last)
-        elif second[0] != first[0]:
-            out.append(second)
+    """Sorts keys (host, path, h, page_id) as Spark does: text by UTF-8 bytes, null first."""
+    return key[0].encode(), key[1].encode(), key[2], key[3] is not None, key[3] or 0
+
+
+def _sections(part_bytes: int):
+    """Of a sorted partition's sections of about part_bytes: the first key, the first with another h, the last with another h than the last, the last, and the bytes."""
+    kind = pa.list_(pa.struct([("host", pa.string()), ("path", pa.string()), ("h", pa.int64()), ("page_id", pa.int64())]))
+    schema = pa.schema([("keys", kind), ("size", pa.int64())])
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows():
+            own = None
+            for b in parts:
+                for *key, size in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    if own is None or own[4] + size > part_bytes:
+                        if own:
+                            yield own
+                        own = [key, None, None, key, 0]
+                    if own[1] is None and key[2] != own[0][2]:
+                        own[1] = key
+                    if key[2] != own[3][2]:
+                        own[2] = own[3]
+                    own[3], own[4] = key, own[4] + size
+            if own:
+                yield own
+
+        names = ("host", "path", "h", "page_id")
+        yield to_batch([([k and dict(zip(names, k, strict=True)) for k in r[:4]], r[4]) for r in rows()], schema)
+
+    return run
+
+
+def cuts(sections: list[tuple[list, int]], part_bytes: int) -> tuple[list[tuple], dict[tuple, list[int]]]:
+    """First keys of the parts, and for each key of a page that is compared with pages of other parts the numbers of these.
+
+    sections: (first, first other, last other, last) as (host, path, h, page_id) and bytes, in order.
+    Small neighbours make one part. A part's first pages, which are copies of one another, need the
+    last page before that has another h, of any part; likewise its last ones.
+    """
+    parts: list[list] = []
+    for (first, other, other_last, last), size in sections:
+        if parts and parts[-1][4] + size <= part_bytes:
+            p = parts[-1]
+            if p[1] is None:
+                p[1] = first if first[2] != p[0][2] else other
+            p[2] = other_last or (p[3] if p[3][2] != last[2] else p[2])
+            p[3], p[4] = last, p[4] + size
         else:
-            out.append(first)
-    return sorted(out, key=order_of)
-
-
-def extract(pages: DataFrame) -> DataFrame:
+            parts.append([first, other, other_last, last, size])
+    wanted: dict[tuple, list[int]] = {}
+    for step, (near, beyond, edge) in ((1, (3, 2, 0)), (-1, (0, 1, 3))):
+        one = two = None  # the nearest page seen, and the nearest with another h than that
+        for n in range(len(parts))[::step]:
+            p = parts[n]
+            for seen in (one, two):
+                if seen and seen[2] != p[edge][2]:
+                    if seen[0] == p[edge][0]:
+                        wanted.setdefault(tuple(seen), []).append(n)
+                    break
+            if p[beyond]:
+                two = p[beyond]
+            elif one and one[2] != p[near][2]:
+                two = one
+            one = p[near]
+    return [tuple(p[0]) for p in parts], wanted
+
+
+def _placed(firsts: list[tuple], wanted: dict[tuple, list[int]]):
+    """Rows (part, role, host, path, h, page_id, url, html) from (page_id, url, h, html)."""
+    order = [order_of(k) for k in firsts]
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent = set()  # a repeated row need not be compared with more than once
+        for b in parts:
+            rows = []
+            for i, (page_id, url, h) in enumerate(zip(*(c.to_pylist() for c in b.columns[:3]), strict=True)):
+                key = (*split_url(url or ""), h, page_id)
+                rows.append((i, max(0, bisect.bisect_right(order, order_of(key)) - 1), 0, key[0], key[1]))
+                if key in wanted and key not in sent:
+                    sent.add(key)
+                    rows += [(i, n, 1, key[0], key[1]) for n in wanted[key]]
+            at, part, role, host, path = zip(*rows, strict=True) if rows else [()] * 5
+            own = b.take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(role, pa.int32()), pa.array(host, pa.string()), pa.array(path, pa.string()), own.column(2), own.column(0), own.column(1), own.column(3)],
+                                             names=["part", "role", "host", "path", "h", "page_id", "url", "html"])
+
+    return run
+
+
+def extract(pages: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     """One row per row of pages (columns page_id, url, html): page_id, url, text, n_chars.
 
     text: the blocks' text in page order, joined by line breaks; empty for a null or empty page or
     one without main text. Pages with a null url count as of one host without a name. A page alone
-    of its host is judged by its markup. Repeated rows give equal rows. An empty table gives none.
+    of its host, or with copies of it only, is judged by its markup. Repeated rows give equal rows.
+    An empty table gives none. Nothing depends on how the rows are partitioned.
 
-    The driver holds four keys of each partition of a sort by URL, no more; pages move once.
+    The driver holds four keys for each part_bytes of html, no more; pages move once.
     """
-    spark = pages.sparkSession
-    light = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"))
-    keys = written(light.mapInArrow(_hosts, "page_id long, url string, host string, path string").select("host", "path", "page_id"))
-    number = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = keys.repartitionByRange(number, "host", "path", "page_id").sortWithinPartitions("host", "path", "page_id").mapInArrow(_edges, "keys array<struct<host:string,path:string,page_id:long>>").collect()
-    cuts = [order_of(k) for k in bounds([[(k.host, k.path, k.page_id) for k in r["keys"]] for r in found])]
-
-    @F.udf("struct<part:int,host:string,path:string>", useArrow=True)
-    def placed(page_id, url):
-        host, path = split_url(url or "")
-        return {"part": bisect.bisect_right(cuts, order_of((host, path, page_id))), "host": host, "path": path}
-
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html"), F.lit("")).alias("html"))
-    rows = rows.withColumn("at", placed("page_id", "url")).select("page_id", "url", "at.host", "at.path", "html", "at.part")
-    rows = rows.repartition(max(1, len(cuts) + 1), "part").sortWithinPartitions("part", "host", "path", "page_id")
-    return rows.mapInArrow(_diff, EXTRACTED)
+    light = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html"), F.lit("")).alias("html"))
+    light = light.withColumn("h", F.xxhash64("html"))
+    keys = written(light.select("page_id", "url", "h", F.octet_length("html").cast("long").alias("size")).mapInArrow(_keys, "host string, path string, h long, page_id long, size long"))
+    number = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by = ("host", "path", "h", "page_id")
+    found = keys.repartitionByRange(number, *by).sortWithinPartitions(*by).mapInArrow(_sections(part_bytes), "keys array<struct<host:string,path:string,h:long,page_id:long>>, size long").collect()
+    sections = sorted((([k and tuple(k) for k in r["keys"]], r["size"]) for r in found), key=lambda s: order_of(s[0][0]))
+    firsts, wanted = cuts(sections, part_bytes)
+    rows = light.select("page_id", "url", "h", "html").mapInArrow(_placed(firsts, wanted), ROW)
+    return rows.repartition(max(1, len(firsts)), "part").sortWithinPartitions("part", *by).mapInArrow(_diff, EXTRACTED)

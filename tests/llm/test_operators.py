@@ -499,14 +499,73 @@ def test_pages(spark):
     assert all(out[i].text == f"Title {i}\nshared sentence\ntext {i}" for i in range(40))
     assert all(out[100 + i].text == f"own text {i}" for i in range(9))
     assert (out[200].text, out[201].text, out[205].text) == ("", "only", "") and out[202].text.startswith("Welcome")
-    assert out[203].text == out[204].text and "own text 2" in out[203].text and out[203].n_chars == len(out[203].text)
+    assert out[203].text == out[204].text and "Welcome" in out[203].text and "own text 2" in out[203].text and out[203].n_chars == len(out[203].text)
     assert html_main.extract(pages.where("page_id < 0")).count() == 0
 
 
-def test_bounds_leave_no_page_alone():
-    k = lambda h, p: (h, p, 0)
-    edges = [[k("a", "1"), k("a", "2"), k("b", "1"), k("c", "1")], [k("c", "2"), k("c", "3"), k("d", "1"), k("d", "2")], [k("d", "3"), k("e", "1"), k("e", "2"), k("e", "3")]]
-    assert html_main.bounds(edges) == [k("c", "1"), k("e", "1")]
+def brute_pages(rows):
+    """The text of each page: sorted by host, path, content, id, each compared with the nearer of the nearest pages that aren't copies."""
+    keyed = sorted({(*html_main.split_url(u or ""), h, i, u, t or "") for i, u, t, h in rows}, key=lambda k: html_main.order_of(k[:4]))
+    out = {}
+    for n, (host, path, h, i, u, t) in enumerate(keyed):
+        before = next((k for k in keyed[:n][::-1] if k[2] != h or k[0] != host), None)
+        after = next((k for k in keyed[n + 1 :] if k[2] != h or k[0] != host), None)
+        near = [k for k in (before, after) if k and k[0] == host]
+        other = max(near, key=lambda k: html_main.nearness(path, k[1])) if near else None
+        lines, kinds = html_main.lines_of(t)
+        theirs = html_main.lines_of(other[5])[0] if other else []
+        d = [[0] * (len(theirs) + 1) for _ in range(len(lines) + 1)]
+        for x in range(len(lines) - 1, -1, -1):
+            for y in range(len(theirs) - 1, -1, -1):
+                d[x][y] = d[x + 1][y + 1] + 1 if lines[x] == theirs[y] else max(d[x + 1][y], d[x][y + 1])
+        x = y = 0
+        shared = set()
+        while x < len(lines) and y < len(theirs):
+            if lines[x] == theirs[y]:
+                shared.add(x)
+                x, y = x + 1, y + 1
+            elif d[x + 1][y] >= d[x][y + 1]:
+                x += 1
+            else:
+                y += 1
+        plain = {x for x, k in enumerate(kinds) if k == html_main.PLAIN}
+        gone = set() if plain and plain <= shared else shared
+        out[i, u, t] = "\n".join(v for x, (v, k) in enumerate(zip(lines, kinds, strict=True)) if k == html_main.ARTICLE or (k == html_main.PLAIN and html_main.ARTICLE not in kinds and x not in gone))
+    return out
+
+
+def test_whole_pages_equal_brute_force_for_any_partitioning(spark):
+    """Sites with menus of their own, copies in a row, one host with most pages, pages with and without articles, up to 2,000 lines."""
+    r = random.Random(31)
+    rows = []
+    for i in range(300):
+        host = "big" if i % 3 else f"h{i % 7}"
+        menu = "".join(f"<div>{host} menu {k}</div>" for k in range(6))
+        text = "".join(f"<p>own {i} {k}</p>" for k in range(r.randint(0, 9)))
+        body = f"<article>{text}</article><div>{host} beside</div>" if i % 5 == 0 else text
+        page = f"<p>error at {host}</p><p>try again</p>" if i % 4 == 1 else menu + body + f"<div>{host} end</div>"
+        rows.append((i, f"http://{host}.org/{r.choice('abc')}/{r.randint(0, 40)}", page))
+    rows += [(900, "http://big.org/a/7", "".join(f"<p>line {k}</p>" for k in range(2000))), (901, "http://big.org/a/8", "".join(f"<p>line {k if k % 3 else -k}</p>" for k in range(2000))), (902, None, None), (903, "http://big.org/a/7", ""), (5, None, "<p>x")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    hashed = [(*x[:2], x[2], x[3]) for x in pages.select("page_id", "url", "html", F.xxhash64(F.coalesce("html", F.lit("")))).collect()]
+    expected = Counter((i, u, t) for (i, u, _), t in brute_pages(hashed).items())
+    changed = 0
+    for number, size in ((1, 32 << 20), (7, 4000), (200, 1), (3, 100)):
+        spark.conf.set("spark.sql.shuffle.partitions", number)
+        try:
+            found = html_main.extract(pages.repartition(1 + number % 5), size).collect()
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", 4)
+        assert Counter((f.page_id, f.url, f.text) for f in found) == expected, number
+    for i, u, t in rows:
+        changed += expected[i, u, "\n".join(html_main.main_lines(*html_main.lines_of(t or ""), None))] == 0
+    assert changed > 100  # differencing decides there
+
+
+def test_class_words_do_not_switch_off_the_main_part():
+    page = '<body class="search no-sidebar"><main class="content notice"><article class="post category-social">A<div class="share">s</div><p>B</p><article class="comment">c</article></article></main></body>'
+    assert html_main.main_lines(*html_main.lines_of(page), None) == ["A", "B"]
+    assert html_main.main_lines(*html_main.lines_of("<body><main hidden>x</main><p>y</p></body>"), None) == ["y"]
 
 
 # --- licenses -----------------------------------------------------------------------------------
