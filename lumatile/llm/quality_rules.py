@@ -33,9 +33,11 @@ SYMBOLS = b"#*$%&|<>"
 #: Base rules.
 MIN_WORDS, WINDOW, MAX_REPEAT = 20, 8, 0.30
 #: Distances (0 to 1) above which a document fails, and the characters and words that it must have to be judged.
-MAX_CLASS, MAX_WORD, MIN_CHARS, MIN_COMMON = 0.20, 0.50, 200, 50
+#: A text without any common word is about 0.39 from a reference, so MAX_WORD is well below that.
+MAX_CLASS, MAX_WORD, MIN_CHARS, MIN_COMMON = 0.20, 0.12, 200, 50
 #: A histogram of n characters or words is off by chance by about 1 / sqrt(n); so many times that is allowed on top.
-SLACK_CLASS, SLACK_WORD = 2.0, 1.0
+#: Texts of one language are off by 2 to 2.5 times that in common words as a rule and by 3.5 times at most.
+SLACK_CLASS, SLACK_WORD = 2.0, 3.0
 
 _VOCAB = sorted({w for words in COMMON.values() for w in words})
 _SLOT = {w.encode(): i for i, w in enumerate(_VOCAB)}
