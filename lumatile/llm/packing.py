@@ -33,39 +33,43 @@ class Encoder:
     """The ids that the tokenizers library gives for a byte-level BPE file, worked out by tiktoken from the same file.
 
     Both apply the file's merges to the same pieces of text, lowest rank first; in these files a
-    token's id is its rank. The tests compare the two libraries' ids.
+    token's id is its rank. Where a text has an added token's characters, both give its id and
+    encode what stands before and after it apart. The tests compare the two libraries' ids.
     """
 
     #: Splits text into the pieces within which byte-level BPE merges (fixed value).
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-    def __init__(self, vocab: dict[bytes, int]) -> None:
+    def __init__(self, vocab: dict[bytes, int], added: dict[str, int]) -> None:
         import tiktoken
 
-        self.encoding = tiktoken.Encoding("byte_bpe", pat_str=self.PATTERN, mergeable_ranks=vocab, special_tokens={})
+        self.encoding = tiktoken.Encoding("byte_bpe", pat_str=self.PATTERN, mergeable_ranks=vocab, special_tokens=added)
 
     def ids(self, text: str) -> np.ndarray:
-        return np.array(self.encoding.encode_ordinary(text), np.uint32)
+        return np.array(self.encoding.encode(text, allowed_special="all"), np.uint32)
 
 
-def byte_vocab(path: str) -> dict[bytes, int]:
-    """Token bytes -> id of a byte-level BPE file, without its special tokens.
+def byte_vocab(path: str) -> tuple[dict[bytes, int], dict[str, int]]:
+    """(token bytes -> id, added token -> id) of a byte-level BPE file.
 
     The file writes bytes as printable characters: those that print stand for themselves, the
     others, in order, for the characters from U+0100 on.
     """
     with open(path, encoding="utf-8") as f:
         found = json.load(f)
-    special = {t["content"] for t in found.get("added_tokens", ())}
+    tokens = found.get("added_tokens", ())
+    if any(t[flag] for t in tokens for flag in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError(f"added tokens of {path} that match more or less than their characters")
+    added = {t["content"]: t["id"] for t in tokens}
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     other = [b for b in range(256) if b not in set(plain)]
     char = {chr(b): b for b in plain} | {chr(0x100 + n): b for n, b in enumerate(other)}
-    return {bytes(char[c] for c in token): i for token, i in found["model"]["vocab"].items() if token not in special}
+    return {bytes(char[c] for c in token): i for token, i in found["model"]["vocab"].items() if token not in added}, added
 
 
-def _pieces(vocab: dict[bytes, int], capacity: int):
+def _pieces(vocab: tuple[dict[bytes, int], dict[str, int]], capacity: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, seen = Encoder(vocab), TaskContext.get().partitionId(), Counter()
+        encoder, part, seen = Encoder(*vocab), TaskContext.get().partitionId(), Counter()
         for b in parts:
             doc, piece, start, length, crc, nth = [], [], [], [], [], []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):

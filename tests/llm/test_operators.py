@@ -39,7 +39,7 @@ def near_copies(seed=1):
     return list(enumerate(texts))
 
 
-EDGE = [(900, None), (901, ""), (902, " \t\n"), (903, "a"), (904, "A"), (904, "A"), (905, "a b"), (906, "ab"), (None, "ab"), (907, "x " * 30_000), (908, "é\x0bß ü ö"), (909, "\n\n"), (910, "<b>&amp;</b>")]
+EDGE = [(900, None), (901, ""), (902, " \t\n"), (903, "a"), (904, "A"), (904, "A"), (905, "a b"), (906, "ab"), (None, "ab"), (907, "x " * 30_000), (908, "é\x0bß ü ö"), (909, "\n\n"), (910, "<b>&amp;</b>"), (911, "a <|endoftext|> b")]
 
 
 @pytest.fixture(scope="module")
@@ -202,7 +202,6 @@ def test_pack(docs, empty):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_path())
-    t.encode_special_tokens = True
     expected = Counter()
     for d in docs.collect():
         ids = np.array([*t.encode(d.text or "", add_special_tokens=False).ids, 0], "<u4")
@@ -221,13 +220,22 @@ def test_pack(docs, empty):
     assert packing.pack(empty, tokenizer_path()).count() == 0
 
 
-@pytest.mark.parametrize("text", ["<|endoftext|> x", "a" * 5000, " " * 3000, "​﻿ é \U0001f600\U0001f468‍\U0001f469", "\r\n\t  x", "don't WE'LL 123abc", "日本語 テキスト"])
+@pytest.mark.parametrize("text", ["<|endoftext|> x", "a <|endoftext|> b", "<|endoftext|><|endoftext|>", " \n<|endoftext|>  y <|endoftext", "<<|endoftext|>|>", "x<|endoftext|>", "a" * 5000, " " * 3000, "​﻿ é \U0001f600\U0001f468‍\U0001f469", "\r\n\t  x", "don't WE'LL 123abc", "日本語 テキスト"])
 def test_ids_equal_those_of_the_tokenizers_library(text):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_path())
-    t.encode_special_tokens = True
-    assert packing.Encoder(packing.byte_vocab(tokenizer_path())).ids(text).tolist() == t.encode(text, add_special_tokens=False).ids
+    assert packing.Encoder(*packing.byte_vocab(tokenizer_path())).ids(text).tolist() == t.encode(text, add_special_tokens=False).ids
+
+
+def test_ids_of_random_texts():
+    from tokenizers import Tokenizer
+
+    r, t, e = random.Random(15), Tokenizer.from_file(tokenizer_path()), packing.Encoder(*packing.byte_vocab(tokenizer_path()))
+    parts = ["<|endoftext|>", "<|", "|>", "endoftext", " ", "  ", "\n", "\t", "a", "Bc", "é", "ß", "12", "'s", "'LL", "!?", "\u00a0", "\u3000", "日", "\U0001f600", "\x00", "\x85"]
+    for _ in range(2000):
+        text = "".join(r.choice(parts) for _ in range(r.randint(0, 20)))
+        assert e.ids(text).tolist() == t.encode(text, add_special_tokens=False).ids, text
 
 
 # --- mixing -------------------------------------------------------------------------------------
