@@ -28,9 +28,10 @@ BLOCK, SHARD = 64, 1_000_000
 #: Blocks that a source has at least, about, in each shard that it is spread over.
 PIECE = 256
 #: Columns that a shard has before those of its rows.
-OWN = 6
-#: Sources are a mixture's settings and live on the driver; more of them than this is an error, not a mixture.
-MOST_SOURCES = 100_000
+SHARDED = ("doc_id", "source", "size", "hash", "place", "shard", "rank", "source_size", "target")
+OWN = len(SHARDED)
+#: Up to so many sources, their table is worked out on the driver and broadcast; beyond, Spark works out the same one and joins it.
+FEW_SOURCES = 100_000
 
 
 def _sizes(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,32 +74,28 @@ def apportion(shares: np.ndarray, blocks: int, most: np.ndarray) -> np.ndarray:
     return quota
 
 
-def _chooser(target_of: dict, size_of: dict, seed: int, block: int, repeats: float):
-    """A function of a shard's table: its rows' order, source ranks, sizes, words taken and spans (epoch, first, last)."""
-    order = {s: i for i, s in enumerate(sorted(target_of, key=lambda s: (s is None, s or "")))}
-
-    names = list(order)
+def _chooser(seed: int, block: int, repeats: float):
+    """A function of a shard's table: its rows' order, sizes, words taken and spans (epoch, first, last)."""
 
     def choose(group: pa.Table) -> tuple:
-        rank = np.array([order[x] for x in group["source"].to_pylist()], np.int64)
-        hashes, place = group["hash"].to_numpy(), group["place"].to_numpy()
-        by = np.lexsort((hashes, place, rank))  # whatever the order of the rows was
-        rank, hashes, place, size = rank[by], hashes[by], place[by], group["size"].to_numpy()[by]
+        by = np.lexsort([group[c].to_numpy() for c in ("hash", "place", "rank")])  # whatever the order of the rows was
+        rank, place, size, target, of = (group[c].to_numpy()[by] for c in ("rank", "place", "size", "target", "source_size"))
         ranks, starts = np.unique(rank, return_index=True)
         stops = np.append(starts[1:], len(by))
         words = np.add.reduceat(size, starts)
-        want = np.array([target_of[names[r]] * n / max(1, size_of[names[r]]) for r, n in zip(ranks, words, strict=True)])
+        want = target[starts] * words / np.maximum(1, of[starts])
+        names = group["source"].take(pa.array(by[starts])).to_pylist()
         blocks = -(-words // block)
         quota = apportion(want, int(round(want.sum() / block)), np.minimum(np.ceil(repeats * words / block), repeats * blocks).astype(np.int64))
         taken, spans = np.zeros(len(by), np.int64), [[] for _ in by]
-        for r, a, b, w, n, q in zip(ranks, starts, stops, words, blocks, quota, strict=True):
+        for name, a, b, w, n, q in zip(names, starts, stops, words, blocks, quota, strict=True):
             if not q:
                 continue
             end = np.cumsum(size[a:b])
             begin = end - size[a:b]
             full, rest = divmod(int(q), int(n))
             # The seed and what the shard holds of the source place the run of blocks for the rest.
-            at = xxhash.xxh3_64_intdigest(f"{seed}:{names[r]}:{place[a]}".encode()) % int(n)
+            at = xxhash.xxh3_64_intdigest(f"{seed}:{name}:{place[a]}".encode()) % int(n)
             runs = [(e, 0, w) for e in range(full)]
             if rest:
                 runs.append((full, at * block, min((at + rest) * block, w)))
@@ -109,7 +106,7 @@ def _chooser(target_of: dict, size_of: dict, seed: int, block: int, repeats: flo
                 for i in np.flatnonzero(y > x):
                     taken[a + i] += y[i] - x[i]
                     spans[a + i].append({"epoch": epoch, "first": int(x[i]), "last": int(y[i])})
-        return by, rank, size, taken, spans
+        return by, size, taken, spans
 
     return choose
 
@@ -118,8 +115,9 @@ def _shard(choose):
     kind = pa.list_(pa.struct([("epoch", pa.int32()), ("first", pa.int64()), ("last", pa.int64())]))
 
     def run(group: pa.Table) -> pa.Table:
-        by, rank, size, taken, spans = choose(group)
-        return pa.table({"doc_id": group["doc_id"].take(pa.array(by)), "rank": pa.array(rank, pa.int32()), "size": size, "taken": taken, "spans": pa.array(spans, kind)})
+        by, size, taken, spans = choose(group)
+        own = {c: group[c].take(pa.array(by)) for c in ("doc_id", "source", "source_size", "target")}
+        return pa.table({"doc_id": own["doc_id"], "source": own["source"], "size": size, "source_size": own["source_size"], "target": own["target"], "taken": taken, "spans": pa.array(spans, kind)})
 
     return run
 
@@ -138,7 +136,7 @@ def _taken_rows(choose, names: list[str], schema: pa.Schema):
 
     def run(group: pa.Table) -> pa.Table:
         # The shard's own columns come first; the row's columns follow by position, whatever their names are.
-        by, _, size, _, spans = choose(group)
+        by, size, _, spans = choose(group)
         rows, texts = [], []
         texts_in = group.column(OWN + text_at)
         for i, n, found in zip(by, size, spans, strict=True):
@@ -172,25 +170,47 @@ def _sizes_of(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(_sizes, "doc_id long, source string, size long, hash long")
 
 
-def _targets_of(sizes: DataFrame, weights: tuple, share: float, repeats: float) -> tuple[dict, dict]:
-    found = sizes.groupBy("source").agg(F.sum("size").alias("size")).limit(MOST_SOURCES + 1).collect()
-    if len(found) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
-    size_of = {r["source"]: r["size"] for r in found}
-    return size_of, targets(size_of, weights, share, repeats)
+def _sources(sizes: DataFrame, weights: tuple, share: float, repeats: float, few: int = FEW_SOURCES) -> tuple[DataFrame, int]:
+    """((source, rank, source_size, target), all words). Ranks go by code point, null last."""
+    spark = sizes.sparkSession
+    by_source = written(sizes.groupBy("source").agg(F.sum("size").alias("source_size")))
+    total = by_source.agg(F.sum("source_size")).first()[0] or 0
+    if by_source.limit(few + 1).count() <= few:
+        size_of = {r["source"]: r["source_size"] for r in by_source.collect()}
+        target_of = targets(size_of, weights, share, repeats)
+        names = sorted(size_of, key=lambda s: (s is None, s or ""))
+        return F.broadcast(spark.createDataFrame([(s, i, size_of[s], target_of[s]) for i, s in enumerate(names)], "source string, rank long, source_size long, target double")), total
+    # A sort's row numbers from counts per partition, then the level at which sources are full, by rounds of two sums.
+    order = (F.col("source").isNull(), F.col("source"))
+    placed = by_source.repartitionByRange(*order).sortWithinPartitions(*order).select("source", "source_size", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("nth"))
+    placed = written(placed)
+    before, table = 0, []
+    for r in placed.groupBy("part").count().orderBy("part").collect():  # a row per partition
+        table.append((r["part"], before))
+        before += r["count"]
+    ranked = placed.join(F.broadcast(spark.createDataFrame(table, "part int, base long")), "part").withColumn("rank", F.col("base") + F.col("nth"))
+    weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.col("rank") % len(weights) + 1).cast("int"))
+    ranked = ranked.select("source", "rank", "source_size", weight.alias("weight"), (F.col("source_size") * float(repeats)).alias("most"))
+    level, full = 0.0, -1
+    while True:
+        n, held, open_ = ranked.agg(F.count_if(F.col("most") <= level * F.col("weight")), F.coalesce(F.sum(F.when(F.col("most") <= level * F.col("weight"), F.col("most"))), F.lit(0.0)), F.coalesce(F.sum(F.when(F.col("most") > level * F.col("weight"), F.col("weight"))), F.lit(0.0))).first()
+        if n == full or not open_:
+            break
+        full, level = n, (share * total - held) / open_
+    return ranked.select("source", "rank", "source_size", F.least("most", level * F.col("weight")).alias("target")), total
 
 
 def _place(seed: int):
     return F.xxhash64(F.lit(seed), "doc_id", "hash")
 
 
-def _sharded(placed: DataFrame, size_of: dict, shards: int, block: int) -> DataFrame:
-    """placed (columns source, place) with a column shard."""
-    spread = [(s, min(shards, max(1, n // (PIECE * block)))) for s, n in size_of.items()]
-    table = placed.sparkSession.createDataFrame(spread, "of string, spread long")
-    own = placed.join(F.broadcast(table), placed["source"].eqNullSafe(table["of"]))
+def _sharded(placed: DataFrame, sources: DataFrame, shards: int, block: int) -> DataFrame:
+    """placed (columns source, place) with the columns of sources and shard."""
+    of = sources.withColumnRenamed("source", "of")
+    own = placed.join(of, placed["source"].eqNullSafe(of["of"]))  # of hot sources' rows Spark splits, if it doesn't broadcast
+    spread = F.least(F.lit(shards), F.greatest(F.lit(1), F.floor(F.col("source_size") / (PIECE * block))))
     first = F.xxhash64(F.lit("shard"), "source")  # rare sources begin at different shards
-    return own.withColumn("shard", F.pmod(F.pmod(first, F.lit(shards)) + F.pmod("place", "spread"), F.lit(shards))).drop("of", "spread")
+    return own.withColumn("shard", F.pmod(F.pmod(first, F.lit(shards)) + F.pmod("place", spread), F.lit(shards))).drop("of")
 
 
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, repeats: int = REPEATS, block: int = BLOCK, shard: int = SHARD, seed: int = 0) -> DataFrame:
@@ -203,16 +223,12 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, repeats
     empty table gives no rows. Reruns agree, in whatever order the rows are read.
     """
     sizes = written(_sizes_of(docs))
-    size_of, target_of = _targets_of(sizes, weights, share, repeats)
-    shards = max(1, round(sum(size_of.values()) / shard))
-    placed = _sharded(sizes.withColumn("place", _place(seed)), size_of, shards, block)
-    rows = placed.groupBy("shard").applyInArrow(
-        _shard(_chooser(target_of, size_of, seed, block, repeats)),
-        "doc_id long, rank int, size long, taken long, spans array<struct<epoch:int,first:long,last:long>>",
+    sources, total = _sources(sizes, weights, share, repeats)
+    placed = _sharded(sizes.withColumn("place", _place(seed)), sources, max(1, round(total / shard)), block)
+    return placed.select(*SHARDED).groupBy("shard").applyInArrow(
+        _shard(_chooser(seed, block, repeats)),
+        "doc_id long, source string, size long, source_size long, target double, taken long, spans array<struct<epoch:int,first:long,last:long>>",
     )
-    names = sorted(target_of, key=lambda s: (s is None, s or ""))
-    table = docs.sparkSession.createDataFrame([(i, s, size_of[s], target_of[s]) for i, s in enumerate(names)], "rank int, source string, source_size long, target double")
-    return rows.join(F.broadcast(table), "rank").select("doc_id", "source", "size", "source_size", "target", "taken", "spans")
 
 
 def mixed(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, repeats: int = REPEATS, block: int = BLOCK, shard: int = SHARD, seed: int = 0) -> DataFrame:
@@ -225,12 +241,10 @@ def mixed(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, repea
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import LongType, StringType, StructType
 
-    size_of, target_of = _targets_of(_sizes_of(docs), weights, share, repeats)
-    shards = max(1, round(sum(size_of.values()) / shard))
+    sources, total = _sources(_sizes_of(docs), weights, share, repeats)
     schema = StructType().add("doc_id", LongType()).add("source", StringType()).add("size", LongType()).add("hash", LongType())
     for i, field in enumerate(docs.schema.fields):
         schema = schema.add(f"col{i}", field.dataType)
-    rows = _sharded(docs.mapInArrow(_measured(docs.columns), schema).withColumn("place", _place(seed)), size_of, shards, block)
-    rows = rows.select("doc_id", "source", "size", "hash", "place", "shard", *(f"col{i}" for i in range(len(docs.columns))))
-    choose = _chooser(target_of, size_of, seed, block, repeats)
-    return rows.groupBy("shard").applyInArrow(_taken_rows(choose, docs.columns, to_arrow_schema(docs.schema)), docs.schema)
+    rows = _sharded(docs.mapInArrow(_measured(docs.columns), schema).withColumn("place", _place(seed)), sources, max(1, round(total / shard)), block)
+    rows = rows.select(*SHARDED, *(f"col{i}" for i in range(len(docs.columns))))
+    return rows.groupBy("shard").applyInArrow(_taken_rows(_chooser(seed, block, repeats), docs.columns, to_arrow_schema(docs.schema)), docs.schema)

@@ -295,6 +295,19 @@ def test_a_small_source_reaches_its_target_over_many_shards(spark):
     assert sum(len(x.text.split()) for x in mixing.mixed(docs, shard=4_000).where("source = 'tiny'").collect()) == sum(x.taken for x in tiny)
 
 
+def test_many_sources_get_the_same_table_from_spark(spark):
+    r = random.Random(16)
+    rows = [(i, f"s{r.randint(0, 300)}" if i % 9 else None, r.choice([0, 3, 50, 900, 20_000])) for i in range(2000)] + [(-1, "", 7), (-2, "\U0001f600", 5), (-3, "\uffff", 5)]
+    sizes = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    small, total = mixing._sources(sizes, (5, 2, 1), 1.5, 2)
+    large, again = mixing._sources(sizes, (5, 2, 1), 1.5, 2, few=10)
+    a, b = ({x.source: x for x in d.collect()} for d in (small, large))
+    assert total == again == sum(x[2] for x in rows) and a.keys() == b.keys() and len(a) > 250
+    assert all((a[k].rank, a[k].source_size) == (b[k].rank, b[k].source_size) and b[k].target == pytest.approx(a[k].target) for k in a)
+    assert sorted(a, key=lambda k: a[k].rank) == sorted(a, key=lambda k: (k is None, k or ""))
+    assert mixing._sources(sizes.where("size < 0"), (5, 2, 1), 1.5, 2, few=-1)[1] == 0
+
+
 def test_cut_keeps_what_stands_between_words():
     assert mixing._cut("  a  b\nc d ", 4, [(0, 4)]) == "  a  b\nc d "
     assert mixing._cut("  a  b\nc d ", 4, [(0, 2), (3, 4)]) == "a  b\nd"
