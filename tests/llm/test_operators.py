@@ -533,6 +533,75 @@ def test_pii_method_finds_secrets_and_leaves_clean_text(spark):
     assert out[1] == "my ssn <number> ok" and out[len(found)] == clean[0]
 
 
+def spans_by_other_rules(seed, n):
+    """(kind, before, hit, after, personal): formats written down here, not those that the trees were fitted to."""
+    r = random.Random(seed)
+    d = lambda k: "".join(r.choice("0123456789") for _ in range(k))
+    c = lambda chars, k: "".join(r.choice(chars) for _ in range(k))
+    base64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    w = lambda: r.choice("river garden window market little yellow history of the to winter under people station".split())
+    for _ in range(n):
+        lead = f"{w()} {w()} {w()} "
+        right, wrong = {
+            "secret": (
+                [('password: "', c(base64, 22), '"'), ("AWS_SECRET=", c(base64 + "+/", 40), " "), ("export API_KEY='", c("0123456789abcdef", 32), "'"), ("Authorization: Bearer ", c(base64 + "-_", 70), " "), ("use ", "ghp_" + c(base64, 36), " to push"), ("key ", "AKIA" + c("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16), " "), ('token = "', c("0123456789abcdef", 40), '"')],
+                [("commit ", c("0123456789abcdef", 40), " fixed it"), ("see ", "a-rather-long-hyphenated-word-for-it", " "), ("", "-" * 30, " "), ("", "Donaudampfschifffahrtsgesellschaft", " ist"), ("path ", "usr/local/lib/python3/site-packages", "/x"), ("", d(20), " grains"), ("", "some_function_name_v2_final", "(")],
+            ),
+            "number": (
+                [("call ", f"({d(3)}) {d(3)}-{d(4)}", " today"), ("tel: ", f"{d(3)}.{d(3)}.{d(4)}", ""), ("reach me on ", f"{d(3)}-{d(3)}-{d(4)}", "."), ("SSN ", f"{d(3)}-{d(2)}-{d(4)}", ","), ("whatsapp ", f"0{d(2)} {d(7)}", " ")],
+                [("on ", f"{r.randint(1950, 2025)}-0{r.randint(1, 9)}-1{r.randint(0, 9)}", " "), ("from ", f"{r.randint(1950, 1999)} {r.randint(2000, 2025)}", " "), ("ISBN ", f"978-0-{d(3)}-{d(5)}-{d(1)}", " "), ("about ", f"{r.randint(10, 99)}.{d(3)}.{d(3)}", " people"), ("id ", d(12), " "), ("pi is 3.", d(30), " "), ("order ", d(9), " ")],
+            ),
+            "account": (
+                [("IBAN ", f"DE{d(2)} {d(4)} {d(4)} {d(4)} {d(4)} {d(2)}", " "), ("to ", f"FR{d(2)}{d(20)}{d(3)}", "."), ("account ", f"ES{d(2)} {d(4)} {d(4)} {d(4)} {d(4)} {d(4)}", ","), ("IBAN: ", f"NL{d(2)}ABNA{d(10)}", " ")],
+                [("part ", "AB12" + c("ABCDEFGHJK", 10), " "), ("", "AC45 WITH MANY OTHER LOUD WORDS HERE", " "), ("model ", f"XR{d(2)}" + c("ABCDEF", 8), " ")],
+            ),
+            "contact": (
+                [("mail ", f"jane.{w()} at {w()}mail dot com", " "), ("write to ", f"{w()}{d(2)}[at]{w()}[dot]org", "."), ("", f"info (at) {w()} (dot) de", ","), ("ask ", f"{w()} AT {w()} DOT net", " ")],
+                [("he ", "looked at the dot and", " then"), ("", "arrived at noon dot after", " that"), ("we ", "met at Dot and", " went"), ("", "stay at a dot on", " the map")],
+            ),
+        }[kind := r.choice(["secret", "number", "account", "contact"])]
+        personal = r.random() < 0.5
+        before, hit, after = r.choice([x for x in (right if personal else wrong) if x[1]])
+        yield kind, lead + before, hit, after + f" {w()} {w()}", personal
+
+
+def test_recall_and_precision_on_spans_made_by_other_rules(spark):
+    made = list(spans_by_other_rules(23, 3000))
+    docs = spark.createDataFrame([(i, b + h + a) for i, (_, b, h, a, _) in enumerate(made)], "doc_id long, text string")
+    hit, miss, false = Counter(), Counter(), Counter()
+    for row in pii.find_pii(docs).collect():
+        kind, before, text, _, personal = made[row.doc_id]
+        found = any(s.start < len(before) + len(text) and len(before) < s.stop for s in (*row.added, *row.base))
+        (hit if found else miss)[kind] += personal
+        false[kind] += found and not personal
+    for kind in pii.CANDIDATES:
+        assert hit[kind] + miss[kind] > 100
+        assert hit[kind] / (hit[kind] + miss[kind]) >= 0.9 and hit[kind] / (hit[kind] + false[kind]) >= 0.9, (kind, hit, miss, false)
+
+
+def test_planted_secrets_of_a_whole_table_are_found_and_other_documents_left_alone(spark):
+    rows = {d.doc_id: d.text or "" for d in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    out = pii.find_pii(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()
+    planted = 0
+    for row in out:
+        text = rows[row.doc_id]
+        for m in re.finditer(r'token = "([0-9a-f]{40})"', text):
+            planted += 1
+            assert any(s.kind == "secret" and (s.start, s.stop) == m.span(1) for s in row.added)
+        if not re.search(r'token = "|@|[0-9]{7}|[0-9]\.[0-9]|[0-9]{4}', text):
+            assert not row.added and not row.base
+    assert planted > 5
+
+
+def test_many_matches_in_one_text(spark):
+    """100,000 matches take time in proportion, and overlapping candidates of a long list are told apart as in Python."""
+    email, secret = "ab@cd.ef ", 'token = "0123456789abcdef0123456789abcdef01234567" '
+    rows = {r.doc_id: r for r in pii.find_pii(spark.createDataFrame([(0, email * 100_000), (1, (email + secret) * 1000)], "doc_id long, text string")).collect()}
+    assert [s.start for s in rows[0].base] == list(range(0, 900_000, 9)) and not rows[0].added
+    step = len(email + secret)
+    assert [(s.start, s.stop) for s in rows[1].added] == [(k * step + 18, k * step + 58) for k in range(1000)] and len(rows[1].base) == 1000
+
+
 def test_boosted_trees_in_sql_equal_those_in_python(spark):
     model = pii.fit()
     examples = [e for e in pii.synthetic(60, seed=77) if e[0] == "number"]
