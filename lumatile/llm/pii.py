@@ -33,12 +33,12 @@ VALID = {
 }
 #: Candidate generators of the method, by kind. None has an upper bound: how long a match is is for the trees to judge.
 CANDIDATES = {
-    "secret": r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/=-]{16,}+",
+    "secret": r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{16,}+={0,2}",
     "number": r"(?<![0-9+])(?:\([0-9]{2,4}\)[\x20-]?)?[0-9](?:[\x20./-]?[0-9]){6,}+",
     "account": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{2,4}){3,}+",
     "contact": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?(?i:\[at\]|\(at\)|\{at\}|\x20at\x20)\x20?[A-Za-z0-9-]++(?:\x20?(?i:\[dot\]|\(dot\)|\{dot\}|\x20dot\x20)\x20?[A-Za-z0-9-]++)++",
 }
-CANDIDATE_NEEDS = {"secret": "text RLIKE '[A-Za-z0-9_+/=-]{16}'", "number": "digits", "account": "digits", "contact": "text RLIKE '(?i)dot'"}
+CANDIDATE_NEEDS = {"secret": "text RLIKE '[A-Za-z0-9_+/-]{16}'", "number": "digits", "account": "digits", "contact": "text RLIKE '(?i)dot'"}
 KINDS = (*BASE, *CANDIDATES)
 #: Words before a span that tell what it is, by what they tell; they end at most CONTEXT characters before it.
 CONTEXT = 24
@@ -94,8 +94,9 @@ def synthetic(n: int = 800, seed: int = SEED) -> list[tuple[str, str, str, str,
             hit = cased(some(hexa, r.choice([16, 24, 32, 40, 64]))) if not known and r.random() < 0.4 else start + some(low + up + num + r.choice(["", "_-", "+/"]), r.randint(18, 60))
             out.append(("secret", hit, plain() + says, end('"', "'", ";"), 1))
         else:
-            hit = [f"{word()}-{word()}-{some(num, 4)}-{word()}", some(hexa, 40), some(num, r.randint(16, 30)), f"{word()}{word()}_{word()}{some(num, 2)}", f"{word()}/{word()}/{some(num, 5)}{word()}", word() + word() + word(), "-" * r.randint(16, 40), "=" * r.randint(16, 40), f"{word()}-{word()}-{word()}-{word()}", f"{word()}_{word()}_{word()}"][r.randint(0, 9)]
+            hit = [f"{word()}-{word()}-{some(num, 4)}-{word()}", some(hexa, 40), some(num, r.randint(16, 30)), f"{word()}{word()}_{word()}{some(num, 2)}", f"{word()}/{word()}/{some(num, 5)}{word()}", word() + word() + word(), "-" * r.randint(16, 40), "_" * r.randint(16, 40), f"{word()}-{word()}-{word()}-{word()}", f"{word()}_{word()}_{word()}"][r.randint(0, 9)]
             hit += "" if len(hit) >= 16 else some(low, 16 - len(hit))
+            hit = hit.upper() if r.random() < 0.3 else hit
             out.append(("secret", hit, plain() + r.choice(["", "", "commit ", "sha ", "order ", "http://www.", "model ", "build ", "/", "page ", "sha256:", "rev "]), end("/"), 0))
         if r.random() < 0.5:
             three = lambda k: some(num, k)
@@ -167,7 +168,7 @@ def fit(examples: list[tuple] | None = None) -> dict[str, tuple[list, float]]:
         # The lowest score at which held-out selections are right often enough, at least even odds; halfway down to the next score, so that no rounding decides.
         seen = np.unique(score[held])
         right = [i for i, s in enumerate(seen) if s >= 0 and y[held & (score >= s)].mean() >= PRECISION]
-        found[kind] = (trees, float(seen[right[0]] + seen[max(0, right[0] - 1)]) / 2 if right else float("inf"))
+        found[kind] = (trees, max(0.0, float(seen[right[0]] + seen[max(0, right[0] - 1)]) / 2) if right else float("inf"))
     return found
 
 
