@@ -18,39 +18,70 @@ from .common import LOWER, id_and_text
 #: Phrases whose places are the base result, with their labels (fixed values).
 PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 
-#: License texts as templates, by label (fixed values: the licenses' public wording).
+#: What licenses end with, about the software as it is (fixed values: the licenses' public wording).
+_NO_WARRANTY = (
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement "
+    "in no event shall {{6}} be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"
+)
+_GNU_END = (
+    "[[this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose "
+    "see the gnu general public license for more details [[you should have received a copy of the gnu general public license along with this program]]]]"
+)
+#: License texts and notices as templates, by label (fixed values: the licenses' public wording, whole).
 TEMPLATES = {
     "mit": (
         "[[released]] under the mit license",
         "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction "
         "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so "
-        "subject to the following conditions [[the above copyright notice and this permission notice [[including the next paragraph]] shall be included in all copies or substantial portions of the software]]",
+        "subject to the following conditions the above copyright notice and this permission notice [[including the next paragraph]] shall be included in all copies or substantial portions of the software " + _NO_WARRANTY,
     ),
     "apache-2": (
         "licensed under the apache license version 2 [[0]]",
-        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at",
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at {{1}} www apache org licenses license 2 0 "
+        "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied "
+        "see the license for the specific language governing permissions and limitations under the license",
     ),
     "cc-by-nc": ("licensed under cc by nc [[4 0]]", "creative commons attribution non commercial [[{{1}} 0]] [[international]] license", "creative commons attribution noncommercial [[{{1}} 0]] [[international]] license"),
     "cc-by": ("licensed under cc by {{1}} 0", "creative commons attribution {{1}} 0 [[international]] license"),
     "cc-by-sa": ("licensed under cc by sa [[{{1}} 0]]", "creative commons attribution sharealike [[{{1}} 0]] [[international]] license"),
     "gpl-3": (
         "licensed under the gnu general public license version 3 [[0]] [[or later]]",
-        "under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+        "under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version " + _GNU_END,
         "under the terms of the gnu general public license version 3",
     ),
     "gpl-2": (
         "licensed under the gnu general public license version 2 [[0]] [[or later]]",
-        "under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
+        "under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version " + _GNU_END,
     ),
     "lgpl": ("licensed under the gnu lesser general public license [[version {{1}} [[{{1}}]]]]",),
-    "mpl-2": ("this source code form is subject to the terms of the mozilla public license v 2 0", "licensed under the mozilla public license version 2 [[0]]"),
+    "mpl-2": (
+        "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at {{1}} mozilla org mpl 2 0",
+        "licensed under the mozilla public license version 2 [[0]]",
+    ),
     "bsd": (
         "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
-        "[[1]] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
+        "[[1]] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
+        "[[2]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution "
+        "[[[[3]] neither the name of {{8}} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission]] "
+        "this software is provided by {{8}} as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed "
+        "in no event shall {{8}} be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services "
+        "loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise "
+        "arising in any way out of the use of this software even if advised of the possibility of such damage",
         "[[released]] under the bsd [[{{1}} clause]] license",
     ),
-    "isc": ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", "[[released]] under the isc license"),
-    "unlicense": ("this is free and unencumbered software released into the public domain",),
+    "isc": (
+        "permission to use copy modify and [[or]] distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies "
+        "the software is provided as is and {{8}} disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness "
+        "in no event shall {{8}} be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits "
+        "whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
+        "[[released]] under the isc license",
+    ),
+    "unlicense": (
+        "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary "
+        "for any purpose commercial or non commercial and by any means in jurisdictions that recognize copyright laws the author or authors of this software dedicate any and all copyright interest in the software to the public domain "
+        "we make this dedication for the benefit of the public at large and to the detriment of our heirs and successors we intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law "
+        + _NO_WARRANTY,
+    ),
 }
 
 #: Words: runs of anything but ASCII characters other than 0-9 and a-z, after A-Z became a-z. Bytes from 0x80 on are parts of words.

@@ -752,6 +752,44 @@ def test_licenses(spark, docs, empty):
     assert license_scan.scan_licenses(empty).count() == 0
 
 
+def as_regex(template):
+    """A template as a regular expression over words that are each followed by a space."""
+    parts = re.findall(r"\[\[|\]\]|\{\{\d+\}\}|[^\s\[\]{}]+", template)
+    return re.compile("(?:^|(?<= ))" + "".join("(?:" if p == "[[" else ")?" if p == "]]" else rf"(?:\S+ ){{1,{p[2:-2]}}}" if p[0] == "{" else re.escape(p) + " " for p in parts))
+
+
+def test_whole_scans_equal_regular_expressions(spark):
+    """Every column over a whole table, and whole licenses in which one mandatory word is changed, missing, or doubled."""
+    r = random.Random(24)
+    texts = [(d.doc_id, d.text) for d in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    for k, wordings in enumerate(license_scan.TEMPLATES.values()):
+        for n, wording in enumerate(wordings):
+            full = re.sub(r"\{\{\d+\}\}", "Someone Else", wording) if "{{1}}" not in wording else re.sub(r"\{\{\d+\}\}", "3", wording)
+            full = full.replace("[[", " ").replace("]]", " ").split()
+            bare = re.sub(r"\[\[[^\[\]]*\]\]", " ", re.sub(r"\[\[[^\[\]]*\]\]", " ", re.sub(r"\{\{\d+\}\}", "3", wording))).split()
+            i = r.randrange(len(full))
+            for v, w in enumerate((full, bare, full[:i] + ["other"] + full[i + 1 :], full[:i] + full[i + 1 :], full[:i] + full[i : i + 1] * 2 + full[i + 1 :], full[:-1], ["the"] * 1500 + full + ["end"] * 1500)):
+                texts.append((10_000 + 100 * k + 10 * n + v, "Copyright 2020. " + ", ".join(x.upper() if r.random() < 0.3 else x for x in w) + "."))
+    rules = {label: [as_regex(t) for t in ts] for label, ts in license_scan.TEMPLATES.items()}
+    expected = {}
+    for i, t in texts:
+        words = regex.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))
+        line = "".join(w + " " for w in words)
+        starts, base = [], set()
+        for phrase, label in license_scan.PHRASES:
+            p = phrase.split()
+            at = [k for k in range(len(words)) if words[k : k + len(p)] == p]
+            starts += at
+            base |= {label} if at else set()
+        labels = base | {label for label, rs in rules.items() if any(x.search(line) for x in rs)}
+        expected[i] = (len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(labels)))
+    found = license_scan.scan_licenses(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert {f.doc_id: tuple(f)[1:7] for f in found} == expected
+    assert all((f.score > 0.5) == bool(f.labels) or f.score == 0.5 and f.labels for f in found)
+    named = Counter(x for _, *_, labels in expected.values() for x in labels.split(","))
+    assert set(named) >= set(license_scan.TEMPLATES)
+
+
 # --- lines --------------------------------------------------------------------------------------
 
 
