@@ -76,7 +76,17 @@ def f14_white_tophat(spark, sf):
     return r6(to_pixels(tile_filters.white_tophat(_planes(spark, sf), 2)))
 
 
-@query()
+def _richardson_lucy(rounds: int) -> dict[str, str]:
+    """Tables e0 to e<rounds>: estimates by rounds of two convolutions, from an even image of 0.5."""
+    out = {"pixels": P.SQL["pixels"], "w": "SELECT d, exp(-0.5::DOUBLE * d * d) / sum(exp(-0.5::DOUBLE * d * d)) OVER () AS k FROM range(-2, 3) t(d)", "e0": "SELECT * REPLACE (0.5::DOUBLE AS value) FROM pixels"}
+    for n in range(1, rounds + 1):
+        out |= {f"by{n}": _conv(f"e{n - 1}", "y", "w", "constant"), f"b{n}": _conv(f"by{n}", "x", "w", "constant")}
+        out |= {f"q{n}": f"SELECT {PX}, p.value / b.value + 2.220446049250313e-16::DOUBLE AS value FROM pixels p JOIN b{n} b USING ({K})", f"cy{n}": _conv(f"q{n}", "y", "w", "constant"), f"c{n}": _conv(f"cy{n}", "x", "w", "constant")}
+        out[f"e{n}"] = f"SELECT {PX}, e.value * c.value AS value FROM e{n - 1} e JOIN c{n} c USING ({K})"
+    return out
+
+
+@query(_ctes(**_richardson_lucy(3)) + f"SELECT {PX}, {clipped('value')} AS value FROM e3")
 def f13_deconvolve_psf(spark, sf):
     return r6(to_pixels(tile_filters.deconvolve_psf(_planes(spark, sf), 3, 1.0)))
 
@@ -86,15 +96,19 @@ def f13_deconvolve_psf(spark, sf):
 
 @query(with_("pixels") + "SELECT a.fov, a.r, a.c, a.z, a.y, a.x, round(coalesce(b.value, 0), 6) + 0.0 AS value FROM pixels a LEFT JOIN pixels b ON a.fov = b.fov AND a.r = b.r AND a.c = b.c AND a.z = b.z AND b.y = a.y + (a.r - 1) AND b.x = a.x + 2 * a.r")
 def reg2_apply_warp(spark, sf):
-    rows = [(f, r, None, None, "similarity", [1.0, 0.0, 2.0 * r, 0.0, 1.0, r - 1.0, 0.0, 0.0, 1.0]) for f in ("F", "O") for r in range(4)]
-    return r6(to_pixels(registration.apply_warp(_planes(spark, sf), spark.createDataFrame(rows, "fov string, r int, c int, z int, type string, matrix array<double>"))))
+    r = F.col("r").cast("double")
+    matrix = F.array(F.lit(1.0), F.lit(0.0), 2 * r, F.lit(0.0), F.lit(1.0), r - 1, F.lit(0.0), F.lit(0.0), F.lit(1.0))
+    null = F.lit(None).cast("int")
+    by_round = P.pixels(spark, sf).select("fov", "r").distinct()
+    return r6(to_pixels(registration.apply_warp(_planes(spark, sf), by_round.select("fov", "r", null.alias("c"), null.alias("z"), F.lit("similarity").alias("type"), matrix.alias("matrix")))))
 
 
-@query("SELECT fov, r::INT AS r, (CASE WHEN r < 3 THEN 2 * r ELSE 6 END)::DOUBLE AS dx, r::DOUBLE AS dy FROM (SELECT unnest(['F', 'O']) AS fov), range(4) t(r)")
+@query(with_("pixels") + "SELECT fov, r::INT AS r, (2 * r)::DOUBLE AS dx, (r + n % 4)::DOUBLE AS dy FROM (SELECT fov, length(fov) + substr(fov, 3)::INT AS n FROM pixels GROUP BY fov), range(4) t(r)")
 def reg1_learn_translation(spark, sf):
-    """Planes rolled by 2r to the right and r down are found to be."""
+    """Planes rolled by 2r to the right and, field by field otherwise, down are found to be."""
     ref = select.sel(P.pixels(spark, sf), {"r": 0, "c": 0, "z": 0})
-    moved = ref.crossJoin(spark.range(4).select(F.col("id").cast("int").alias("k"))).select("fov", F.col("k").alias("r"), "c", "z", ((F.col("y") + F.col("k")) % 16).cast("int").alias("y"), ((F.col("x") + 2 * F.col("k")) % 16).cast("int").alias("x"), "value")
+    n = (F.length("fov") + F.substring("fov", 3, 9).cast("int")) % 4
+    moved = ref.select("*", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k")).select("fov", F.col("k").alias("r"), "c", "z", ((F.col("y") + F.col("k") + n) % 16).cast("int").alias("y"), ((F.col("x") + 2 * F.col("k")) % 16).cast("int").alias("x"), "value")
     t = registration.learn_translation(to_tiles(moved, "double"), to_tiles(ref, "double"), "r")
     return r6(t.select("fov", "r", F.col("matrix")[2].alias("dx"), F.col("matrix")[5].alias("dy")))
 
@@ -152,12 +166,12 @@ def mo5_map_masks(spark, sf):
     return segment.map_masks(P.masks(spark, sf), lambda a: a[:, ::-1], (1, 64, 64))
 
 
-@query("SELECT 'fov_0' AS fov, p_partkey::INT AS mask_id, 0 AS z, y::INT AS y, x::INT AS x FROM (SELECT p_partkey, p_partkey % 8 AS a, p_size % 6 + 1 AS n FROM part WHERE p_partkey < 30), range(0, 20) q(y), range(0, 20) w(x) WHERE y BETWEEN a AND a + n AND x BETWEEN 2 AND 2 + n")
+@query("SELECT 'fov_' || (p_partkey // 30) AS fov, p_partkey::INT AS mask_id, 0 AS z, y::INT AS y, x::INT AS x FROM (SELECT p_partkey, p_partkey % 8 AS a, p_size % 6 + 1 AS n FROM part), range(0, 20) q(y), range(0, 20) w(x) WHERE y BETWEEN a AND a + n AND x BETWEEN 2 AND 2 + n")
 def src16_roi_masks(spark, sf):
-    p = P.table(spark, sf, "part").where("p_partkey < 30")
+    p = P.table(spark, sf, "part")
     y0, n = F.col("p_partkey") % 8, F.col("p_size") % 6 + 1
     d = lambda *v: F.array(*(x.cast("double") for x in v))
-    rois = p.select(F.lit("fov_0").alias("fov"), F.col("p_partkey").cast("int").alias("mask_id"), d(y0, y0 + n, y0 + n, y0).alias("y"), d(F.lit(2), F.lit(2), 2 + n, 2 + n).alias("x"))
+    rois = p.select(F.concat(F.lit("fov_"), F.floor(F.col("p_partkey") / 30).cast("string")).alias("fov"), F.col("p_partkey").cast("int").alias("mask_id"), d(y0, y0 + n, y0 + n, y0).alias("y"), d(F.lit(2), F.lit(2), 2 + n, 2 + n).alias("x"))
     return segment.from_rois(rois, 20, 20)
 
 
@@ -253,18 +267,35 @@ def fs3_trackpy(spark, sf):
     return r6(find_spots.trackpy_local_max_peak_finder(_planes(spark, sf), (1, 3, 3), 0.1, 10, 3, percentile=50))
 
 
-_GRID = "SELECT 'fov_' || (vec_id % 2) AS fov, vec_id, label, (vec_id // 2 // 16) * 20.0 AS y, (vec_id // 2 % 16) * 20.0 AS x FROM embeddings WHERE vec_id < 400"
+_GRID = "SELECT 'fov_' || (vec_id // 256) AS fov, vec_id, label, (vec_id % 256 // 16) * 20.0 AS y, (vec_id % 16) * 20.0 AS x FROM embeddings"
+
+
+def _barcodes(spark, sf) -> DataFrame:
+    """A spot of each round of a barcode at every place of the grid."""
+    at = P.table(spark, sf, "embeddings").select(F.concat(F.lit("fov_"), F.floor(F.col("vec_id") / 256).cast("string")).alias("fov"), "vec_id", "label", (F.floor(F.col("vec_id") % 256 / 16) * 20.0).alias("y"), (F.col("vec_id") % 16 * 20.0).alias("x"))
+    spots = at.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    return spots.select("fov", "r", ((F.col("label") + F.col("r") * (1 + F.floor(F.col("label") / 5))) % 5).cast("int").alias("c"), (F.col("vec_id") * 8 + F.col("r")).alias("spot_id"), F.lit(0.0).alias("z"), "y", "x", F.lit(1.0).alias("intensity"), "vec_id")
+
+
+def _barcode_codes(spark) -> DataFrame:
+    code = lambda k: [1.0 if (k + r * (1 + k // 5)) % 5 == c else 0.0 for r in range(4) for c in range(5)]
+    return spark.createDataFrame([(k, f"G{k}", code(k)) for k in range(10)], "code_idx int, target string, trace array<double>")
+
+
+_CALLED = ("fov", "target", "y", "x", "rounds_used")
 
 
 @query(f"SELECT fov, 'G' || label AS target, y::DOUBLE AS y, x::DOUBLE AS x, 4 AS rounds_used FROM ({_GRID})")
 def dec8_check_all(spark, sf):
     """Planted barcodes, far apart: all come back at their places."""
-    e = P.table(spark, sf, "embeddings").where("vec_id < 400")  # the places of the planted grid
-    planted = e.select(F.concat(F.lit("fov_"), (F.col("vec_id") % 2).cast("string")).alias("fov"), "vec_id", "label", (F.floor(F.floor(F.col("vec_id") / 2) / 16) * 20.0).alias("y"), (F.floor(F.col("vec_id") / 2) % 16 * 20.0).alias("x"))
-    spots = planted.crossJoin(spark.range(4).select(F.col("id").cast("int").alias("r"))).select("fov", "r", ((F.col("label") + F.col("r") * (1 + F.floor(F.col("label") / 5))) % 5).cast("int").alias("c"), (F.col("vec_id") * 4 + F.col("r")).alias("spot_id"), F.lit(0.0).alias("z"), "y", "x", F.lit(1.0).alias("intensity"))
-    code = lambda k: [1.0 if (k + r * (1 + k // 5)) % 5 == c else 0.0 for r in range(4) for c in range(5)]
-    codes = spark.createDataFrame([(k, f"G{k}", code(k)) for k in range(10)], "code_idx int, target string, trace array<double>")
-    return r6(check_all.check_all(spots, codes, 4, 5, 2.0).select("fov", "target", "y", "x", "rounds_used"))
+    return r6(check_all.check_all(_barcodes(spark, sf).drop("vec_id"), _barcode_codes(spark), 4, 5, 2.0).select(*_CALLED))
+
+
+@query(f"SELECT fov, 'G' || label AS target, y::DOUBLE AS y, x::DOUBLE AS x, CASE WHEN vec_id % 3 = 0 THEN 3 ELSE 4 END AS rounds_used FROM ({_GRID})")
+def dec8_missing_round(spark, sf):
+    """Every third barcode lacks a round, the fourth, third, second or first; with one round of error all come back."""
+    spots = _barcodes(spark, sf).where((F.col("vec_id") % 3 != 0) | (F.col("r") != F.floor(F.col("vec_id") / 3) % 4)).drop("vec_id")
+    return r6(check_all.check_all(spots, _barcode_codes(spark), 4, 5, 2.0, error_rounds=1).select(*_CALLED))
 
 
 # --- documents ----------------------------------------------------------------------------------

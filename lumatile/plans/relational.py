@@ -175,15 +175,15 @@ def tb3_nearest_neighbor(spark, sf):
     return r6(traces.nearest_neighbor(P.spots(spark, sf), 4, 5, 1, 3.0).select("fov", "feature_id", "trace"))
 
 
-def _ticks(spark) -> DataFrame:
-    f = spark.range(3).select(F.concat(F.lit("fov_"), F.col("id").cast("string")).alias("fov"), F.col("id").alias("k"))
+def _ticks(spark, sf) -> DataFrame:
+    f = P.spots(spark, sf).select("fov").distinct().withColumn("k", F.substring("fov", 5, 9).cast("int"))
     axes = spark.createDataFrame([("x", 64, 0.5, 10.0), ("y", 64, 0.25, 20.0), ("z", 1, 1.0, 7.0)], "axis string, n int, step double, start double")
     return f.crossJoin(axes).select("fov", "axis", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("idx"), "step", "start", "k").select("fov", "axis", "idx", (F.col("start") + F.col("k") * 100 + F.col("idx") * F.col("step")).alias("phys"))
 
 
 @query(with_("spots") + "SELECT fov, spot_id, CASE WHEN x <= 63 THEN round(10 + substr(fov, 5)::INT * 100 + x * 0.5, 6) END AS xc, round(20 + substr(fov, 5)::INT * 100 + y * 0.25, 6) AS yc, round(7.0::DOUBLE + substr(fov, 5)::INT * 100, 6) AS zc FROM spots")
 def tb5_physical_coords(spark, sf):
-    return r6(traces.physical_coords(P.spots(spark, sf), _ticks(spark)).select("fov", "spot_id", "xc", "yc", "zc"))
+    return r6(traces.physical_coords(P.spots(spark, sf), _ticks(spark, sf)).select("fov", "spot_id", "xc", "yc", "zc"))
 
 
 @query(with_("pixels") + "SELECT fov, (z * 16 + y) * 16 + x AS feature_id, list_transform(list(value ORDER BY r, c), lambda v: round(v, 6) + 0.0) AS trace FROM pixels GROUP BY fov, z, y, x")
@@ -343,7 +343,8 @@ def sel2_isel(spark, sf):
 
 @query(with_("pixels") + f"SELECT {PX}, round(value, 6) + 0.0 AS value FROM pixels WHERE x >= 4 AND x < 10 AND y = 6")
 def sel3_physical(spark, sf):
-    ticks = spark.range(16).select(F.explode(F.array(F.lit("F"), F.lit("O"))).alias("fov"), F.col("id").cast("int").alias("idx")).select("fov", F.explode(F.array(F.lit("x"), F.lit("y"))).alias("axis"), "idx", (F.col("idx") * 0.5 + 100).alias("phys"))
+    fovs = P.pixels(spark, sf).select("fov").distinct()
+    ticks = fovs.select("fov", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("idx")).select("fov", F.explode(F.array(F.lit("x"), F.lit("y"))).alias("axis"), "idx", (F.col("idx") * 0.5 + 100).alias("phys"))
     return r6(select.sel_by_physical_coords(P.pixels(spark, sf), ticks, {"xc": (102.1, 104.9), "yc": 103.25}))
 
 
@@ -421,13 +422,14 @@ def sel14_code_length(spark, sf):
 
 # --- spots measured in images -------------------------------------------------------------------
 
-_BOX = """boxes AS (SELECT spot_id, 'F' AS fov, floor(y / 4)::INT AS cy, floor(x / 4)::INT AS cx FROM spots WHERE fov = 'fov_0'),
+_BOX = """boxes AS (SELECT spot_id, 'F_' || (substr(fov, 5)::INT // 8) AS fov, floor(y / 4)::INT AS cy, floor(x / 4)::INT AS cx FROM spots),
  hit AS (SELECT spot_id, p.r, p.c, value FROM boxes b JOIN pixels p ON p.fov = b.fov AND p.z < 2 AND p.y BETWEEN cy - 1 AND cy + 1 AND p.x BETWEEN cx - 1 AND cx + 1)"""
 
 
 def _image_spots(spark, sf) -> DataFrame:
-    s = P.spots(spark, sf).where("fov = 'fov_0'")
-    return s.select(F.lit("F").alias("fov"), "spot_id", F.lit(0).alias("z"), F.floor(F.col("y") / 4).cast("int").alias("y"), F.floor(F.col("x") / 4).cast("int").alias("x"), F.lit(2.0).alias("radius"))
+    """All spots in the images of line status F; at every scale there are eight fields of spots or fewer to an image."""
+    s = P.spots(spark, sf)
+    return s.select(F.concat(F.lit("F_"), F.floor(F.substring("fov", 5, 9).cast("int") / 8).cast("string")).alias("fov"), "spot_id", F.lit(0).alias("z"), F.floor(F.col("y") / 4).cast("int").alias("y"), F.floor(F.col("x") / 4).cast("int").alias("x"), F.lit(2.0).alias("radius"))
 
 
 for _func, _agg in (("max", "max(value)"), ("mean", "avg(value)")):

@@ -1,42 +1,54 @@
 """Star-schema tables seen as imaging tables, in Spark and, for oracles, in DuckDB SQL.
 
-Every operator can so be run on any scale factor; each projection is deterministic.
+Every operator can so be run on any scale factor; each projection is deterministic, reads all rows
+of its table, and has fields of view in proportion to them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROUNDS, CHANNELS = 2, 4
+#: How many keys make a field of view: orders of an image, events of a spot table, masks, embeddings.
+IMAGE_KEYS, SPOT_KEYS, MASK_KEYS, FEATURE_KEYS = 16_384, 2_048, 20, 256
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _fov(key: str, size: int) -> Column:
+    return F.concat(F.lit("fov_"), F.floor(F.col(key) / size).cast("string"))
+
+
+def _folded(column: str) -> Column:
+    """ROUNDS * CHANNELS sums over the whole embedding: the n-th is that of every value whose position leaves n."""
+    n = ROUNDS * CHANNELS
+    return F.expr(f"transform(sequence(0, {n - 1}), i -> aggregate(filter(CAST({column} AS array<double>), (v, j) -> j % {n} = i), 0.0D, (s, v) -> s + v))")
+
+
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """feature_id, trace: the first ROUNDS * CHANNELS values of each embedding, round-major; fov by id."""
+    """feature_id, trace: each embedding folded to ROUNDS * CHANNELS values, round-major; fov by id."""
     e = table(spark, sf_dir, "embeddings")
-    return e.select(F.concat(F.lit("fov_"), F.pmod("vec_id", F.lit(2)).cast("string")).alias("fov"), F.col("vec_id").alias("feature_id"), F.slice("embedding", 1, ROUNDS * CHANNELS).cast("array<double>").alias("trace"))
+    return e.select(_fov("vec_id", FEATURE_KEYS).alias("fov"), F.col("vec_id").alias("feature_id"), _folded("embedding").alias("trace"))
 
 
 def codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """code_idx, target, trace: of each label the embedding with the smallest id."""
     e = table(spark, sf_dir, "embeddings")
     first = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("v"))
-    return first.select(F.col("label").cast("int").alias("code_idx"), F.concat(F.lit("G"), F.col("label").cast("string")).alias("target"), F.slice("v", 1, ROUNDS * CHANNELS).cast("array<double>").alias("trace"))
+    return first.select(F.col("label").cast("int").alias("code_idx"), F.concat(F.lit("G"), F.col("label").cast("string")).alias("target"), _folded("v").alias("trace"))
 
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A dense image stack: 2 fields of view, 4 rounds, 3 channels, 2 planes of 16 x 16; value 0 to 1."""
-    li = table(spark, sf_dir, "lineitem")
-    axis = lambda name, n: spark.range(n).select(F.col("id").cast("int").alias(name))
-    grid = spark.createDataFrame([("F",), ("O",)], "fov string")
-    for name, n in (("r", 4), ("c", 3), ("z", 2), ("y", 16), ("x", 16)):
-        grid = grid.crossJoin(axis(name, n))  # a grid of fixed size
+    """A dense image stack: fields of view by line status and order key, each of 4 rounds, 3 channels, 2 planes of 16 x 16; value 0 to 1."""
+    li = table(spark, sf_dir, "lineitem").withColumn("fov", F.concat_ws("_", "l_linestatus", F.floor(F.col("l_orderkey") / IMAGE_KEYS).cast("string")))
+    fovs = li.select("fov").distinct().withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(4 * 3 * 2 * 16 * 16 - 1))))
+    part = lambda by, n: F.pmod(F.floor(F.col("i") / by), F.lit(n)).cast("int")
+    grid = fovs.select("fov", part(1536, 4).alias("r"), part(512, 3).alias("c"), part(256, 2).alias("z"), part(16, 16).alias("y"), part(1, 16).alias("x"))
     measured = li.groupBy(
-        F.col("l_linestatus").alias("fov"), F.pmod(F.col("l_linenumber") - 1, F.lit(4)).cast("int").alias("r"),
+        "fov", F.pmod(F.col("l_linenumber") - 1, F.lit(4)).cast("int").alias("r"),
         F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2).alias("c"),
         F.pmod("l_orderkey", F.lit(2)).cast("int").alias("z"), F.pmod("l_suppkey", F.lit(16)).cast("int").alias("y"), F.pmod("l_partkey", F.lit(16)).cast("int").alias("x"),
     ).agg((F.avg("l_quantity") / 50).alias("value"))
@@ -44,30 +56,22 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spots in 4 rounds and 5 channels, with unrounded x."""
+    """Spots in 4 rounds and 5 channels, with unrounded x; fields of view by event_id."""
     ev = table(spark, sf_dir, "events")
-    kinds = ev.select("event_type").distinct().orderBy("event_type").limit(64)  # a handful of event types
-    index = kinds.select("event_type", (F.row_number().over(_by("event_type")) - 1).cast("int").alias("c"))
-    return ev.join(index, "event_type").select(
-        F.concat(F.lit("fov_"), F.pmod("user_id", F.lit(3)).cast("string")).alias("fov"), F.pmod("event_id", F.lit(4)).cast("int").alias("r"), "c",
+    return ev.select(
+        _fov("event_id", SPOT_KEYS).alias("fov"), F.pmod("event_id", F.lit(4)).cast("int").alias("r"), F.pmod(F.length("event_type"), F.lit(5)).cast("int").alias("c"),
         F.col("event_id").alias("spot_id"), F.lit(0.0).alias("z"), F.pmod("user_id", F.lit(64)).cast("double").alias("y"), F.pmod("value", F.lit(64.0)).alias("x"),
         F.lit(1.0).alias("radius"), (F.col("value") / 500).alias("intensity"),
     )
 
 
-def _by(name: str):
-    from pyspark.sql import Window
-
-    return Window.orderBy(name)
-
-
 def masks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """mask_pixels: 20 rectangles, which may overlap, in three fields of view of 64 x 64."""
-    p = table(spark, sf_dir, "part").where("p_partkey < 20")  # the rectangles are these twenty parts
+    """mask_pixels: a rectangle for each part, MASK_KEYS of them, which may overlap, in a field of view of 64 x 64."""
+    p = table(spark, sf_dir, "part")
     y0, x0 = F.pmod(F.col("p_partkey") * 13, F.lit(48)), F.pmod(F.col("p_partkey") * 29, F.lit(48))
     size = F.col("p_size") % 12 + 4
     return p.select(
-        F.explode(F.array(*(F.lit(f"fov_{i}") for i in range(3)))).alias("fov"), F.col("p_partkey").cast("int").alias("mask_id"), F.lit(0).alias("z"),
+        _fov("p_partkey", MASK_KEYS).alias("fov"), (F.col("p_partkey") % MASK_KEYS).cast("int").alias("mask_id"), F.lit(0).alias("z"),
         y0.cast("int").alias("y0"), x0.cast("int").alias("x0"), size.cast("int").alias("n"),
     ).select("fov", "mask_id", "z", F.explode(F.sequence("y0", F.col("y0") + F.col("n") - 1)).alias("y"), "x0", "n").select(
         "fov", "mask_id", "z", "y", F.explode(F.sequence("x0", F.col("x0") + F.col("n") - 1)).alias("x"))
@@ -83,19 +87,24 @@ def areas(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _folded_sql(column: str) -> str:
+    n = ROUNDS * CHANNELS
+    return f"list_transform(range(0, {n}), lambda i: list_sum(list_transform(range(0, len({column}) // {n}), lambda j: {column}[1 + i + {n} * j]::DOUBLE)))"
+
+
 #: The same in DuckDB, as common table expressions by name; each uses tables and earlier ones only.
 SQL = {
-    "features": f"SELECT 'fov_' || (vec_id % 2) AS fov, vec_id AS feature_id, embedding[1:{ROUNDS * CHANNELS}]::DOUBLE[] AS trace FROM embeddings",
-    "codes": f"SELECT label::INT AS code_idx, 'G' || label AS target, arg_min(embedding, vec_id)[1:{ROUNDS * CHANNELS}]::DOUBLE[] AS trace FROM embeddings GROUP BY label",
-    "pixels": """SELECT fov, r::INT AS r, c::INT AS c, z::INT AS z, y::INT AS y, x::INT AS x, coalesce(value, 0.0) AS value
-        FROM (SELECT * FROM (SELECT unnest(['F', 'O']) AS fov), range(4) a(r), range(3) b(c), range(2) d(z), range(16) e(y), range(16) f(x)) g
-        LEFT JOIN (SELECT l_linestatus AS fov, (l_linenumber - 1) % 4 AS r, CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS c, l_orderkey % 2 AS z,
+    "features": f"SELECT 'fov_' || (vec_id // {FEATURE_KEYS}) AS fov, vec_id AS feature_id, {_folded_sql('embedding')} AS trace FROM embeddings",
+    "codes": f"SELECT label::INT AS code_idx, 'G' || label AS target, {_folded_sql('v')} AS trace FROM (SELECT label, arg_min(embedding, vec_id) AS v FROM embeddings GROUP BY label)",
+    "pixels": f"""SELECT fov, r::INT AS r, c::INT AS c, z::INT AS z, y::INT AS y, x::INT AS x, coalesce(value, 0.0) AS value
+        FROM (SELECT * FROM (SELECT DISTINCT l_linestatus || '_' || (l_orderkey // {IMAGE_KEYS}) AS fov FROM lineitem), range(4) a(r), range(3) b(c), range(2) d(z), range(16) e(y), range(16) f(x)) g
+        LEFT JOIN (SELECT l_linestatus || '_' || (l_orderkey // {IMAGE_KEYS}) AS fov, (l_linenumber - 1) % 4 AS r, CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS c, l_orderkey % 2 AS z,
             l_suppkey % 16 AS y, l_partkey % 16 AS x, avg(l_quantity) / 50 AS value FROM lineitem GROUP BY ALL) USING (fov, r, c, z, y, x)""",
-    "spots": """SELECT 'fov_' || (user_id % 3) AS fov, (event_id % 4)::INT AS r, c, event_id AS spot_id, 0.0::DOUBLE AS z, (user_id % 64)::DOUBLE AS y, value % 64 AS x, 1.0::DOUBLE AS radius, value / 500 AS intensity
-        FROM events JOIN (SELECT event_type, (row_number() OVER (ORDER BY event_type) - 1)::INT AS c FROM (SELECT DISTINCT event_type FROM events)) USING (event_type)""",
-    "mask_pixels": """SELECT fov, mask_id, 0 AS z, y, unnest(range(x0, x0 + n))::INT AS x FROM (
+    "spots": f"""SELECT 'fov_' || (event_id // {SPOT_KEYS}) AS fov, (event_id % 4)::INT AS r, (length(event_type) % 5)::INT AS c, event_id AS spot_id, 0.0::DOUBLE AS z, (user_id % 64)::DOUBLE AS y, value % 64 AS x, 1.0::DOUBLE AS radius, value / 500 AS intensity
+        FROM events""",
+    "mask_pixels": f"""SELECT fov, mask_id, 0 AS z, y, unnest(range(x0, x0 + n))::INT AS x FROM (
         SELECT fov, mask_id, unnest(range(y0, y0 + n))::INT AS y, x0, n FROM (
-        SELECT unnest(['fov_0', 'fov_1', 'fov_2']) AS fov, p_partkey::INT AS mask_id, (p_partkey * 13 % 48)::INT AS y0, (p_partkey * 29 % 48)::INT AS x0, (p_size % 12 + 4)::INT AS n FROM part WHERE p_partkey < 20))""",
+        SELECT 'fov_' || (p_partkey // {MASK_KEYS}) AS fov, (p_partkey % {MASK_KEYS})::INT AS mask_id, (p_partkey * 13 % 48)::INT AS y0, (p_partkey * 29 % 48)::INT AS x0, (p_size % 12 + 4)::INT AS n FROM part))""",
     "areas": """SELECT printf('fov_%02d', c_nationkey) AS fov, c_custkey AS feature_id, (c_nationkey % 5) * 9000 + c_acctbal AS xc, ((c_nationkey // 5) * 900 + c_custkey % 1000)::DOUBLE AS yc, c_mktsegment AS target FROM customer""",
 }
 
