@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from lumatile.plans import kernels, relational  # noqa: F401
+from lumatile.plans import kernels, planted, relational  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
