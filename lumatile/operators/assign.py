@@ -7,6 +7,8 @@ from functools import reduce as fold
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .graph import cut
+
 
 def assign_targets(decoded: DataFrame, mask_pixels: DataFrame, use_z: bool = True) -> DataFrame:
     """decoded features with cell_id, the name of the last mask that holds their pixel; NULL outside all masks.
@@ -68,9 +70,14 @@ def overlaps(features: DataFrame) -> DataFrame:
     spread = boxes.crossJoin(F.broadcast(width)).withColumn("__s", F.explode(F.sequence(strip("xc_min"), strip("xc_max")))).drop("__w")
     a, b = (spread.select("__s", *(F.col(c).alias(f"{c}_{s}") for c in boxes.columns)) for s in "ab")
     hit = (F.col("fov_a") < F.col("fov_b")) & (F.col("xc_max_a") >= F.col("xc_min_b")) & (F.col("xc_max_b") >= F.col("xc_min_a")) & (F.col("yc_max_a") >= F.col("yc_min_b")) & (F.col("yc_max_b") >= F.col("yc_min_a"))
-    pairs = a.join(b, "__s").where(hit).drop("__s").dropDuplicates(["fov_a", "fov_b"])
+    return _intersections(boxes, a.join(b, "__s").where(hit).select("fov_a", "fov_b").distinct())
+
+
+def _intersections(boxes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Of the pairs (fov_a, fov_b) those whose boxes touch or overlap, with the intersection."""
+    a, b = (boxes.select(*(F.col(c).alias(f"{c}_{s}") for c in boxes.columns)) for s in "ab")
     inner = [f(F.col(f"{c}_{n}_a"), F.col(f"{c}_{n}_b")).alias(f"{c}_{n}") for c in ("xc", "yc") for n, f in (("min", F.greatest), ("max", F.least))]
-    return pairs.select("fov_a", "fov_b", *inner)
+    return pairs.join(a, "fov_a").join(b, "fov_b").select("fov_a", "fov_b", *inner).where("xc_min <= xc_max AND yc_min <= yc_max")
 
 
 Area = dict[str, float | Column]
@@ -87,43 +94,61 @@ def remove_area(features: DataFrame, area: Area) -> DataFrame:
     return features.where(~inside)
 
 
-def take_max(features: DataFrame) -> DataFrame:
-    """For each pair of overlapping fields of view, the one with more features in the intersection keeps them, the first if equal; the other loses those inside.
-
-    All pairs are judged on the untrimmed tables at once, in one plan. That equals judging them one
-    after another where no feature lies in two intersections; take_max_in_order does the latter.
-    """
-    pairs = overlaps(features)
-    mine = lambda s: pairs.join(features, pairs[f"fov_{s}"] == features["fov"]).where(F.col("xc").between(F.col("xc_min"), F.col("xc_max")) & F.col("yc").between(F.col("yc_min"), F.col("yc_max"))).groupBy("fov_a", "fov_b").agg(F.count("*").alias(f"n_{s}"))
-    judged = pairs.join(mine("a"), ["fov_a", "fov_b"], "left").join(mine("b"), ["fov_a", "fov_b"], "left").na.fill(0, ["n_a", "n_b"])
+def _trimmed(features: DataFrame, pairs: DataFrame) -> DataFrame:
+    """features without those that lose in the pairs' intersections: the table with more features there keeps them, the first if equal."""
+    inside = F.col("xc").between(F.col("xc_min"), F.col("xc_max")) & F.col("yc").between(F.col("yc_min"), F.col("yc_max"))
+    count = lambda s: pairs.join(features, pairs[f"fov_{s}"] == features["fov"]).where(inside).groupBy("fov_a", "fov_b").agg(F.count("*").alias(f"n_{s}"))
+    judged = pairs.join(count("a"), ["fov_a", "fov_b"], "left").join(count("b"), ["fov_a", "fov_b"], "left").na.fill(0, ["n_a", "n_b"])
     loser = judged.select(F.when(F.col("n_a") >= F.col("n_b"), F.col("fov_b")).otherwise(F.col("fov_a")).alias("__fov"), *(F.col(c).alias(f"__{c}") for c in ("xc_min", "xc_max", "yc_min", "yc_max")))
-    inside = (F.col("fov") == F.col("__fov")) & (F.col("xc") > F.col("__xc_min")) & (F.col("xc") < F.col("__xc_max")) & (F.col("yc") > F.col("__yc_min")) & (F.col("yc") < F.col("__yc_max"))
-    return features.join(loser, inside, "left_anti")
+    lost = (F.col("fov") == F.col("__fov")) & (F.col("xc") > F.col("__xc_min")) & (F.col("xc") < F.col("__xc_max")) & (F.col("yc") > F.col("__yc_min")) & (F.col("yc") < F.col("__yc_max"))
+    return features.join(loser, lost, "left_anti")
+
 
+def take_max_at_once(features: DataFrame) -> DataFrame:
+    """take_max with all pairs judged on the untrimmed tables, in one plan. Equal to take_max where no feature lies in two intersections."""
+    return _trimmed(features, overlaps(features))
 
-def take_max_in_order(features: DataFrame) -> DataFrame:
-    """take_max pair by pair in order of (fov_a, fov_b), each on what earlier pairs left, boxes measured anew; a pair that no longer overlaps is passed over.
 
-    The pairs, at most a few neighbours per field of view, are the driver's loop.
+def waves(pairs: list[tuple[str, str]]) -> list[list[tuple[str, str]]]:
+    """Pairs in order as waves: each pair comes after all earlier ones that share a field of view with it, and no two of a wave share one."""
+    out: list[list[tuple[str, str]]] = []
+    last: dict[str, int] = {}
+    for a, b in pairs:
+        n = max(last.get(a, 0), last.get(b, 0))
+        if n == len(out):
+            out.append([])
+        out[n].append((a, b))
+        last[a] = last[b] = n + 1
+    return out
+
+
+def take_max(features: DataFrame) -> DataFrame:
+    """For each pair of overlapping fields of view, the one with more features in the intersection keeps them, the first if equal; the other loses those inside.
+
+    Pairs come in order of (fov_a, fov_b), each judged on what earlier ones left, its boxes
+    measured anew; a pair that no longer overlaps is passed over. Pairs that don't touch each
+    other's tables are trimmed together, in one plan a wave; the driver holds the pairs, a few for
+    each field of view.
     """
-    for p in overlaps(features).select("fov_a", "fov_b").orderBy("fov_a", "fov_b").collect():
-        own = features.where(F.col("fov").isin(p.fov_a, p.fov_b))
-        for hit in overlaps(own).collect():
-            area = {k: hit[k] for k in ("xc_min", "xc_max", "yc_min", "yc_max")}
-            n = {r.fov: r["count"] for r in sel_area(own, area).groupBy("fov").count().collect()}
-            lose = p.fov_b if n.get(p.fov_a, 0) >= n.get(p.fov_b, 0) else p.fov_a
-            features = features.where(F.col("fov") != lose).unionByName(remove_area(features.where(F.col("fov") == lose), area))
+    pairs = [(p.fov_a, p.fov_b) for p in overlaps(features).select("fov_a", "fov_b").orderBy("fov_a", "fov_b").toLocalIterator()]
+    for wave in waves(pairs):
+        now = features.sparkSession.createDataFrame(wave, "fov_a string, fov_b string")
+        features = cut(_trimmed(features, _intersections(extents(features), now)))
     return features
 
 
+#: Strategies for overlapping fields of view by name.
+OVERLAP_STRATEGIES = {"take_max": take_max, "take_max_at_once": take_max_at_once}
+
+
 def concatenate_intensity_tables(tables: list[DataFrame], overlap_strategy: str | None = None) -> DataFrame:
-    """All tables' rows; overlap_strategy 'take_max' first settles overlapping fields of view."""
+    """All tables' rows; an overlap_strategy then settles overlapping fields of view."""
     both = concatenate(tables)
     if overlap_strategy is None:
         return both
-    if overlap_strategy != "take_max":
-        raise ValueError(f"overlap strategy {overlap_strategy!r} is not known")
-    return take_max(both)
+    if overlap_strategy not in OVERLAP_STRATEGIES:
+        raise ValueError(f"overlap strategy {overlap_strategy!r} is none of {sorted(OVERLAP_STRATEGIES)}")
+    return OVERLAP_STRATEGIES[overlap_strategy](both)
 
 
 def gene_correlation(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..kernels.regions import label
 from .decode import decode_metric
+from .graph import components
 from .traces import pixel_features
 
 PLACE = ("fov", "z", "y", "x")
@@ -40,27 +41,17 @@ def label_components(image: DataFrame, connectivity: int = 2) -> DataFrame:
     return image.where("code > 0").groupBy("fov").applyInPandas(run, "fov STRING, z INT, y INT, x INT, code INT, label INT")
 
 
-def label_components_sql(image: DataFrame, connectivity: int = 2, rounds: int = 200) -> DataFrame:
-    """label_components for fields of view too large for one task: each pixel takes the smallest number among its neighbours, until none changes.
-
-    Every round is checkpointed where a checkpoint folder is set.
-    """
-    steps = [(dz, dy, dx) for dz in (-1, 0, 1) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if 0 < abs(dz) + abs(dy) + abs(dx) <= connectivity]
-    spark = image.sparkSession
-    table = spark.createDataFrame(steps, "dz int, dy int, dx int")
-    now = image.where("code > 0").select(*PLACE, "code", F.struct("z", "y", "x").alias("n"))
-    durable = spark.sparkContext._jsc.sc().getCheckpointDir().isDefined()
-    for _ in range(rounds):
-        near = now.crossJoin(F.broadcast(table)).select("fov", (F.col("z") + F.col("dz")).alias("z"), (F.col("y") + F.col("dy")).alias("y"), (F.col("x") + F.col("dx")).alias("x"), "code", F.col("n").alias("m"))
-        least = near.groupBy(*PLACE, "code").agg(F.min("m").alias("m"))
-        new = now.join(least, [*PLACE, "code"], "left").select(*PLACE, "code", F.least("n", F.coalesce("m", "n")).alias("n"), (F.col("m") < F.col("n")).alias("changed"))
-        new = new.checkpoint() if durable else new.persist()
-        changed = new.where("changed").limit(1).count()
-        now = new.drop("changed")
-        if not changed:
-            break
-    first = now.select("fov", "n").distinct().withColumn("label", F.row_number().over(Window.partitionBy("fov").orderBy("n")).cast("int"))
-    return now.join(first, ["fov", "n"]).select(*PLACE, "code", "label")
+def label_components_sql(image: DataFrame, connectivity: int = 2) -> DataFrame:
+    """label_components for fields of view too large for one task: neighbours of one code are edges of a graph whose components are found."""
+    steps = [(dz, dy, dx) for dz in (-1, 0, 1) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if 0 < abs(dz) + abs(dy) + abs(dx) <= connectivity and (dz, dy, dx) < (0, 0, 0)]
+    now = image.where("code > 0").select(*PLACE, "code")
+    offsets = F.array(*(F.struct(*(F.lit(v).alias(a) for v, a in zip(s, ("dz", "dy", "dx"), strict=True))) for s in steps))
+    at = now.select(*PLACE, "code", F.explode(offsets).alias("d")).select("fov", *((F.col(a) + F.col(f"d.d{a}")).alias(a) for a in ("z", "y", "x")), "code", F.struct(*PLACE).alias("u"))
+    edges = at.join(now, [*PLACE, "code"]).select("u", F.struct(*PLACE).alias("v"))
+    roots = components(edges).select("node.*", F.col("root").alias("n"))
+    rooted = now.join(roots, list(PLACE), "left").withColumn("n", F.coalesce("n", F.struct(*PLACE)))
+    first = rooted.select("fov", "n").distinct().withColumn("label", F.row_number().over(Window.partitionBy("fov").orderBy("n")).cast("int"))
+    return rooted.join(first, ["fov", "n"]).select(*PLACE, "code", "label")
 
 
 def mean_pixel_traces(decoded: DataFrame, labels: DataFrame) -> DataFrame:

@@ -562,9 +562,26 @@ def ag7_remove_area(spark, sf):
 _LOSER = "SELECT *, CASE WHEN na >= nb THEN fov_b ELSE fov_a END AS loser FROM (SELECT p.*, (SELECT count(*) FROM areas t WHERE t.fov = fov_a AND xc BETWEEN x0 AND x1 AND yc BETWEEN y0 AND y1) AS na, (SELECT count(*) FROM areas t WHERE t.fov = fov_b AND xc BETWEEN x0 AND x1 AND yc BETWEEN y0 AND y1) AS nb FROM p)"
 
 
-@query(_PAIRS.rstrip() + f",\n l AS ({_LOSER}) SELECT fov, feature_id FROM areas t WHERE NOT EXISTS (SELECT 1 FROM l WHERE loser = t.fov AND xc > x0 AND xc < x1 AND yc > y0 AND yc < y1)")
+_AT_ONCE = _PAIRS.rstrip() + f",\n l AS ({_LOSER}) SELECT fov, feature_id FROM areas t WHERE NOT EXISTS (SELECT 1 FROM l WHERE loser = t.fov AND xc > x0 AND xc < x1 AND yc > y0 AND yc < y1)"
+
+
+@query(_AT_ONCE)
+def ag8_take_max_at_once(spark, sf):
+    return assign.take_max_at_once(P.areas(spark, sf)).select("fov", "feature_id")
+
+
+#: Of each customer's nation and the next one two strips that overlap, of pairs of nations that share nothing: in order and at once are the same.
+_STRIPS = "SELECT printf('fov_%02d', c_nationkey) AS fov, c_custkey AS feature_id, (c_nationkey // 2) * 9000 + (c_nationkey % 2) * 1000 + c_custkey % 1500::DOUBLE AS xc, c_acctbal AS yc FROM customer"
+_ONE = "SELECT min(xc) AS x0, max(xc) AS x1, min(yc) AS y0, max(yc) AS y1, fov FROM s GROUP BY fov"
+
+
+@query(f"""WITH s AS ({_STRIPS}), b AS ({_ONE}), areas AS (SELECT * FROM s),
+ p AS (SELECT a.fov AS fov_a, b.fov AS fov_b, greatest(a.x0, b.x0) AS x0, least(a.x1, b.x1) AS x1, greatest(a.y0, b.y0) AS y0, least(a.y1, b.y1) AS y1 FROM b a JOIN b b ON a.fov < b.fov AND a.x1 >= b.x0 AND b.x1 >= a.x0 AND a.y1 >= b.y0 AND b.y1 >= a.y0),
+ l AS ({_LOSER}) SELECT fov, feature_id FROM s t WHERE NOT EXISTS (SELECT 1 FROM l WHERE loser = t.fov AND xc > x0 AND xc < x1 AND yc > y0 AND yc < y1)""")
 def ag8_take_max(spark, sf):
-    return assign.take_max(P.areas(spark, sf)).select("fov", "feature_id")
+    c, n = P.table(spark, sf, "customer"), F.col("c_nationkey")
+    strips = c.select(F.format_string("fov_%02d", n).alias("fov"), F.col("c_custkey").alias("feature_id"), (F.floor(n / 2) * 9000 + n % 2 * 1000 + F.col("c_custkey") % 1500).cast("double").alias("xc"), F.col("c_acctbal").cast("double").alias("yc"))
+    return assign.take_max(strips).select("fov", "feature_id")
 
 
 @query(with_("areas", a="SELECT fov, feature_id, target FROM areas WHERE feature_id % 2 = 0", b="SELECT fov, feature_id, NULL AS target FROM areas WHERE feature_id % 2 = 1") + "SELECT * FROM a UNION ALL SELECT * FROM b")

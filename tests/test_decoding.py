@@ -1,11 +1,12 @@
 """Hand-checked cases of decoding, levels, reduction and overlap."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from lumatile.operators import assign, check_all, decode, pixel_filters, reduce, select, traces
+from lumatile.operators import assign, check_all, decode, pixel_decode, pixel_filters, reduce, select, traces
 from lumatile.operators.levels import Levels, level, preserve_float_range
 from lumatile.sources import codebook
 
@@ -134,8 +135,47 @@ def test_overlaps_and_take_max(spark):
     line = lambda fov, n, x0, x1, y0, y1: [(fov, i, x0 + (x1 - x0) * i / (n - 1), y0 + (y1 - y0) * i / (n - 1)) for i in range(n)]
     f = spark.createDataFrame(line("a", 10, 0, 2, 0, 2) + line("b", 20, 1, 2, 1, 3), "fov string, feature_id long, xc double, yc double")
     assert assign.overlaps(f).collect()[0][2:] == (1.0, 2.0, 1.0, 2.0)
-    for out in (assign.take_max(f), assign.take_max_in_order(f)):
+    for strategy in assign.OVERLAP_STRATEGIES:
+        out = assign.concatenate_intensity_tables([f.where("fov = 'a'"), f.where("fov = 'b'")], strategy)
         assert {r.fov: r["count"] for r in out.groupBy("fov").count().collect()} == {"a": 6, "b": 20}
+    with pytest.raises(ValueError):
+        assign.concatenate_intensity_tables([f], "take_min")
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_take_max_equals_pair_by_pair(spark, seed):
+    """Fields in a grid that overlap on all sides, so that pairs depend on earlier ones."""
+    r = random.Random(seed)
+    rows = [(f"{k}", i, 8.0 * (k % 3) + r.randint(0, 10), 8.0 * (k // 3) + r.randint(0, 10)) for k in range(9) for i in range(r.randint(5, 60))]
+    left = {f: [x for x in rows if x[0] == f] for f in sorted({x[0] for x in rows})}
+    box = lambda t: (min(x[2] for x in t), max(x[2] for x in t), min(x[3] for x in t), max(x[3] for x in t))
+    changed = 0
+    for a in left:
+        for b in left:
+            if a < b and left[a] and left[b]:
+                p, q = box(left[a]), box(left[b])
+                x0, x1, y0, y1 = max(p[0], q[0]), min(p[1], q[1]), max(p[2], q[2]), min(p[3], q[3])
+                if x0 <= x1 and y0 <= y1:
+                    n = [sum(x0 <= x[2] <= x1 and y0 <= x[3] <= y1 for x in left[f]) for f in (a, b)]
+                    lose = b if n[0] >= n[1] else a
+                    left[lose] = [x for x in left[lose] if not (x0 < x[2] < x1 and y0 < x[3] < y1)]
+                    changed += 1
+    f = spark.createDataFrame(rows, "fov string, feature_id long, xc double, yc double").repartition(3)
+    got = {(x.fov, x.feature_id) for x in assign.take_max(f).collect()}
+    assert got == {x[:2] for t in left.values() for x in t} and changed > 10
+
+
+def test_waves_keep_the_order_of_pairs_that_share_a_field():
+    pairs = [("0", "1"), ("0", "3"), ("1", "2"), ("4", "5"), ("2", "3")]
+    assert assign.waves(pairs) == [[("0", "1"), ("4", "5")], [("0", "3"), ("1", "2")], [("2", "3")]]
+
+
+def test_long_components_settle(spark):
+    """A line that winds over fifteen rows is one component, whichever way it is found."""
+    winding = [(0, 2 * row, x) for row in range(15) for x in range(40)] + [(0, 2 * row + 1, 39 * (1 - row % 2)) for row in range(14)]
+    image = spark.createDataFrame([("f", z, y, x, 1) for z, y, x in winding] + [("f", 0, 50, 50, 1), ("f", 1, 51, 50, 1), ("f", 0, 50, 51, 2), ("g", 0, 0, 0, 3)], "fov string, z int, y int, x int, code int")
+    both = [sorted(tuple(x) for x in f(image).collect()) for f in (pixel_decode.label_components, pixel_decode.label_components_sql)]
+    assert both[0] == both[1] and len({x[5] for x in both[0] if x[0] == "f"}) == 3
 
 
 def test_overlap_pairs(spark):
