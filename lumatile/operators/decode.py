@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,27 +27,88 @@ def normalize_features(features: DataFrame, size: int, order: float = 2, column:
 
 
 def nearest_code(features: DataFrame, codes: DataFrame, metric: str = "euclidean") -> DataFrame:
-    """features with code_idx, target and distance of the nearest code; of equally near ones the first.
+    """features with code_idx, target and distance of the nearest code; of equally near ones (to 12 places) the first.
 
-    Every trace is compared with every code, and traces are not shuffled: BROADCAST_CODES codes at a
-    time are gathered into one array and broadcast, the nearest is found within the row, and larger
-    codebooks take several such steps.
+    Every trace is compared with every code, and traces are not shuffled. BROADCAST_CODES codes at a
+    time are broadcast, and larger codebooks take several such steps. Distances that come from
+    products are worked out for a batch of traces at once, others within the row.
     """
-    numbered = codes.select("code_idx", "target", F.col("trace").alias("code"))
-    found = codes.limit(BROADCAST_CODES + 1).count()
-    blocks = [numbered]
-    if found > BROADCAST_CODES:
-        n = -(-codes.count() // BROADCAST_CODES)
-        blocks = [numbered.where(F.pmod(F.xxhash64("code_idx"), F.lit(n)) == i) for i in range(n)]
-    far = lambda k: F.struct(F.round(distance(F.col("trace"), k["code"], metric), 12).alias("d"), k["code_idx"].alias("i"), k["target"].alias("t"))
-    out = features
-    for i, block in enumerate(blocks):
-        book = block.agg(F.collect_list(F.struct("code_idx", "target", "code")).alias("__book"))
-        best = F.array_min(F.transform("__book", far))
-        out = out.crossJoin(F.broadcast(book)).withColumn("__best", F.least(F.col("__best"), best) if i else best).drop("__book")
+    count = codes.limit(BROADCAST_CODES + 1).count()
+    n = 1 if count <= BROADCAST_CODES else -(-codes.count() // BROADCAST_CODES)
+    block = lambda i: codes if n == 1 else codes.where(F.pmod(F.xxhash64("code_idx"), F.lit(n)) == i)
+    out = features.withColumn("__best", F.lit(None).cast("struct<d:double,i:int,t:string>"))
+    for i in range(n):
+        out = (_nearest_by_product if metric in PRODUCTS else _nearest_in_row)(out, block(i), metric)
     return out.withColumns({"code_idx": F.col("__best.i"), "target": F.col("__best.t"), "distance": F.col("__best.d")}).drop("__best")
 
 
+def _nearest_in_row(features: DataFrame, codes: DataFrame, metric: str) -> DataFrame:
+    far = lambda k: F.struct(F.round(distance(F.col("trace"), k["code"], metric), 12).alias("d"), k["code_idx"].cast("int").alias("i"), k["target"].alias("t"))
+    book = codes.select("code_idx", "target", F.col("trace").alias("code")).agg(F.collect_list(F.struct("code_idx", "target", "code")).alias("__book"))
+    best = F.array_min(F.transform("__book", far))
+    return features.crossJoin(F.broadcast(book)).withColumn("__best", F.least("__best", best)).drop("__book")
+
+
+#: Metrics that a product of two matrices nearly gives, and how near: what is nearer than that is worked out exactly.
+PRODUCTS, SLACK = ("euclidean", "sqeuclidean", "cosine"), 1e-9
+#: Numbers of one product.
+PRODUCT = 1 << 22
+
+
+def _nearest_by_product(features: DataFrame, codes: DataFrame, metric: str) -> DataFrame:
+    rows = codes.select(F.col("code_idx").cast("int"), "target", "trace").orderBy("code_idx").collect()  # BROADCAST_CODES at most
+    if not rows:
+        return features
+    book = features.sparkSession.sparkContext.broadcast(([r[0] for r in rows], [r[1] for r in rows], np.array([r[2] for r in rows], float)))
+    at, best_at = features.columns.index("trace"), features.columns.index("__best")
+
+    def exact(u: np.ndarray, k: np.ndarray) -> np.ndarray:
+        if metric == "cosine":
+            with np.errstate(invalid="ignore", divide="ignore"):
+                return 1 - (u * k).sum(axis=-1) / (np.sqrt((u * u).sum(axis=-1)) * np.sqrt((k * k).sum(axis=-1)))
+        square = ((u - k) ** 2).sum(axis=-1)
+        return square if metric == "sqeuclidean" else np.sqrt(square)
+
+    def nearest(u: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the nearest codes and their distances; NaN, where a vector of zeros has no angle, is nearer than all."""
+        if metric == "cosine":
+            unit = lambda v: v / np.sqrt((v * v).sum(axis=1, keepdims=True))
+            with np.errstate(invalid="ignore"):
+                near = -unit(u) @ unit(code).T
+        else:
+            near = (code * code).sum(axis=1) - 2 * (u @ code.T)
+        place = near.argmin(axis=1)
+        d = np.round(exact(u, code[place]), 12)
+        limit = near[np.arange(len(u)), place] + SLACK * (1 + np.abs(near).max(axis=1))
+        for r in np.flatnonzero((near <= limit[:, None]).sum(axis=1) > 1):
+            k = np.flatnonzero(near[r] <= limit[r])
+            own = np.round(exact(u[r], code[k]), 12)
+            place[r], d[r] = k[own.argmin()], own.min()
+        return place, d
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, target, code = book.value
+        step = max(1, PRODUCT // len(code))
+        for b in parts:
+            held = b.column(best_at).to_pylist()
+            traces = b.column(at)
+            size = traces.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
+            if len(size) and (wrong := size[(size >= 0) & (size != code.shape[1])]).size:
+                raise ValueError(f"a trace of {wrong[0]} values, codes of {code.shape[1]}")
+            on = np.flatnonzero(size >= 0)
+            u = traces.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, code.shape[1])
+            for a in range(0, len(on), step):
+                place, d = nearest(u[a : a + step], code)
+                for r, k, x in zip(on[a : a + step].tolist(), place.tolist(), d.tolist(), strict=True):
+                    x = None if x != x else x
+                    was = held[r]
+                    if was is None or (x is not None, x or 0.0, index[k]) < (was["d"] is not None, was["d"] or 0.0, was["i"]):
+                        held[r] = {"d": x, "i": index[k], "t": target[k]}
+            yield b.set_column(best_at, b.schema.field(best_at), pa.array(held, b.schema.field(best_at).type))
+
+    return features.mapInArrow(run, features.schema)
+
+
 def decode_metric(features: DataFrame, codes: DataFrame, size: int, max_distance: float, min_intensity: float, norm_order: float = 2, metric: str = "euclidean", return_original_intensities: bool = False) -> DataFrame:
     """Nearest code of the normalised trace. A target is always named; it passes if norm >= min_intensity and distance <= max_distance.
 

@@ -50,6 +50,22 @@ def test_large_codebooks_are_compared_in_steps(spark, monkeypatch):
     assert result(decode.decode_per_round_max(f, book, 2, 2), "target") == result(decode.decode_per_round_max(f, book, 2, 2), "target")
 
 
+@pytest.mark.parametrize("metric", decode.PRODUCTS)
+def test_products_equal_distances_row_by_row(spark, metric):
+    """Ties, equal codes, a null trace and vectors of zeros included."""
+    r = random.Random(3)
+    book = codes(spark, *((f"T{i}", [r.choice([0, 0, 0.5, 1]) for _ in range(4)]) for i in range(40)), ("zero", [0] * 4), ("again", [1, 0, 0.5, 0]))
+    f = features(spark, *([r.choice([0, 0.5, 1, r.random()]) for _ in range(4)] for _ in range(200)), [0] * 4)
+    f = f.unionByName(f.limit(1).withColumn("trace", F.lit(None).cast("array<double>")).withColumn("feature_id", F.lit(999).cast("long")))
+    best = f.withColumn("__best", F.lit(None).cast("struct<d:double,i:int,t:string>"))
+    named = book.where("target <> 'zero'") if metric == "cosine" else book
+    a = {x.feature_id: x["__best"] for x in decode._nearest_in_row(best.where("trace IS NOT NULL"), named, metric).collect()}
+    b = {x.feature_id: x["__best"] for x in decode._nearest_by_product(best, named, metric).collect()}
+    assert b.pop(999) is None and a.keys() == b.keys()
+    for k, x in a.items():
+        assert (x.i, x.t) == (b[k].i, b[k].t) and (x.d is None and b[k].d is None or x.d == pytest.approx(b[k].d, abs=1e-12))
+
+
 @pytest.mark.parametrize(("order", "expected"), [(1, 7.0), (2, 5.0)])
 def test_norms(spark, order, expected):
     out = decode.normalize_features(features(spark, [0, 3, 4, 0], [0, 0, 0, 0]), 4, order).orderBy("feature_id").collect()
