@@ -206,3 +206,11 @@ def test_pipelines_on_a_synthetic_scene(spark):
     assert right >= 7 and right >= 0.8 * len(found)
     pixels = pipelines.pixel_pipeline(tiles, codes, 9, min_area=2).where("passes_thresholds")
     assert pixels.count() >= 5
+
+
+def test_probabilities_of_an_external_classifier_replace_planes(spark):
+    rows = [("f", r, 0, z, 2, 3, [0.5] * 6) for r in range(2) for z in range(2)]
+    tiles = spark.createDataFrame(rows, "fov string, r int, c int, z int, height int, width int, pixels array<float>")
+    out = tile_filters.import_probabilities(tiles, lambda fov, r, c, z: np.full((2, 3), (r + z) / 4)).collect()
+    assert {(x.r, x.z): set(x.pixels) for x in out} == {(r, z): {(r + z) / 4} for r in range(2) for z in range(2)}
+    assert all((x.height, x.width, len(x.pixels)) == (2, 3, 6) for x in out)
