@@ -23,11 +23,13 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local one if all runs on one machine, else an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         path = found.get() if found.isDefined() else None
+    if not path and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is not set: driver and executors need a folder that they share")
     if not path:
         path = "file://" + tempfile.mkdtemp(prefix="lumatile-")
         spark.sparkContext.setCheckpointDir(path)

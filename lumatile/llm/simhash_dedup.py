@@ -57,12 +57,16 @@ def _bit_counts(h: np.ndarray) -> np.ndarray:
 def _fingerprints(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in parts:
         fp = np.fromiter((fingerprint(t) for t in b.column(1).to_pylist()), np.uint64, b.num_rows)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64)), b.column(2)], names=["doc_id", "fp", "th"])
+
+
+def _text_hash() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp as a signed long), one row per row of docs."""
-    return id_and_text(docs).mapInArrow(_fingerprints, "doc_id long, fp long")
+    """(doc_id, fp as a signed long, th: a hash of the text), one row per row of docs."""
+    return id_and_text(docs.select("doc_id", "text", _text_hash().alias("th")), "th").mapInArrow(_fingerprints, "doc_id long, fp long, th long")
 
 
 def keys() -> list[tuple[int, int, int]]:
@@ -247,23 +251,26 @@ def near_duplicates(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     never name a component (one of only such rows has null). Repeated rows share fingerprint and
     component. No pair of equal fingerprints is made: links join distinct fingerprints only.
     """
+    return _members(docs, bucket).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _members(docs: DataFrame, bucket: int) -> DataFrame:
+    """(doc_id, fp, th, component_id) of each row."""
     fp = written(fingerprints(docs))
     distinct = written(fp.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(links(distinct, bucket))
     member = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = member.join(member.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return fp.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return fp.join(named, "fp").select("doc_id", "fp", "th", "component_id")
 
 
 def one_of_each(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """The rows of docs without near-duplicates: of each component the row with its smallest doc_id stays, with all columns.
 
     Rows without a doc_id stay, as no other row can stand for them; of rows that share the
-    component's doc_id all stay if their texts differ in fingerprint, else they are equal to
-    near_duplicates and stay too: run exact dedup first. Clashing column names are untouched.
+    component's doc_id all stay: run exact dedup first. Rows of one doc_id and unlike texts are
+    told apart by their texts. Clashing column names are untouched.
     """
-    mine = "component_id"
-    while mine in docs.columns:
-        mine = "_" + mine
-    drop = near_duplicates(docs, bucket).where("doc_id <> component_id").select(F.col("doc_id").alias(mine)).distinct()
-    return docs.join(drop, docs["doc_id"] == drop[mine], "left_anti")
+    drop = _members(docs, bucket).where("doc_id <> component_id").select("doc_id", "th").distinct()
+    drop = drop.toDF(*("_" * (1 + max(map(len, docs.columns))) + c for c in drop.columns))  # longer than any name of docs
+    return docs.join(drop, (docs["doc_id"] == drop[0]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == drop[1]), "left_anti")
