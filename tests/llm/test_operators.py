@@ -130,6 +130,13 @@ def test_near_duplicates_of_nothing_and_null_ids(spark, empty):
     assert [r.component_id for r in out] == [None, None]
 
 
+def test_one_of_each_tells_rows_of_one_id_apart_by_their_texts(spark):
+    near = near_copies(3)
+    a = next(x for _, x in near)
+    docs = table(spark, [(1, a), (2, a + " "), (2, "nothing like that at all here"), (3, None), (3, "something else is in this one")])
+    assert sorted((x.doc_id, x.text or "") for x in simhash_dedup.one_of_each(docs).collect()) == sorted([(1, a), (2, "nothing like that at all here"), (3, ""), (3, "something else is in this one")])
+
+
 def test_every_link_shares_a_key():
     r = random.Random(4)
     masks = [m for _, _, m in simhash_dedup.keys()]
@@ -808,6 +815,22 @@ def test_edit_distance():
         assert fuzzy_lines.similar(a.encode(), b.encode()) == (d[-1] <= 0.2 * max(len(a), len(b)) + 1e-9)
 
 
+def test_shared_grams_never_rule_out_similar_lines():
+    r = random.Random(26)
+    x, y = [], []
+    for _ in range(4000):
+        a = "".join(r.choice("abcé \U0001f600") for _ in range(r.randint(0, 40)))
+        b = list(a)
+        for _ in range(r.randint(0, 1 + len(a) // 3)):
+            i = r.randrange(len(b) + 1)
+            b[i : i + r.randint(0, 1)] = r.choice(["", "x", "a", "éb"])
+        x.append(a)
+        y.append("".join(b))
+    near = fuzzy_lines.may_be_similar(x, y)
+    alike = np.array([fuzzy_lines.similar(p.encode(), q.encode()) for p, q in zip(x, y, strict=True)])
+    assert near[alike].all() and 500 < alike.sum() < near.sum() < 4000
+
+
 def test_line_simhash_over_many_words():
     lines = [b"a b c", b"", b" ".join(b"w%d" % i for i in range(700)), b"x"]
     for line, f in zip(lines, fuzzy_lines.simhashes(lines).tolist(), strict=True):
@@ -864,6 +887,36 @@ def test_lines_with_edits_are_linked(spark):
     assert sum(got.values()) <= len(alike)
 
 
+def test_hot_keys_in_pairs_of_blocks_give_the_same_lines(spark, monkeypatch):
+    """A family of a thousand lines in blocks of 50; the result doesn't depend on the blocks."""
+    r = random.Random(25)
+    word = lambda: "".join(r.choice("etaoinshrdlu") for _ in range(r.randint(3, 9)))
+    base = [word() for _ in range(30)]
+    lines = [" ".join(w if r.random() > 0.04 else word() for w in base) for _ in range(1000)] + [" ".join(word() for _ in range(12)) for _ in range(500)]
+    docs = table(spark, [(i, "\n".join(lines[i::100])) for i in range(100)]).repartition(3)
+    monkeypatch.setattr(fuzzy_lines, "OFTEN", 2)
+    few = {f.doc_id: f.text for f in fuzzy_lines.dedup_lines(docs, grams=True, block=50).collect()}
+    many = {f.doc_id: f.text for f in fuzzy_lines.dedup_lines(docs, grams=True).collect()}
+    assert few == many and sum(len(t.split("\n")) for t in many.values() if t) <= 510
+
+
+def test_recall_of_a_tables_similar_lines(spark):
+    """Of the pairs of distinct lines of sf0.001 that brute force calls similar, nearly all end in one group."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    lines = sorted({n for d in docs.collect() for x in (d.text or "").encode().split(b"\n") if (n := fuzzy_lines.normalised(x))}, key=len)
+    size = np.array([len(x.decode()) for x in lines])
+    bags = np.array([np.bincount(np.frombuffer(x, np.uint8), minlength=256) for x in lines], np.int32)
+    pairs = []
+    for i, x in enumerate(lines):
+        far = np.abs(bags[i + 1 :] - bags[i]).sum(axis=1)  # an edit changes at most four bytes for four
+        near = np.flatnonzero((far <= (8 if not x.isascii() else 2) * (0.2 * size[i + 1 :] + 1e-9)) & (size[i + 1 :] * 0.8 <= size[i])) + i + 1
+        pairs += [(x, lines[j]) for j in near if fuzzy_lines.similar(x, lines[j])]
+    root = {int(g.h): g.root for g in fuzzy_lines.groups(docs, grams=True).collect()}
+    group = lambda x: root[int(fuzzy_lines._ids([x])[0][0])]
+    found = sum(group(x) is not None and group(x) == group(y) for x, y in pairs)
+    assert len(pairs) > 10 and found >= 0.9 * len(pairs), (found, len(pairs))
+
+
 # --- pipeline -----------------------------------------------------------------------------------
 
 
@@ -891,6 +944,93 @@ def test_pipeline(spark):
     assert p.run(spark, sf).count() == before.count()
 
 
+def brute_mix(spark, rows):
+    """(doc_id, text) of the mix of one shard, word by word: blocks of 64 words, quotas quotient by quotient, a seeded run."""
+    words = {i: re.findall(r"[^\x20\x09-\x0D]+", t or "") for i, t, _ in rows}
+    hashed = spark.createDataFrame([(i, xxhash.xxh3_64_intdigest((t or "").encode()) >> 1) for i, t, _ in rows], "doc_id long, hash long")
+    place = {x.doc_id: (x.place, x.hash) for x in hashed.withColumn("place", F.xxhash64(F.lit(0), "doc_id", "hash")).collect()}
+    sources = sorted({s for _, _, s in rows}, key=lambda s: (s is None, s or ""))
+    own = {s: sorted((i for i, _, x in rows if x == s), key=place.get) for s in sources}
+    line = {s: [(i, k) for i in own[s] for k in range(len(words[i]))] for s in sources}
+    target = mixing.targets({s: len(line[s]) for s in sources})
+    blocks = {s: -(-len(line[s]) // 64) for s in sources}
+    most = {s: min(math.ceil(2 * len(line[s]) / 64), 2 * blocks[s]) for s in sources}
+    quota = dict.fromkeys(sources, 0)
+    for _ in range(round(sum(target.values()) / 64)):
+        free = [s for s in sources if quota[s] < most[s] and target[s] > 0]
+        if not free:
+            break
+        quota[max(free, key=lambda s: (target[s] / (2 * quota[s] + 1), -sources.index(s)))] += 1
+    out = Counter()
+    for s in sources:
+        if not quota[s]:
+            continue
+        full, rest = divmod(quota[s], blocks[s])
+        start = xxhash.xxh3_64_intdigest(f"0:{s}:{place[own[s][0]][0]}".encode()) % blocks[s]
+        epochs = [range(len(line[s]))] * full
+        if rest:
+            epochs.append([w for b in range(start, start + rest) for w in range(b % blocks[s] * 64, min((b % blocks[s] + 1) * 64, len(line[s])))])
+        for epoch in epochs:
+            taken = defaultdict(list)
+            for w in sorted(set(epoch)):
+                taken[line[s][w][0]].append(line[s][w][1])
+            for i, ks in taken.items():
+                out[i, tuple(words[i][k] for k in ks)] += 1
+    return out
+
+
+def test_each_stage_of_the_pipeline_equals_brute_force(spark):
+    import corpus_pipeline as p
+    from tokenizers import Tokenizer
+
+    sf = "/root/testdata/sf0.001"
+    docs = p.common.documents(spark, sf)
+    rows = [tuple(d) for d in docs.collect()]
+    stages, now = dict(p.STAGES), docs
+
+    def run(name):
+        nonlocal now
+        now = p.common.stored(stages[name](spark, now, sf))
+        return [tuple(d) for d in now.collect()]
+
+    model = quality_crf.train(docs, p.common.documents(spark, sf, "labels"))
+    good = [d for d in rows if quality_crf.scores(model, *zip(quality_crf.line_features((d[1] or "").encode()), strict=True))[0] >= 0.3]
+    assert sorted(run("quality_crf")) == sorted(good) and 0 < len(good) < len(rows)
+
+    groups = defaultdict(list)
+    for d in good:
+        groups[re.sub(r"[\x20\x09-\x0D]", "", d[1] or "")].append(d)
+    unique = [min(g, key=lambda d: (-len(d[1] or ""), d[0], d[1])) for g in groups.values()]
+    assert sorted(run("exact_dedup")) == sorted(unique) and len(unique) < len(good)
+
+    fp = [brute_fingerprint(d[1]) for d in unique]
+    root = reach(len(unique), lambda i, j: (fp[i] ^ fp[j]).bit_count() <= 3)
+    least = defaultdict(lambda: math.inf)
+    for d, r in zip(unique, root, strict=True):
+        least[r] = min(least[r], d[0])
+    apart = [d for d, r in zip(unique, root, strict=True) if d[0] == least[r]]
+    assert sorted(run("simhash_near_dedup")) == sorted(apart)
+
+    mixed = run("source_mixing")
+    assert Counter((d[0], tuple(re.findall(r"[^\x20\x09-\x0D]+", d[1]))) for d in mixed) == brute_mix(spark, [(d[0], d[1], d[3]) for d in apart])
+    by_id = {d[0]: d for d in apart}
+    assert all(d[2:4] == by_id[d[0]][2:4] and d[4] == len(d[1]) for d in mixed)
+
+    t, expected = Tokenizer.from_file(tokenizer_path()), Counter()
+    for d in mixed:
+        ids = np.array([*t.encode(d[1], add_special_tokens=False).ids, 0], "<u4")
+        cuts = [0, *range(len(ids) % 2048 or 2048, len(ids) + 1, 2048)]
+        for n, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            expected[d[0], n, i, j - i, zlib.crc32(ids[i:j].tobytes())] += 1
+    packed = run("best_fit_packing")
+    assert Counter(x[:5] for x in packed) == expected
+    ends = defaultdict(int)
+    for x in sorted(packed, key=lambda x: x[5:]):
+        assert x[6] == ends[x[5]]
+        ends[x[5]] += x[3]
+    assert max(ends.values()) <= 2048 and len(ends) <= max(-(-sum(ends.values()) // 2048), sum(2 * x[3] > 2048 for x in packed)) * 11 / 9 + 1
+
+
 def test_registered_queries_run(spark):
     from lumatile.llm.queries import ORACLE_SQL, QUERIES
 
