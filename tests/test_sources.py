@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lumatile import cli
 from lumatile.operators import select
-from lumatile.sources import codebook, datasource, experiment, projections, tables, tiff, validate
+from lumatile.sources import codebook, datasource, experiment, mask_archive, projections, tables, tiff, validate
 from lumatile.streaming import fields
 
 
@@ -225,3 +225,54 @@ def test_tile_data_source(spark, tmp_path):
     assert [(x.fov, x.r, x.c) for x in out] == [("b", 1, 0), ("b", 1, 1), ("b", 2, 0), ("b", 2, 1)] and out[2].pixels == pytest.approx([0.2] * 6)
     assert len(list(tmp_path.iterdir())) == 12
     assert t.where("fov = 'none'").count() == 0 and t.count() == 12
+
+
+def archive_of(masks, path):
+    """A mask archive as another program writes it: pickles of a class that isn't there when they are read."""
+    import io
+    import pickle
+    import sys
+    import tarfile
+    import types
+
+    module = types.ModuleType("elsewhere")
+    sys.modules["elsewhere"] = module
+    kept = type("MaskOnDisk", (), {})
+    kept.__module__, kept.__qualname__ = "elsewhere", "v0_0.MaskOnDisk"
+    module.v0_0 = types.SimpleNamespace(MaskOnDisk=kept)
+    with tarfile.open(path, "w:gz") as tar:
+        for n, (pixels, offsets) in enumerate(masks):
+            one = kept()
+            one.binary_mask, one.offsets = pixels, offsets
+            data = pickle.dumps(one, protocol=4)
+            info = tarfile.TarInfo(f"masks/{n}")
+            info.size = len(data)
+            tar.addfile(info, io.BytesIO(data))
+        tar.addfile(tarfile.TarInfo("log"))
+    del sys.modules["elsewhere"]
+
+
+def test_mask_archives(spark, tmp_path):
+    a, b = np.zeros((3, 4), bool), np.ones((2, 1, 2), bool)
+    a[1, 2] = a[2, 0] = True
+    archive_of([(a, (10, 20)), (b, (5, 6, 7))], tmp_path / "fov_7.tar.gz")
+    out = {tuple(r) for r in mask_archive.load_mask_archives(spark, str(tmp_path / "*.tar.gz")).collect()}
+    assert out == {("fov_7", 0, 0, 11, 22), ("fov_7", 0, 0, 12, 20), *(("fov_7", 1, 5 + z, 6, 7 + x) for z in (0, 1) for x in (0, 1))}
+
+
+def test_mask_archives_run_nothing(tmp_path):
+    import io
+    import pickle
+    import tarfile
+
+    class Evil:
+        def __reduce__(self):
+            return print, ("ran",)
+
+    with tarfile.open(tmp_path / "x.tar.gz", "w:gz") as tar:
+        data = pickle.dumps(Evil())
+        info = tarfile.TarInfo("masks/0")
+        info.size = len(data)
+        tar.addfile(info, io.BytesIO(data))
+    with pytest.raises(pickle.UnpicklingError):
+        mask_archive.masks_of((tmp_path / "x.tar.gz").read_bytes())
