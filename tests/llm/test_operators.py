@@ -851,7 +851,8 @@ def test_fuzzy_lines(spark, empty):
 
     texts = [(i, "\n".join(vary(r.choice(pool)) for _ in range(6)) + "\n\n") for i in range(40)] + [(None, pool[2]), (50, None), (51, ""), (52, "---"), (53, "***\n---"), (1, pool[2])]
     docs = table(spark, texts)
-    order = sorted(((i is None, i or 0, xxhash.xxh3_64_intdigest((t or "").encode()) >> 1), t or "", i) for i, t in texts)
+    hashes = {x.text: x.th for x in spark.createDataFrame([(t or "",) for _, t in texts], "text string").withColumn("th", F.xxhash64(F.col("text").cast("binary"))).collect()}
+    order = sorted(((i is None, i or 0, hashes[t or ""]), t or "", i) for i, t in texts)
     places = [(k, n, fuzzy_lines.normalised(line)) for k, (_, t, _) in enumerate(order) for n, line in enumerate(t.encode().split(b"\n")) if fuzzy_lines.normalised(line)]
     fp = fuzzy_lines.simhashes([p[2] for p in places]).tolist()
     root = reach(len(places), lambda i, j: places[i][2] == places[j][2] or (fp[i] ^ fp[j]).bit_count() <= 3 and fuzzy_lines.similar(places[i][2], places[j][2]))
