@@ -1,26 +1,27 @@
 """Fuzzy line dedup: of lines that are nearly the same, one occurrence stays in the whole corpus.
 
 Lines are normalised; equal ones become one right where they are read. Candidates among the others
-come from MinHash over character 5-grams (`grams`): lines that share a band of minima, whose 64-bit
-sketches of the minima are near, too. Without `grams` they come from a
+come from MinHash over character 5-grams (`grams`): lines that share a band of minima. Without `grams` they come from a
 64-bit SimHash over distinct words: of five blocks of the fingerprint two are equal in any pair with
 at most three differing bits, so pairs of blocks are the join's keys; that misses most lines with
 a word changed. Links are verified by edit
-similarity of the normalised lines. A first round verifies links that span each Hamming component;
-a second one verifies, for each line and key, the link to the nearest line that the first left in
-another group. So a family of thousands of like lines costs about as many comparisons as it has lines.
+similarity of the normalised lines. A first round verifies links between lines whose sketches are near;
+a second one verifies every other pair of candidates that the first left in two groups, however far
+their sketches are. So nearly all of a family of like lines is joined by about as many comparisons as it
+has lines, and yet no candidate that meets the threshold is left out.
 """
 
 from __future__ import annotations
 
 from array import array
 from collections.abc import Iterator
-from itertools import combinations
+from contextlib import contextmanager
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import LOWER, batches, id_and_text, written
@@ -30,6 +31,10 @@ from .simhash_dedup import T, key_rows, links
 #: Least edit similarity of linked lines: 1 - edits / characters of the longer one.
 SIMILARITY = 0.8
 MASK = (1 << 64) - 1
+#: 64-bit words of all pairs whose edit distances are worked out at once, words of one pair, words of their table of characters.
+LANES, WIDE, TABLE = 32768, 64, 1 << 21
+#: Bytes of pairs that are sorted by length and compared together.
+COMPARED = 32 << 20
 #: 64-bit words of the bitmap of lines that have candidates (2 MB).
 SLOTS = 1 << 18
 #: Words that are added in one go.
@@ -40,14 +45,18 @@ BLOCKS = (13, 13, 13, 13, 12)
 #: Characters of a gram, minima of a line, and minima of a band for lines of up to SHORT bytes and for those from LONG on.
 #: Lengths of similar lines differ by a fifth at most, so such a pair has one kind of band in common.
 GRAM, MINIMA, FEW, MANY, SHORT, LONG = 5, 80, 4, 5, 40, 32
-#: Bits in which the sketches of candidates may differ; unlike lines differ in about 32.
-RADIUS = 18
-#: Lines of a key that are compared in one go; a key that has more is dealt out in pairs of blocks of so many.
+#: Bits in which the 48-bit sketches of candidates compared first differ at most; unlike lines differ in about 24. It decides what is compared first, not what is compared.
+RADIUS = 13
+#: Steps of a line's length code in which lengths grow by a factor of e; the code takes the lowest 16 bits of fp.
+STEPS = 4000
+#: Of a key of more lines, pairs are made only once the first round has put most of them in one group.
+OFTEN = 64
+#: Lines of such a key that are compared in one go; a key that has more is dealt out in pairs of blocks of so many.
 BLOCK = 8192
-#: A key is counted where a task has so many lines of it.
-OFTEN = 16
-#: Hot keys that are broadcast; a longer list is joined by a shuffle.
-FEW_HOT = 100_000
+#: Lines of such a key that others are compared with in the first round.
+LEADERS = 4096
+#: Pairs in a batch.
+PAIRS = 1 << 19
 #: Bytes of lines hashed in one go: they stay in the cache.
 CHUNK = 1 << 16
 
@@ -108,7 +117,8 @@ def edit_distance(a: str, b: str, most: int | None = None) -> int:
     return score
 
 
-def similar(a: bytes, b: bytes, least: float = SIMILARITY) -> bool:
+def _differing(a: bytes, b: bytes, least: float) -> bool | tuple[str, str, int]:
+    """Whether the lines are similar or, where it takes an edit distance, the parts that differ, the longer one first, and the edits allowed."""
     x, y = a.decode("utf-8", "replace"), b.decode("utf-8", "replace")
     longer = max(len(x), len(y))
     if not longer:
@@ -125,7 +135,138 @@ def similar(a: bytes, b: bytes, least: float = SIMILARITY) -> bool:
     x, y = x[: len(x) - tail], y[: len(y) - tail]
     if max(len(x), len(y)) <= allowed:
         return True  # so is rewriting all between the ends that they share
-    return edit_distance(x, y, allowed) <= allowed
+    return (x, y, allowed) if len(x) >= len(y) else (y, x, allowed)
+
+
+def similar(a: bytes, b: bytes, least: float = SIMILARITY) -> bool:
+    found = _differing(a, b, least)
+    return found if isinstance(found, bool) else edit_distance(*found) <= found[2]
+
+
+def all_similar(x: list[bytes], y: list[bytes], least: float = SIMILARITY) -> np.ndarray:
+    """similar() of each pair; edit distances are worked out for many pairs at once."""
+    ok, parts, at = np.zeros(len(x), bool), [], []
+    for i, (a, b) in enumerate(zip(x, y, strict=True)):
+        found = _differing(a, b, least)
+        if isinstance(found, bool):
+            ok[i] = found
+        else:
+            parts.append(found)
+            at.append(i)
+    words = np.array([-(-len(a) // 64) for a, _, _ in parts], np.int64)
+    order = np.lexsort((np.array([len(b) for _, b, _ in parts], np.int64), np.array([k // 8 for _, _, k in parts], np.int64), words))
+    one = 0
+    while one < len(order):
+        wide = int(words[order[one]])
+        stop = min(one + max(1, LANES // wide), int(np.searchsorted(words[order], wide, "right")))
+        where = [at[k] for k in order[one:stop].tolist()]
+        own = [parts[k] for k in order[one:stop].tolist()]
+        if wide > WIDE:
+            near = may_be_similar([a for a, _, _ in own], [b for _, b, _ in own], least, [k for _, _, k in own])
+            ok[where] = [bool(n) and edit_distance(*o) <= o[2] for n, o in zip(near, own, strict=True)]
+        elif len(own) < 8:  # these few are faster one by one
+            ok[where] = [edit_distance(*o) <= o[2] for o in own]
+        else:
+            ok[where] = _within(own)
+        one = stop
+    return ok
+
+
+def _codes(texts: list[str]) -> tuple[np.ndarray, int]:
+    """The texts' characters one after the other, as numbers from 0 in place of the characters, and how many differ."""
+    x = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    table = np.zeros(int(x.max(initial=0)) + 1, np.int32)
+    table[x] = 1
+    table = np.cumsum(table, dtype=np.int32) - 1
+    return table[x], int(table[-1]) + 1
+
+
+def _columns(codes: np.ndarray, size: np.ndarray, fill: int) -> np.ndarray:
+    """(longest, texts): each text's codes down a column, `fill` after its end."""
+    out = np.full((int(size.max(initial=0)), len(size)), fill, codes.dtype)
+    text = np.repeat(np.arange(len(size)), size)
+    out[np.arange(len(codes)) - np.repeat(np.cumsum(size) - size, size), text] = codes
+    return out
+
+
+def _within(pairs: list[tuple[str, str, int]]) -> np.ndarray:
+    """Which pairs (longer text, other text, edits allowed) are within the edits; the longer texts take equally many words of 64 characters.
+
+    As edit_distance(), for all pairs at once, and only in the words that the band of `allowed` cells beside the diagonal
+    touches: no cell outside it is on a path of so few edits. Distances there count as one more for each step, which is never too little.
+    """
+    a, b, most = ([p[k] for p in pairs] for k in range(3))
+    codes, kinds = _codes(a + b)
+    m, n, most = np.array([len(t) for t in a]), np.array([len(t) for t in b]), np.array(most)
+    many, words = len(pairs), int(-(-m.max() // 64))
+    if (kinds + 1) * words * many > TABLE and many > 1:
+        return np.concatenate((_within(pairs[: many // 2]), _within(pairs[many // 2 :])))
+    columns = _columns(codes[m.sum() :], n, kinds)
+    match = np.zeros((kinds + 1) * words * many, np.uint64)  # by character, word and pair: places in the longer text
+    lane = np.arange(many)
+    place = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+    np.add.at(match, (codes[: m.sum()].astype(np.int64) * words + place // 64) * many + np.repeat(lane, m), np.uint64(1) << (place % 64).astype(np.uint64))
+    columns = columns.astype(np.int64) * (words * many) + lane
+    one, top = np.uint64(1), np.uint64(63)
+    result, live = np.zeros(many, bool), lane
+    plus, minus = np.full((words, many), MASK, np.uint64), np.zeros((words, many), np.uint64)
+    bit = ((m - 1) % 64).astype(np.uint64)
+    word = np.arange(words)[:, None] * many
+    band, lo, hi = int(most.max()), 0, -1
+    score = np.zeros(many, np.int64)  # distance at the end of word hi, or at the longer text's end if that is in it
+    for j in range(len(columns) + 1):
+        if j and (j % 32 == 0 or j == len(columns)):  # those settled leave
+            left = np.maximum(n - j, 0)
+            if hi == words - 1:
+                result[live[(left == 0) & (score <= most)]] = True
+                stay = (left > 0) & (score - left <= most)  # each further character saves one edit at most
+            else:
+                stay = left > 0  # in fewer columns than this the last word is always reached
+            # distances at the words' ends; between two of them a distance is at least the mean of both less 32
+            step = np.bitwise_count(plus[lo : hi + 1]).astype(np.int64) - np.bitwise_count(minus[lo : hi + 1])
+            if hi == words - 1:
+                tail = (MASK << (bit + one)) * (bit < top)  # what follows the longer text's end
+                step[-1] -= np.bitwise_count(plus[hi] & tail).astype(np.int64) - np.bitwise_count(minus[hi] & tail)
+            end = score - np.cumsum(step[::-1], axis=0)[::-1] + step
+            stay &= ((2 * end - step - 64) // 2).min(axis=0) <= most
+            if not stay.any():
+                break
+            if not stay.all():
+                live, plus, minus, score, bit, m, n, most = live[stay], plus[:, stay], minus[:, stay], score[stay], bit[stay], m[stay], n[stay], most[stay]
+        lo = max(0, (j - band) // 64)
+        while hi < min(words - 1, (j + band) // 64):
+            hi += 1
+            score += 64 if hi < words - 1 else (m - 1) % 64 + 1
+        p, q = plus[lo : hi + 1], minus[lo : hi + 1]
+        x = match.take(columns[j, live] + word[lo : hi + 1])
+        x |= q
+        d = x & p
+        d += p
+        carry = d[:-1] < p[:-1]
+        while carry.any():
+            d[1:] += carry
+            carry &= d[1:] == 0
+            carry[1:] = carry[:-1]
+            carry[:1] = False
+        d ^= p
+        d |= x
+        up = d | p
+        np.invert(up, out=up)
+        up |= q
+        down = p & d
+        at = bit if hi == words - 1 else top
+        score += np.where(j < n, ((up[-1] >> at) & one).astype(np.int64) - ((down[-1] >> at) & one).astype(np.int64), 0)
+        high, low = up[:-1] >> top, down[:-1] >> top
+        up <<= one
+        down <<= one
+        up[1:] |= high
+        down[1:] |= low
+        up[0] |= one
+        np.bitwise_and(up, d, out=q)
+        d |= up
+        np.invert(d, out=d)
+        np.bitwise_or(d, down, out=p)
+    return result
 
 
 def simhashes(lines: list[bytes]) -> np.ndarray:
@@ -236,11 +377,33 @@ def _bands(least: np.ndarray, rows: int) -> np.ndarray:
     return key
 
 
+def _length_codes(lines: list[bytes]) -> np.ndarray:
+    """STEPS times the logarithm of each line's number of characters, rounded down."""
+    n = np.fromiter((len(x) if x.isascii() else len(x.decode("utf-8", "replace")) for x in lines), np.float64, len(lines))
+    return np.minimum(np.log(np.maximum(n, 1)) * STEPS, 65535).astype(np.uint64)
+
+
+def _apart(least: float) -> int:
+    """Length codes of similar lines differ by so much at most."""
+    return int(-np.log(least) * STEPS) + 2 if least > 0 else 65535
+
+
+def _lengths_fit(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+    return np.abs((a & np.uint64(65535)).astype(np.int64) - (b & np.uint64(65535)).astype(np.int64)) <= _apart(least)
+
+
+def _bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bits in which the sketches differ."""
+    return np.bitwise_count((a ^ b) >> np.uint64(16))
+
+
 def _keys_of(lines: list[bytes], h: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(key, fp, h) of each band of each line; fp: the lowest bits of 64 minima."""
+    """(key, fp, h) of each band of each line; fp: the lowest bits of 48 minima, then the code of the line's length."""
     for a in range(0, len(lines), 10_000):
         least, own = minima(lines[a : a + 10_000]), h[a : a + 10_000]
-        fp = np.packbits((least[:, :64] & 1).astype(np.uint8), axis=1, bitorder="little").view(np.int64).ravel()
+        fp = np.zeros((len(own), 8), np.uint8)
+        fp[:, 2:] = np.packbits((least[:, :48] & 1).astype(np.uint8), axis=1, bitorder="little")
+        fp = (fp.view("<u8").ravel() | _length_codes(lines[a : a + 10_000])).view(np.int64)
         length = np.fromiter(map(len, lines[a : a + 10_000]), np.int64, len(own))
         for rows, on in ((FEW, np.flatnonzero(length <= SHORT)), (MANY, np.flatnonzero(length >= LONG))):
             keys = _bands(least[on], rows)
@@ -261,67 +424,78 @@ def _gram_keys(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _keys_of(list(lines), np.fromiter(lines.values(), np.uint64, len(lines)).view(np.int64))
 
 
-def _often(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, n) of keys that have OFTEN lines or more in this task."""
-    held = [np.zeros(0, np.int64)]
-    for b in _gram_keys(parts):
-        held.append(b.column("key").to_numpy())
-    key, n = np.unique(np.concatenate(held), return_counts=True)
-    yield pa.RecordBatch.from_arrays([pa.array(key[n >= OFTEN]), pa.array(n[n >= OFTEN])], names=["key", "n"])
-
-
-def _hot_keys(rows: DataFrame, block: int) -> DataFrame | None:
-    """(key, blocks): keys of more lines than a block, with the number of blocks they take; none where there is no such key."""
-    found = rows.mapInArrow(_often, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > block)
-    hot = written(found.select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks")))
-    n = hot.limit(FEW_HOT + 1).count()
-    return None if not n else F.broadcast(hot) if n <= FEW_HOT else hot
-
-
-def _dealt(keyed: DataFrame, hot: DataFrame | None) -> DataFrame:
-    """keyed (columns key and h) by key; the lines of a hot key in pairs of blocks, so that any two of its lines meet in some task."""
-    if hot is None:
-        return keyed.repartition("key")
-    own = F.pmod(F.xxhash64("h"), F.col("blocks"))
-    pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.xxhash64(F.lit("block"), F.col("key"), F.least(own, i), F.greatest(own, i)))
-    names = keyed.columns
-    out = keyed.join(hot, "key", "left").withColumn("__k", F.explode(F.when(F.col("blocks").isNull(), F.array("key")).otherwise(pair)))
-    return out.select(*(F.col("__k").alias("key") if c == "key" else c for c in names)).repartition("key")
+def _dealt(keyed: DataFrame, block: int) -> DataFrame:
+    """keyed (columns key, n and h) by key; the lines of a key of more than a block in pairs of blocks, so that any two of its lines meet in some task."""
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    own = F.pmod(F.xxhash64("h"), blocks)
+    pair = F.transform(F.sequence(F.lit(0), blocks - 1), lambda i: F.xxhash64(F.lit("block"), F.col("key"), F.least(own, i), F.greatest(own, i)))
+    return keyed.withColumn("key", F.explode(F.when(blocks < 2, F.array("key")).otherwise(pair))).drop("n").repartition("key")
+
+
+#: Kinds of rows that _span gives: a link to verify first, a pair to verify if the first ones leave it in two groups, a line (v) under a key (u) of n lines.
+FIRST, LATER, MEMBER = 0, 1, 2
+_SPAN = "kind tinyint, u long, v long, n long, fp long"
+
+
+def _span_rows(kind: int, u: np.ndarray, v: np.ndarray, n: int = 0, fp: np.ndarray | None = None) -> pa.RecordBatch:
+    if kind != MEMBER:
+        u, v = np.minimum(u, v), np.maximum(u, v)
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(u), kind, np.int8)), pa.array(u), pa.array(v), pa.array(np.full(len(u), n, np.int64)), pa.array(np.zeros(len(u), np.int64) if fp is None else fp.view(np.int64))], names=["kind", "u", "v", "n", "fp"])
+
+
+def _all_pairs(h: np.ndarray, fp: np.ndarray, least: float) -> Iterator[pa.RecordBatch]:
+    """All pairs in each row of h (groups, lines) whose lengths fit; first ones: each line's nearest one of those before it."""
+    n = h.shape[1]
+    i, j = np.triu_indices(n, 1)
+    for a in range(0, len(h), step := max(1, PAIRS // len(i))):
+        own, f = h[a : a + step], fp[a : a + step]
+        fit = _lengths_fit(f[:, i], f[:, j], least)
+        far = np.full((len(own), n, n), 255, np.uint8)
+        far[:, j, i] = np.where(fit, _bits(f[:, i], f[:, j]), 255)
+        nearest = far.argmin(axis=2)
+        first = fit & (nearest[:, j] == i) & (far[:, j, i] <= RADIUS)
+        for kind, on in ((FIRST, first), (LATER, fit & ~first)):
+            g, k = np.nonzero(on)
+            yield _span_rows(kind, own[g, i[k]], own[g, j[k]])
+
+
+def _first_links(h: np.ndarray, fp: np.ndarray, least: float) -> Iterator[pa.RecordBatch]:
+    """Of one key's lines, fewer links than lines: from each to the nearest one of some that are far from each other."""
+    led_h, led = h[:0], fp[:0]
+    for a in range(0, len(h), 256):
+        own, f = h[a : a + 256], fp[a : a + 256]
+        # those before it in these 256, too, for lines that no leader is near
+        there, at = np.concatenate((led, f)), np.concatenate((led_h, own))
+        far = np.where(_lengths_fit(f[:, None], there[None, :], least), _bits(f[:, None], there[None, :]), 255)
+        far[:, len(led) :][np.triu_indices(len(f))] = 255
+        near = far.argmin(axis=1)
+        on = far[np.arange(len(f)), near] <= RADIUS
+        yield _span_rows(FIRST, own[on], at[near[on]])
+        room = LEADERS - len(led)
+        led_h, led = np.concatenate((led_h, own[~on][:room])), np.concatenate((led, f[~on][:room]))
+
+
+def _span(least: float = SIMILARITY, often: int = OFTEN):
+    """Of the lines under each key, every pair whose lengths fit; of a key of more than `often` lines, its lines and first links."""
 
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not (held := [b for b in parts if b.num_rows]):
+            return
+        key, fp, h = (c.to_numpy() for c in pa.Table.from_batches(held).columns)
+        order = np.lexsort((h, key))
+        key, fp, h = key[order], fp[order].view(np.uint64), h[order]
+        new = np.concatenate(([True], (key[1:] != key[:-1]) | (h[1:] != h[:-1])))  # partitions that hold the same line give it once each
+        key, fp, h = key[new], fp[new], h[new]
+        cuts = np.concatenate(([0], np.flatnonzero(np.diff(key)) + 1))
+        size = np.diff(np.append(cuts, len(key)))
+        for n in np.unique(size[(size > 1) & (size <= often)]).tolist():
+            at = cuts[size == n][:, None] + np.arange(n)
+            yield from _all_pairs(h[at], fp[at], least)
+        for a, n in zip(cuts[size > max(1, often)].tolist(), size[size > max(1, often)].tolist(), strict=True):
+            yield _span_rows(MEMBER, key[a : a + n], h[a : a + n], n, fp[a : a + n])
+            yield from _first_links(h[a : a + n], fp[a : a + n], least)
 
-def _gram_keys_of_lines(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in parts:
-        yield from _keys_of(b.column("norm").to_pylist(), b.column("h").to_numpy())
-
-
-def _span(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of the lines under one key, links that span each group of sketches at most RADIUS apart: fewer than lines."""
-    if not (held := [b for b in parts if b.num_rows]):
-        return
-    key, fp, h = (c.to_numpy() for c in pa.Table.from_batches(held).columns)
-    order = np.lexsort((h, key))
-    key, fp, h = key[order], fp[order].view(np.uint64), h[order]
-    new = np.concatenate(([True], (key[1:] != key[:-1]) | (h[1:] != h[:-1])))  # partitions that hold the same line give it once each
-    key, fp, h = key[new], fp[new], h[new]
-    cuts = np.concatenate(([0], np.flatnonzero(np.diff(key)) + 1, [len(key)]))
-    size = np.diff(cuts)
-    pair = cuts[:-1][size == 2]
-    pair = pair[np.bitwise_count(fp[pair] ^ fp[pair + 1]) <= RADIUS]
-    u, v = [h[pair]], [h[pair + 1]]
-    for c in np.flatnonzero(size > 2):
-        rest = np.arange(cuts[c], cuts[c + 1])
-        while len(rest) > 1:
-            queue, rest = [rest[0]], rest[1:]
-            while queue and len(rest):
-                i = queue.pop(0)
-                near = np.bitwise_count(fp[rest] ^ fp[i]) <= RADIUS
-                found, rest = rest[near], rest[~near]
-                queue.extend(found)
-                u.append(np.full(len(found), h[i]))
-                v.append(h[found])
-    u, v = np.concatenate(u), np.concatenate(v)
-    both = np.unique(np.stack((np.minimum(u, v), np.maximum(u, v)), axis=1), axis=0)
-    yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["u", "v"])
+    return run
 
 
 def _texts(needed: bytes):
@@ -352,8 +526,22 @@ def _bitmap(nodes: DataFrame) -> bytes:
     return out.tobytes()
 
 
-#: Characters of the grams that similar lines must share, cells of the histograms in which they are counted, and characters that are counted in one go.
-SHARED, CELLS, COUNTED = 3, 512, 1 << 20
+#: With it Spark deletes the shuffle files of a query at its end, and not when the driver's JVM happens to find its plan unreachable.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _cleanup(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
+#: Characters of the grams that similar lines must share, and cells of the histograms in which they are counted.
+SHARED, CELLS = 3, 1 << 14
 
 
 def _grams_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -370,59 +558,53 @@ def _grams_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.bincount(cell, minlength=len(texts) * CELLS).reshape(-1, CELLS), size
 
 
-def may_be_similar(x: list[str], y: list[str], least: float = SIMILARITY) -> np.ndarray:
-    """Which pairs share enough grams: k edits change at most SHARED * k of a line's grams. Never wrong about pairs that are similar."""
-    a, n = _grams_of(x)
-    b, m = _grams_of(y)
-    longer = np.maximum(n, m)
-    edits = np.floor((1 - least) * longer + 1e-9)
-    return (np.minimum(a, b).sum(axis=1) >= longer - SHARED + 1 - SHARED * edits) & (np.abs(n - m) <= edits)
+def may_be_similar(x: list[str], y: list[str], least: float = SIMILARITY, edits: list[int] | None = None) -> np.ndarray:
+    """Which pairs share enough grams: k edits change at most SHARED * k of a line's grams. Never wrong about pairs within `edits`, or that are similar."""
+    out = []
+    for at in range(0, len(x), 64):
+        a, n = _grams_of(x[at : at + 64])
+        b, m = _grams_of(y[at : at + 64])
+        longer = np.maximum(n, m)
+        k = np.floor((1 - least) * longer + 1e-9) if edits is None else np.array(edits[at : at + 64])
+        out.append((np.minimum(a, b).sum(axis=1) >= longer - SHARED + 1 - SHARED * k) & (np.abs(n - m) <= k))
+    return np.concatenate(out) if out else np.zeros(0, bool)
 
 
 def _verify(least: float):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in parts:
-            x, y = b.column("x").to_pylist(), b.column("y").to_pylist()
-            ok, at = np.zeros(b.num_rows, bool), 0
-            while at < len(x):
-                stop, size = at, 0
-                while stop < len(x) and size < COUNTED and stop - at < 2048:
-                    size += len(x[stop]) + len(y[stop])
-                    stop += 1
-                near = may_be_similar(*([t.decode("utf-8", "replace") for t in side[at:stop]] for side in (x, y)), least)
-                for i in (np.flatnonzero(near) + at).tolist():
-                    ok[i] = similar(x[i], y[i], least)
-                at = stop
-            yield b.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
+        held, size = [], 0
+        for b in chain(parts, (None,)):
+            if b is not None:
+                held.append(b)
+                size += b.nbytes
+            if held and (b is None or size >= COMPARED):
+                both = pa.Table.from_batches(held)
+                ok = all_similar(both.column("x").to_pylist(), both.column("y").to_pylist(), least)
+                yield from both.select(["u", "v"]).filter(pa.array(ok, pa.bool_())).to_batches()
+                held, size = [], 0
 
     return run
 
 
-def _cross(parts: Iterator[pa.RecordBatch], radius: int = T) -> Iterator[pa.RecordBatch]:
-    """For each line under a key the one of another label whose sketch is nearest, if that is at most `radius` bits away: fewer links than lines."""
-    if not (held := [b for b in parts if b.num_rows]):
-        return
-    key, fp, h, label = (c.to_numpy() for c in pa.Table.from_batches(held).columns)
-    order = np.lexsort((h, key))
-    key, fp, h, label = key[order], fp[order].view(np.uint64), h[order], label[order]
-    cuts = np.concatenate(([0], np.flatnonzero(np.diff(key)) + 1))
-    size = np.diff(np.append(cuts, len(key)))
-    mixed = np.minimum.reduceat(label, cuts) != np.maximum.reduceat(label, cuts)
-    pair = cuts[mixed & (size == 2)]
-    pair = pair[np.bitwise_count(fp[pair] ^ fp[pair + 1]) <= radius]
-    u, v = [h[pair]], [h[pair + 1]]
-    for a, n in zip(cuts[mixed & (size > 2)].tolist(), size[mixed & (size > 2)].tolist(), strict=True):
-        f, own = fp[a : a + n], label[a : a + n]
-        for i in range(0, n, step := max(1, (1 << 20) // n)):
-            far = np.bitwise_count(f[i : i + step, None] ^ f[None, :])
-            far[own[i : i + step, None] == own[None, :]] = 255
-            j = far.argmin(axis=1)
-            on = np.flatnonzero(far[np.arange(len(j)), j] <= radius)
-            u.append(h[a + i + on])
-            v.append(h[a + j[on]])
-    u, v = np.concatenate(u), np.concatenate(v)
-    both = np.unique(np.stack((np.minimum(u, v), np.maximum(u, v)), axis=1), axis=0)
-    yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["u", "v"])
+def _cross(fits):
+    """Every pair of lines under a key that have two labels and whose fp fit."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not (held := [b for b in parts if b.num_rows]):
+            return
+        key, fp, h, label = (c.to_numpy() for c in pa.Table.from_batches(held).columns)
+        order = np.lexsort((h, key))
+        key, fp, h, label = key[order], fp[order].view(np.uint64), h[order], label[order]
+        cuts = np.concatenate(([0], np.flatnonzero(np.diff(key)) + 1))
+        size = np.diff(np.append(cuts, len(key)))
+        mixed = np.minimum.reduceat(label, cuts) != np.maximum.reduceat(label, cuts)
+        for a, n in zip(cuts[mixed].tolist(), size[mixed].tolist(), strict=True):
+            f, own, g = fp[a : a + n], label[a : a + n], h[a : a + n]
+            for i in range(0, n, step := max(1, PAIRS // n)):
+                x, y = np.nonzero((g[i : i + step, None] < g[None, :]) & (own[i : i + step, None] != own[None, :]) & fits(f[i : i + step, None], f[None, :]))
+                yield pa.RecordBatch.from_arrays([pa.array(g[i + x]), pa.array(g[y])], names=["u", "v"])
+
+    return run
 
 
 def _spans(lines: DataFrame) -> DataFrame:
@@ -442,24 +624,44 @@ def groups(docs: DataFrame, least: float = SIMILARITY, grams: bool = False, bloc
     Lines are equal if 128 bits of hash are. Links go by the first 64 of them; should two lines
     have those in common, the one whose text was compared has the links, and the other none.
     """
+    with _cleanup(docs.sparkSession):
+        return _groups(docs, least, grams, block)
+
+
+def _groups(docs: DataFrame, least: float, grams: bool, block: int) -> DataFrame:
     rows = id_and_text(docs)
     place = F.struct("no_id", "doc_id", "th", "line")
     found = _rows(docs).mapInArrow(lambda parts: _line_rows(parts, grams), "h long, g long, fp long, no_id boolean, doc_id long, th long, line int")
     lines = written(found.groupBy("h", "g").agg(F.min("fp").alias("fp"), F.min(place).alias("p")).select("h", "g", "fp", "p.*"))
-    hot = _hot_keys(rows, block) if grams else None
-    keys = "key long, fp long, h long"
-    proposed = written(_dealt(rows.mapInArrow(_gram_keys, keys), hot).mapInArrow(_span, "u long, v long").distinct() if grams else _spans(lines))
-    ends = proposed.select(F.col("u").alias("node")).unionByName(proposed.select(F.col("v").alias("node")))
+    if grams:
+        spanned = written(rows.mapInArrow(_gram_keys, "key long, fp long, h long").repartition("key").mapInArrow(_span(least, OFTEN), _SPAN))
+        proposed = written(spanned.where(F.col("kind") < MEMBER).groupBy("u", "v").agg(F.min("kind").alias("kind")))
+        members = spanned.where(F.col("kind") == MEMBER).select(F.col("u").alias("key"), F.col("v").alias("h"), "n", "fp")
+        more = members.select("h")
+    else:
+        proposed = written(_spans(lines).withColumn("kind", F.lit(FIRST)))
+        more = lines.select("h").limit(0)
+    ends = proposed.select(F.col("u").alias("node")).unionByName(proposed.select(F.col("v").alias("node"))).unionByName(more.select(F.col("h").alias("node")))
     near = written(ends.distinct())  # only lines that have some candidate at all; their texts are needed from here on
     texts = written(rows.mapInArrow(_texts(_bitmap(near)), "h long, g long, norm binary").join(near.select(F.col("node").alias("h")), "h", "left_semi").groupBy("h").agg(F.min(F.struct("norm", "g")).alias("x")).select("h", "x.norm", "x.g"))
-    first = written(_verified(proposed, texts, least))
+    first = written(_verified(proposed.where(F.col("kind") == FIRST).select("u", "v"), texts, least))
     label = written(components(first))
     left = near.join(label.select("node", F.col("root").alias("label")), "node", "left").select(F.col("node").alias("h"), F.coalesce("label", "node").alias("label"))
-    keyed = texts.select("h", "norm").mapInArrow(_gram_keys_of_lines, keys).join(left, "h").select("key", "fp", "h", "label") if grams else lines.select("h", "fp").join(left, "h").select(F.explode(key_rows(masks())).alias("key"), "fp", "h", "label")
-    cross = _dealt(keyed, hot).mapInArrow(lambda parts: _cross(parts, RADIUS if grams else T), "u long, v long").distinct()
-    second = _verified(cross, texts, least)
     of = left.select(F.col("h").alias("u"), F.col("label").alias("lu"))
-    joined = second.join(of, "u").join(of.withColumnsRenamed({"u": "v", "lu": "lv"}), "v").select(F.col("lu").alias("u"), F.col("lv").alias("v"))
+    labelled = lambda pairs: pairs.join(of, "u").join(of.withColumnsRenamed({"u": "v", "lu": "lv"}), "v")
+    if grams:
+        later = labelled(proposed.where(F.col("kind") == LATER)).where("lu <> lv").select("u", "v")
+        if not members.isEmpty():
+            keyed = members.join(left, "h").select("key", "fp", "h", "label", "n")
+            fits = lambda a, b: _lengths_fit(a, b, least)
+            others = _dealt(keyed, block).mapInArrow(_cross(fits), "u long, v long").join(proposed.select("u", "v"), ["u", "v"], "left_anti")
+            later = later.unionByName(others.distinct())
+    else:
+        keyed = lines.select("h", "fp").join(left, "h").select(F.explode(key_rows(masks())).alias("key"), "fp", "h", "label")
+        fits = lambda a, b: np.bitwise_count(a ^ b) <= T
+        later = keyed.repartition("key").mapInArrow(_cross(fits), "u long, v long").distinct()
+    second = written(_verified(later, texts, least))
+    joined = labelled(second).select(F.col("lu").alias("u"), F.col("lv").alias("v"))
     higher = components(joined).select(F.col("node").alias("label"), "root")
     roots = left.join(higher, "label", "left").select("h", F.coalesce("root", "label").alias("root")).join(texts.select("h", "g"), "h")
     return lines.join(roots, ["h", "g"], "left").select("h", "root", "no_id", "doc_id", "th", "line")

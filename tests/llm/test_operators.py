@@ -1,6 +1,7 @@
 """The text operators against brute force on small tables, with nulls, empty and long texts, ties, repeated rows, empty tables and clashing names."""
 
 import hashlib
+import itertools
 import json
 import math
 import random
@@ -901,6 +902,63 @@ def test_hot_keys_in_pairs_of_blocks_give_the_same_lines(spark, monkeypatch):
     assert few == many and sum(len(t.split("\n")) for t in many.values() if t) <= 510
 
 
+def _edit_distances_agree(pairs):
+    found = fuzzy_lines.all_similar([x for x, _ in pairs], [y for _, y in pairs])
+    assert found.tolist() == [fuzzy_lines.similar(x, y) for x, y in pairs]
+    return found
+
+
+def test_edit_distances_of_many_pairs_at_once(monkeypatch):
+    """All sizes about the ends of words, letters of several planes, edits on both sides of the threshold; also where tables of characters are split."""
+    r = random.Random(31)
+    pairs = []
+    for _ in range(3000):
+        letters = "abc é\U0001f600" if r.random() < 0.8 else [chr(0x4E00 + i) for i in range(900)]
+        a = [r.choice(letters) for _ in range(r.choice([3, 10, 63, 64, 65, 127, 128, 130, 200, 400]))]
+        b = a[:]
+        for _ in range(r.randint(0, 1 + len(a) // 3)):
+            i = r.randrange(len(b) + 1)
+            b[i : i + r.randint(0, 1)] = r.choice(["", "x", "a", "éb"])
+        pairs.append(("".join(a).encode(), "".join(b).encode()))
+    found = _edit_distances_agree(pairs)
+    assert 500 < found.sum() < 2500
+    monkeypatch.setattr(fuzzy_lines, "TABLE", 1 << 14)
+    monkeypatch.setattr(fuzzy_lines, "WIDE", 3)
+    _edit_distances_agree(pairs)
+
+
+@pytest.mark.parametrize(("often", "block"), [(64, 8192), (2, 8192), (2, 20)])
+def test_all_similar_lines_under_a_key_are_linked(spark, monkeypatch, often, block):
+    """Families of lines with scattered edits: every pair that shares a band and is similar ends in one group, however far its sketches are."""
+    r = random.Random(32)
+    word = lambda: "".join(r.choice("etaoinshrdlu") for _ in range(r.randint(3, 9)))
+    lines = set()
+    for _ in range(60):
+        base = " ".join(word() for _ in range(r.choice([3, 5, 12, 25])))
+        for _ in range(30):
+            x = list(base)
+            for i in r.sample(range(len(x)), max(1, int(len(x) * r.uniform(0.02, 0.16)))):
+                x[i] = r.choice("etaoinshrdlu")
+            lines.add(fuzzy_lines.normalised("".join(x).encode()))
+    lines = sorted(lines)
+    keys = defaultdict(list)
+    for b in fuzzy_lines._keys_of(lines, np.arange(len(lines))):
+        for key, h in zip(b.column("key").to_pylist(), b.column("h").to_pylist(), strict=True):
+            keys[key].append(h)
+    near = {p for own in keys.values() for p in itertools.combinations(sorted(own), 2)}
+    near = [p for p in near if fuzzy_lines.similar(lines[p[0]], lines[p[1]])]
+    monkeypatch.setattr(fuzzy_lines, "OFTEN", often)
+    docs = table(spark, [(i, "\n".join(x.decode() for x in lines[i::20])) for i in range(20)])
+    root = {int(g.h): g.root for g in fuzzy_lines.groups(docs, grams=True, block=block).collect()}
+    own = [root[h] for h in fuzzy_lines._ids(lines)[0].tolist()]
+    lost = [p for p in near if own[p[0]] is None or own[p[0]] != own[p[1]]]
+    assert len(near) > 1000 and not lost, (len(lost), len(near))
+    linked = set(near)
+    reached = reach(len(lines), lambda i, j: (j, i) in linked)
+    alone = [i if g is None else g for i, g in enumerate(own)]
+    assert len(set(alone)) == len(set(reached))
+
+
 def test_recall_of_a_tables_similar_lines(spark):
     """Of the pairs of distinct lines of sf0.001 that brute force calls similar, nearly all end in one group."""
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
