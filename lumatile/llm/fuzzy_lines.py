@@ -16,7 +16,7 @@ from __future__ import annotations
 from array import array
 from collections.abc import Iterator
 from contextlib import contextmanager
-from itertools import chain, combinations
+from itertools import chain, combinations, islice
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +55,8 @@ OFTEN = 64
 BLOCK = 8192
 #: Lines of such a key that others are compared with in the first round.
 LEADERS = 4096
+#: Buckets of keys, a power of two up to 65,536; a bucket's keys are in one task.
+BUCKETS = 4096
 #: Pairs in a batch.
 PAIRS = 1 << 19
 #: Bytes of lines hashed in one go: they stay in the cache.
@@ -412,7 +414,7 @@ def _keys_of(lines: list[bytes], h: np.ndarray) -> Iterator[pa.RecordBatch]:
 
 
 def _gram_keys(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keys of each partition's distinct lines."""
+    """Keys of each partition's distinct lines, packed."""
     seen: set[int] = set()
     for b in parts:
         lines = {}
@@ -421,7 +423,20 @@ def _gram_keys(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if (norm := normalised(line)) and (h := xxhash.xxh3_128_intdigest(norm) & MASK) not in seen:
                     seen.add(h)
                     lines[norm] = h
-        yield from _keys_of(list(lines), np.fromiter(lines.values(), np.uint64, len(lines)).view(np.int64))
+        keyed = _keys_of(list(lines), np.fromiter(lines.values(), np.uint64, len(lines)).view(np.int64))
+        while held := list(islice(keyed, 32)):
+            yield _packed(held)
+
+
+def _packed(keyed: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """(bucket, rows): the rows (key, fp, h) of each bucket of keys as bytes, so that Spark moves a few long rows."""
+    rows = np.stack([np.concatenate([b.column(k).to_numpy() for b in keyed]) for k in range(3)], axis=1)
+    bucket = (rows[:, 0] & (BUCKETS - 1)).astype(np.uint16)
+    order = np.argsort(bucket, kind="stable")
+    rows, bucket = rows[order], bucket[order]
+    cuts = np.concatenate(([0], np.flatnonzero(np.diff(bucket)) + 1, [len(rows)])) if len(rows) else np.zeros(1, np.int64)
+    packed = pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((24 * cuts).astype(np.int32)), pa.py_buffer(rows.tobytes())])
+    return pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]].astype(np.int32)), packed], names=["bucket", "rows"])
 
 
 def _dealt(keyed: DataFrame, block: int) -> DataFrame:
@@ -479,9 +494,10 @@ def _span(least: float = SIMILARITY, often: int = OFTEN):
     """Of the lines under each key, every pair whose lengths fit; of a key of more than `often` lines, its lines and first links."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not (held := [b for b in parts if b.num_rows]):
+        if not (held := [x for b in parts for x in b.column(1).to_pylist()]):
             return
-        key, fp, h = (c.to_numpy() for c in pa.Table.from_batches(held).columns)
+        key, fp, h = np.frombuffer(b"".join(held), np.int64).reshape(-1, 3).T
+        del held
         order = np.lexsort((h, key))
         key, fp, h = key[order], fp[order].view(np.uint64), h[order]
         new = np.concatenate(([True], (key[1:] != key[:-1]) | (h[1:] != h[:-1])))  # partitions that hold the same line give it once each
@@ -634,7 +650,7 @@ def _groups(docs: DataFrame, least: float, grams: bool, block: int) -> DataFrame
     found = _rows(docs).mapInArrow(lambda parts: _line_rows(parts, grams), "h long, g long, fp long, no_id boolean, doc_id long, th long, line int")
     lines = written(found.groupBy("h", "g").agg(F.min("fp").alias("fp"), F.min(place).alias("p")).select("h", "g", "fp", "p.*"))
     if grams:
-        spanned = written(rows.mapInArrow(_gram_keys, "key long, fp long, h long").repartition("key").mapInArrow(_span(least, OFTEN), _SPAN))
+        spanned = written(rows.mapInArrow(_gram_keys, "bucket int, rows binary").repartition("bucket").mapInArrow(_span(least, OFTEN), _SPAN))
         proposed = written(spanned.where(F.col("kind") < MEMBER).groupBy("u", "v").agg(F.min("kind").alias("kind")))
         members = spanned.where(F.col("kind") == MEMBER).select(F.col("u").alias("key"), F.col("v").alias("h"), "n", "fp")
         more = members.select("h")

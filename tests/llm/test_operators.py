@@ -10,6 +10,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import regex
 import xxhash
@@ -959,6 +960,19 @@ def test_all_similar_lines_under_a_key_are_linked(spark, monkeypatch, often, blo
     assert len(set(alone)) == len(set(reached))
 
 
+def test_packed_keys_are_all_keys():
+    """What Spark moves holds each key of each line once, a bucket's in one row, in far fewer rows."""
+    r = random.Random(33)
+    lines = sorted({fuzzy_lines.normalised(" ".join("".join(r.choice("etaoin") for _ in range(r.randint(2, 9))) for _ in range(r.randint(1, 20))).encode()) for _ in range(3000)})
+    keyed = fuzzy_lines._keys_of(lines, fuzzy_lines._ids(lines)[0])
+    expected = sorted(row for b in keyed for row in zip(*(c.to_pylist() for c in b.columns), strict=True))
+    text = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([b"\n".join(lines * 2)])], names=["doc_id", "text"])
+    packed = [(k, np.frombuffer(x, np.int64).reshape(-1, 3)) for b in fuzzy_lines._gram_keys(iter([text])) for k, x in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    assert sorted(tuple(row) for _, x in packed for row in x.tolist()) == expected
+    assert len(packed) == len({k for k, _ in packed}) <= fuzzy_lines.BUCKETS < len(expected) / 10
+    assert all((x[:, 0] % fuzzy_lines.BUCKETS == k).all() for k, x in packed)
+
+
 def test_recall_of_a_tables_similar_lines(spark):
     """Of the pairs of distinct lines of sf0.001 that brute force calls similar, nearly all end in one group."""
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
