@@ -1,14 +1,15 @@
 """Fuzzy line dedup: of lines that are nearly the same, one occurrence stays in the whole corpus.
 
 Lines are normalised; equal ones become one right where they are read. Candidates among the others
-come from MinHash over character 5-grams (`grams`): lines that share a band of minima. Without `grams` they come from a
+come from MinHash over character grams (`grams`): lines that share a band of minima. Without `grams` they come from a
 64-bit SimHash over distinct words: of five blocks of the fingerprint two are equal in any pair with
 at most three differing bits, so pairs of blocks are the join's keys; that misses most lines with
 a word changed. Links are verified by edit
 similarity of the normalised lines. A first round verifies links between lines whose sketches are near;
 a second one verifies every other pair of candidates that the first left in two groups, however far
 their sketches are. So nearly all of a family of like lines is joined by about as many comparisons as it
-has lines, and yet no candidate that meets the threshold is left out.
+has lines, and yet no candidate that meets the threshold is left out. Of keys of many lines the second round makes
+no pairs for Spark to move: the lines go to the tasks that compare them.
 """
 
 from __future__ import annotations
@@ -42,17 +43,22 @@ LANE = 255
 #: Bits of the five blocks; a key is a pair of them.
 BLOCKS = (13, 13, 13, 13, 12)
 
-#: Characters of a gram, minima of a line, and minima of a band for lines of up to SHORT bytes and for those from LONG on.
+#: Characters of a gram, minima of a band and bands, for lines of up to SHORT bytes and for those from LONG on.
 #: Lengths of similar lines differ by a fifth at most, so such a pair has one kind of band in common.
-GRAM, MINIMA, FEW, MANY, SHORT, LONG = 5, 80, 4, 5, 40, 32
+#: Long unlike lines share several of the commonest 5-grams by chance; three 8-grams tell more than five 5-grams and are lost to fewer edits.
+FEW, MANY, SHORT, LONG = (5, 4, 20), (8, 3, 16), 40, 32
+#: Bits of a key below the number of its band.
+BAND = 58
 #: Bits in which the 48-bit sketches of candidates compared first differ at most; unlike lines differ in about 24. It decides what is compared first, not what is compared.
 RADIUS = 13
 #: Steps of a line's length code in which lengths grow by a factor of e; the code takes the lowest 16 bits of fp.
 STEPS = 4000
-#: Of a key of more lines, pairs are made only once the first round has put most of them in one group.
-OFTEN = 64
-#: Lines of such a key that are compared in one go; a key that has more is dealt out in pairs of blocks of so many.
-BLOCK = 8192
+#: Of a key of more lines no pairs are made; once the first round has put most of them in one group, the lines meet in tasks.
+OFTEN = 16
+#: Lines of such a key that one task compares; a key that has more is dealt out in pairs of blocks of so many.
+BLOCK = 512
+#: Pairs of them that are compared before those that are in one group by then are left out.
+TOGETHER = 4096
 #: Lines of such a key that others are compared with in the first round.
 LEADERS = 4096
 #: Buckets of keys, a power of two up to 65,536; a bucket's keys are in one task.
@@ -337,46 +343,47 @@ def _line_rows(parts: Iterator[pa.RecordBatch], grams: bool = False) -> Iterator
         yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(g), pa.array(fp), *(pa.array(c, k) for c, k in zip(places, kinds, strict=True))], names=["h", "g", "fp", "no_id", "doc_id", "th", "line"])
 
 
-_FACTORS = np.array([xxhash.xxh3_64_intdigest(b"%d" % k) & 0xFFFFFFFF | 1 for k in range(MINIMA)], np.uint32)
+_FACTORS = np.array([xxhash.xxh3_64_intdigest(b"%d" % k) & 0xFFFFFFFF | 1 for k in range(max(rows * bands for _, rows, bands in (FEW, MANY)))], np.uint32)
 
 
-def minima(lines: list[bytes]) -> np.ndarray:
-    """MINIMA hashes of each line: of each of as many hash functions the least one over the line's grams, its ends padded."""
-    out = np.zeros((len(lines), MINIMA), np.uint32)
+def minima(lines: list[bytes], gram: int, many: int) -> np.ndarray:
+    """`many` hashes of each line: of each of as many hash functions the least one over the line's grams of up to 8 characters, its ends padded."""
+    out = np.zeros((len(lines), many), np.uint32)
     at = 0
     while at < len(lines):
         stop, size = at, 0
         while stop < len(lines) and size < CHUNK:
-            size += len(lines[stop]) + GRAM
+            size += len(lines[stop]) + gram
             stop += 1
-        pad = bytes(GRAM - 1)
+        pad = bytes(gram - 1)
         text = np.frombuffer(b"".join(b"\0" + x + pad for x in lines[at:stop]) + pad, np.uint8)
         lengths = np.fromiter(map(len, lines[at:stop]), np.int64, stop - at)
-        ends = np.cumsum(lengths + GRAM)
+        ends = np.cumsum(lengths + gram)
         starts = np.cumsum(lengths + 1) - lengths - 1  # a line has one gram more than characters
         own = np.ones(size, bool)
-        own[ends[:, None] - np.arange(1, GRAM)] = False  # these would reach into the next line
+        own[ends[:, None] - np.arange(1, gram)] = False  # these would reach into the next line
         x = np.zeros(size, np.uint64)
-        for k in range(GRAM):
+        for k in range(gram):
             x |= text[k : k + size].astype(np.uint64) << np.uint64(8 * k)
         x = x[own] * np.uint64(0x9E3779B97F4A7C15)
         x ^= x >> np.uint64(29)
         x *= np.uint64(0xBF58476D1CE4E5B9)
         x = (x >> np.uint64(32)).astype(np.uint32)
-        for k, factor in enumerate(_FACTORS):
+        for k, factor in enumerate(_FACTORS[:many]):
             out[at:stop, k] = np.minimum.reduceat(x * factor, starts)
         at = stop
     return out
 
 
-def _bands(least: np.ndarray, rows: int) -> np.ndarray:
-    """A 64-bit key of each band of `rows` minima."""
-    n = MINIMA // rows
-    key = np.broadcast_to(np.arange(n, dtype=np.uint64) + np.uint64(rows << 32), (len(least), n)).copy()
+def _bands(least: np.ndarray, rows: int, first: int) -> np.ndarray:
+    """A 64-bit key of each band of `rows` minima: above BAND bits of hash the band's number, from `first` on."""
+    n = least.shape[1] // rows
+    band = np.arange(first, first + n, dtype=np.uint64)
+    key = np.broadcast_to(band, (len(least), n)).copy()
     for k in range(rows):
         key = (key ^ least[:, k : n * rows : rows]) * np.uint64(0x9E3779B97F4A7C15)
         key ^= key >> np.uint64(32)
-    return key
+    return key & np.uint64((1 << BAND) - 1) | band << np.uint64(BAND)
 
 
 def _length_codes(lines: list[bytes]) -> np.ndarray:
@@ -402,15 +409,15 @@ def _bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _keys_of(lines: list[bytes], h: np.ndarray) -> Iterator[pa.RecordBatch]:
     """(key, fp, h) of each band of each line; fp: the lowest bits of 48 minima, then the code of the line's length."""
     for a in range(0, len(lines), 10_000):
-        least, own = minima(lines[a : a + 10_000]), h[a : a + 10_000]
-        fp = np.zeros((len(own), 8), np.uint8)
-        fp[:, 2:] = np.packbits((least[:, :48] & 1).astype(np.uint8), axis=1, bitorder="little")
-        fp = (fp.view("<u8").ravel() | _length_codes(lines[a : a + 10_000])).view(np.int64)
-        length = np.fromiter(map(len, lines[a : a + 10_000]), np.int64, len(own))
-        for rows, on in ((FEW, np.flatnonzero(length <= SHORT)), (MANY, np.flatnonzero(length >= LONG))):
-            keys = _bands(least[on], rows)
-            many = keys.shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(fp[on], many)), pa.array(np.repeat(own[on], many))], names=["key", "fp", "h"])
+        part = lines[a : a + 10_000]
+        length, code = np.fromiter(map(len, part), np.int64, len(part)), _length_codes(part)
+        for (gram, rows, bands), first, on in ((FEW, 0, np.flatnonzero(length <= SHORT)), (MANY, FEW[2], np.flatnonzero(length >= LONG))):
+            least = minima([part[i] for i in on], gram, rows * bands)
+            fp = np.zeros((len(on), 8), np.uint8)
+            fp[:, 2:] = np.packbits((least[:, :48] & 1).astype(np.uint8), axis=1, bitorder="little")
+            fp = (fp.view("<u8").ravel() | code[on]).view(np.int64)
+            keys = _bands(least, rows, first)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(fp, bands)), pa.array(np.repeat(h[a : a + 10_000][on], bands))], names=["key", "fp", "h"])
 
 
 def _gram_keys(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -440,11 +447,20 @@ def _packed(keyed: list[pa.RecordBatch]) -> pa.RecordBatch:
 
 
 def _dealt(keyed: DataFrame, block: int) -> DataFrame:
-    """keyed (columns key, n and h) by key; the lines of a key of more than a block in pairs of blocks, so that any two of its lines meet in some task."""
+    """keyed (columns key, n, h and others) by key, with the key's band and the line's side (null: compare it with all others, else with those of another side).
+
+    The lines of a key of more than a block are in pairs of blocks, so that any two of its lines are compared in one task.
+    """
     blocks = F.ceil(F.col("n") / block).cast("int")
     own = F.pmod(F.xxhash64("h"), blocks)
-    pair = F.transform(F.sequence(F.lit(0), blocks - 1), lambda i: F.xxhash64(F.lit("block"), F.col("key"), F.least(own, i), F.greatest(own, i)))
-    return keyed.withColumn("key", F.explode(F.when(blocks < 2, F.array("key")).otherwise(pair))).drop("n").repartition("key")
+    pair = F.transform(
+        F.sequence(F.lit(0), blocks - 1),
+        lambda i: F.struct(F.xxhash64(F.lit("block"), F.col("key"), F.least(own, i), F.greatest(own, i)).alias("key"), F.when(own != i, own).cast("int").alias("side")),
+    )
+    whole = F.array(F.struct(F.col("key"), F.lit(None).cast("int").alias("side")))
+    band = F.shiftrightunsigned("key", BAND).cast("int")
+    rest = [c for c in keyed.columns if c not in ("key", "n")]
+    return keyed.select(F.explode(F.when(blocks < 2, whole).otherwise(pair)).alias("to"), band.alias("band"), *rest).select("to.*", "band", *rest).repartition("key")
 
 
 #: Kinds of rows that _span gives: a link to verify first, a pair to verify if the first ones leave it in two groups, a line (v) under a key (u) of n lines.
@@ -623,6 +639,61 @@ def _cross(fits):
     return run
 
 
+def _compare(least: float):
+    """Links between lines under a key that have two labels; a pair with several such keys is compared under the lowest band's.
+
+    Lines that a link puts in one group are not compared any further.
+    """
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not (held := [b for b in parts if b.num_rows]):
+            return
+        held = pa.Table.from_batches(held)
+        key, band, h, label = (held.column(k).to_numpy() for k in ("key", "band", "h", "label"))
+        side, fp = held.column("side").fill_null(-1).to_numpy(), held.column("fp").to_numpy().view(np.uint64)
+        keys = held.column("keys").combine_chunks()
+        norm = held.column("norm")
+        under = np.zeros((len(key), FEW[2] + MANY[2]), np.int64)
+        line, k = np.repeat(np.arange(len(key)), keys.value_lengths().to_numpy()), keys.flatten().to_numpy()
+        under[line, k.view(np.uint64) >> np.uint64(BAND)] = k
+        order = np.lexsort((h, key))
+        cuts = np.concatenate(([0], np.flatnonzero(np.diff(key[order])) + 1, [len(key)]))
+        for a, stop in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            at, n = order[a:stop], stop - a
+            values, own = np.unique(label[at], return_inverse=True)
+            if len(values) < 2:
+                continue
+            texts = norm.take(pa.array(at)).to_pylist()
+            root, f, s, before = np.arange(len(values)), fp[at], side[at], under[at, : band[at[0]]]
+            for i in range(0, n, step := max(1, PAIRS // n)):
+                fits = _lengths_fit(f[i : i + step, None], f[None, :], least) & ((s[i : i + step, None] < 0) | (s[i : i + step, None] != s[None, :]))
+                x, y = np.nonzero(np.triu(fits & (root[own[i : i + step, None]] != root[own[None, :]]), i + 1))
+                x += i
+                new = ~((before[x] == before[y]) & (before[x] != 0)).any(axis=1)
+                x, y = x[new], y[new]
+                for c in range(0, len(x), TOGETHER):
+                    u, v = x[c : c + TOGETHER], y[c : c + TOGETHER]
+                    apart = root[own[u]] != root[own[v]]
+                    u, v = u[apart], v[apart]
+                    ok = all_similar([texts[j] for j in u], [texts[j] for j in v], least)
+                    u, v = u[ok], v[ok]
+                    for p, q in zip(own[u].tolist(), own[v].tolist(), strict=True):
+                        if root[p] != root[q]:
+                            root[root == root[q]] = root[p]
+                    yield pa.RecordBatch.from_arrays([pa.array(h[at[u]]), pa.array(h[at[v]])], names=["u", "v"])
+
+    return run
+
+
+def _compared(members: DataFrame, left: DataFrame, texts: DataFrame, least: float, block: int) -> DataFrame:
+    """Links between lines under the keys of members (key, h, n, fp) that have two labels in left (h, label)."""
+    keyed = written(members.join(left, "h"))
+    mixed = keyed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
+    keyed = written(keyed.join(mixed, "key", "left_semi"))
+    lines = texts.select("h", "norm").join(keyed.groupBy("h").agg(F.collect_list("key").alias("keys")), "h")  # at most a key for each band
+    return _dealt(keyed.join(lines, "h"), block).mapInArrow(_compare(least), "u long, v long")
+
+
 def _spans(lines: DataFrame) -> DataFrame:
     """Links to verify first, by SimHash."""
     by_fp = lines.groupBy("fp").agg(F.min("h").alias("least"), F.count("*").alias("n"))
@@ -667,17 +738,14 @@ def _groups(docs: DataFrame, least: float, grams: bool, block: int) -> DataFrame
     labelled = lambda pairs: pairs.join(of, "u").join(of.withColumnsRenamed({"u": "v", "lu": "lv"}), "v")
     if grams:
         later = labelled(proposed.where(F.col("kind") == LATER)).where("lu <> lv").select("u", "v")
+        second = _verified(later, texts, least)
         if not members.isEmpty():
-            keyed = members.join(left, "h").select("key", "fp", "h", "label", "n")
-            fits = lambda a, b: _lengths_fit(a, b, least)
-            others = _dealt(keyed, block).mapInArrow(_cross(fits), "u long, v long").join(proposed.select("u", "v"), ["u", "v"], "left_anti")
-            later = later.unionByName(others.distinct())
+            second = second.unionByName(_compared(members, left, texts, least, block))
     else:
         keyed = lines.select("h", "fp").join(left, "h").select(F.explode(key_rows(masks())).alias("key"), "fp", "h", "label")
         fits = lambda a, b: np.bitwise_count(a ^ b) <= T
-        later = keyed.repartition("key").mapInArrow(_cross(fits), "u long, v long").distinct()
-    second = written(_verified(later, texts, least))
-    joined = labelled(second).select(F.col("lu").alias("u"), F.col("lv").alias("v"))
+        second = _verified(keyed.repartition("key").mapInArrow(_cross(fits), "u long, v long").distinct(), texts, least)
+    joined = labelled(written(second)).select(F.col("lu").alias("u"), F.col("lv").alias("v"))
     higher = components(joined).select(F.col("node").alias("label"), "root")
     roots = left.join(higher, "label", "left").select("h", F.coalesce("root", "label").alias("root")).join(texts.select("h", "g"), "h")
     return lines.join(roots, ["h", "g"], "left").select("h", "root", "no_id", "doc_id", "th", "line")

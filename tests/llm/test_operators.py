@@ -973,6 +973,28 @@ def test_packed_keys_are_all_keys():
     assert all((x[:, 0] % fuzzy_lines.BUCKETS == k).all() for k, x in packed)
 
 
+def test_unlike_long_lines_rarely_share_a_band():
+    """Few lines of the same sixty words share a band by chance; most lines with 5 % of their letters changed still do."""
+    r = random.Random(41)
+    pieces = "the of and to in is that er ed ing tion ent sh th wh ou ly es re on an at en nd st ha he or nt hi as it ble".split()
+    words = sorted({r.choice(pieces) + r.choice(["", *pieces]) for _ in range(60)})
+    lines = [" ".join(r.choice(words) for _ in range(130)).encode() for _ in range(2000)]
+    edited = []
+    for x in lines[:400]:
+        y = list(x.decode())
+        for i in r.sample(range(len(y)), len(y) // 20):
+            y[i] = r.choice("etaoinshrdlu")
+        edited.append("".join(y).encode())
+    keys = defaultdict(set)
+    for b in fuzzy_lines._keys_of(lines + edited, np.arange(len(lines) + len(edited))):
+        for key, h in zip(b.column("key").to_pylist(), b.column("h").to_pylist(), strict=True):
+            keys[key].add(h)
+    near = {p for own in keys.values() for p in itertools.combinations(sorted(own), 2)}
+    found = sum((i, len(lines) + i) in near for i in range(len(edited)))
+    unlike = sum(j - len(lines) != i for i, j in near)
+    assert found > 0.8 * len(edited) and unlike < 20_000, (found, unlike)
+
+
 def test_recall_of_a_tables_similar_lines(spark):
     """Of the pairs of distinct lines of sf0.001 that brute force calls similar, nearly all end in one group."""
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
