@@ -14,12 +14,13 @@ def assign_targets(decoded: DataFrame, mask_pixels: DataFrame, use_z: bool = Tru
     """decoded features with cell_id, the name of the last mask that holds their pixel; NULL outside all masks.
 
     Pixel of a feature: its coordinates rounded down. An equi-join on the pixel after one mask per
-    pixel is chosen, so masks never multiply features.
+    pixel is chosen, so masks never multiply features. The pixels are shuffled: estimates of their size
+    don't count what masks are spread to, and they would be broadcast.
     """
     at = ["fov", *(("z",) if use_z else ()), "y", "x"]
     top = mask_pixels.groupBy(*at).agg(F.max("mask_id").alias("__mask")).select(*(F.col(a).alias(f"__{a}") for a in at), "__mask")
     cond = [decoded["fov"] == top["__fov"]] + [F.floor(decoded[a]).cast("int") == top[f"__{a}"] for a in at[1:]]
-    return decoded.join(top, cond, "left").withColumn("cell_id", F.col("__mask").cast("string")).drop("__mask", *(f"__{a}" for a in at))
+    return decoded.join(top.hint("merge"), cond, "left").withColumn("cell_id", F.col("__mask").cast("string")).drop("__mask", *(f"__{a}" for a in at))
 
 
 def expression_long(decoded: DataFrame) -> DataFrame:
