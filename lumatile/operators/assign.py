@@ -41,7 +41,7 @@ def expression_matrix(decoded: DataFrame, genes: list[str] | None = None) -> Dat
     counts = expression_long(decoded)
     wide = counts.groupBy("cell_id").pivot("gene", genes).agg(F.sum("n"))
     every = decoded.select(F.coalesce("cell_id", F.lit("unassigned")).alias("cell_id")).distinct()
-    return every.join(wide, "cell_id", "left").na.fill(0)
+    return every.join(wide.hint("merge"), "cell_id", "left").na.fill(0)
 
 
 def concatenate(tables: list[DataFrame]) -> DataFrame:
