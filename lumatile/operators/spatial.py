@@ -47,8 +47,9 @@ def nearest(left: DataFrame, right: DataFrame, radius: float, key: tuple[str, ..
 def box_join(boxes: DataFrame, points: DataFrame, axes: tuple[str, ...] = ("z", "y", "x"), on: tuple[str, ...] = ("fov",)) -> DataFrame:
     """Points inside boxes [axis_min, axis_max): boxes are spread over the whole positions they cover, so points join on equal coordinates.
 
-    For boxes of pixels whose size is a spot's, not an image's.
+    For boxes of pixels whose size is a spot's, not an image's. Neither side is broadcast, as
+    estimates of its size don't count what boxes are spread to.
     """
     for a in axes:
         boxes = boxes.where(F.col(f"{a}_max") > F.col(f"{a}_min")).withColumn(a, F.explode(F.sequence(F.col(f"{a}_min"), F.col(f"{a}_max") - 1)))
-    return boxes.join(points, [*on, *axes])
+    return boxes.join(points.hint("merge"), [*on, *axes])

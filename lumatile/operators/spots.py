@@ -28,7 +28,7 @@ def measure_at_spots(spots: DataFrame, pixels: DataFrame, measurement: str = "ma
     boxes = _boxes(spots, radius_is_gyration)
     hits = box_join(boxes.select("fov", "spot_id", *(f"{a}_{m}" for a in ("z", "y", "x") for m in ("min", "max"))), pixels.select("fov", "z", "y", "x", "value"))
     found = hits.groupBy("fov", "spot_id").agg(reducer(measurement)(F.col("value")).alias("intensity"))
-    return boxes.drop("intensity").join(found, ["fov", "spot_id"], "left")
+    return boxes.drop("intensity").join(found.hint("merge"), ["fov", "spot_id"], "left")
 
 
 def measure_across_imagestack(spots: DataFrame, pixels: DataFrame, measurement: str = "max", radius_is_gyration: bool = False) -> DataFrame:
@@ -36,7 +36,7 @@ def measure_across_imagestack(spots: DataFrame, pixels: DataFrame, measurement:
     boxes = _boxes(spots.drop("r", "c", "intensity"), radius_is_gyration)
     hits = box_join(boxes.select("fov", "spot_id", *(f"{a}_{m}" for a in ("z", "y", "x") for m in ("min", "max"))), pixels)
     found = hits.groupBy("fov", "spot_id", "r", "c").agg(reducer(measurement)(F.col("value")).alias("intensity"))
-    return boxes.join(found, ["fov", "spot_id"])
+    return boxes.join(found.hint("merge"), ["fov", "spot_id"])
 
 
 def combine_spots(tables: list[DataFrame]) -> DataFrame:
