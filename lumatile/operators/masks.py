@@ -31,7 +31,7 @@ def reduce_masks(mask_pixels: DataFrame, func: str = "logical_or") -> DataFrame:
     elif func == "logical_xor":
         out = n.where("__n % 2 = 1")
     elif func == "logical_and":
-        out = n.join(mask_pixels.groupBy("fov").agg(F.countDistinct("mask_id").alias("__all")), "fov").where("__n = __all")
+        out = n.join(mask_pixels.groupBy("fov").agg(F.countDistinct("mask_id").alias("__all")).hint("merge"), "fov").where("__n = __all")
     else:
         raise ValueError(f"{func!r} is none of logical_or, logical_and, logical_xor")
     return out.select("fov", F.lit(0).alias("mask_id"), "z", "y", "x")
@@ -51,7 +51,7 @@ def merge_masks(collections: list[DataFrame], frames: list[DataFrame] | None = N
         out = out.unionByName(c)
     ids = out.select("__from", "fov", "mask_id").distinct()
     number = (F.row_number().over(Window.partitionBy("fov").orderBy("__from", "mask_id")) - 1).cast("int")  # a row per mask
-    return out.join(ids.withColumn("__id", number), ["__from", "fov", "mask_id"]).select("fov", F.col("__id").alias("mask_id"), "z", "y", "x")
+    return out.join(ids.withColumn("__id", number).hint("merge"), ["__from", "fov", "mask_id"]).select("fov", F.col("__id").alias("mask_id"), "z", "y", "x")
 
 
 def to_label_image(mask_pixels: DataFrame) -> DataFrame:
