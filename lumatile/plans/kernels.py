@@ -182,7 +182,8 @@ _DEC = "SELECT fov, feature_id, feature_id // 256 AS z, feature_id // 16 % 16 AS
 
 def _decoded_pixels(spark, sf) -> DataFrame:
     px = P.pixels(spark, sf).where("r = 0")
-    v = px.groupBy("fov", "z", "y", "x").agg(F.avg("value").alias("distance"), F.transform(F.array_sort(F.collect_list(F.struct("c", "value"))), lambda s: s["value"]).alias("trace"))
+    v = px.groupBy("fov", "z", "y", "x").agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "value"))), lambda s: s["value"]).alias("trace"))
+    v = v.withColumn("distance", F.aggregate("trace", F.lit(0.0), lambda s, x: s + x) / F.size("trace"))  # in order of c: means at a threshold hang on it
     return v.select("fov", ((F.col("z") * 16 + F.col("y")) * 16 + F.col("x")).cast("long").alias("feature_id"), "z", "y", "x", "trace", F.when(F.col("distance") < 0.9, F.concat(F.lit("T"), F.floor(F.col("distance") * 5).cast("string"))).alias("target"), "distance", (F.col("distance") >= 0.2).alias("passes_thresholds"))
 
 
