@@ -350,7 +350,7 @@ def _index(spark, sf) -> DataFrame:
 
 @query(with_(t=_TILES) + "SELECT fov, r, c, z, 4 AS height, 5 AS width, '/d/t-' || fov || '-' || r || '-' || c || '-' || z AS file, xmin AS xc_min, xmax AS xc_max, ymin AS yc_min, ymax AS yc_max, z::DOUBLE AS zc_min, (z + 1)::DOUBLE AS zc_max FROM t")
 def snk9_manifest_roundtrip(spark, sf):
-    docs = experiment.fov_documents(_index(spark, sf).withColumn("file", F.regexp_replace("file", "^/d/", ""))).withColumn("path", F.lit("/d/x.json"))
+    docs = experiment.fov_documents(_index(spark, sf).withColumn("file", F.regexp_replace("file", "^/d/", "")), experiment.DOCUMENT_TILES).withColumn("path", F.lit("/d/x.json"))
     return experiment.read_fov_documents(docs).select("fov", "r", "c", "z", "height", "width", "file", *(f"{a}_{m}" for a in ("xc", "yc", "zc") for m in ("min", "max")))
 
 

@@ -201,11 +201,22 @@ def _in_order(a, b):
     return F.when(key(a) < key(b), -1).when(key(a) > key(b), 1).otherwise(0)
 
 
-def fov_documents(index: DataFrame) -> DataFrame:
-    """(fov, image_type, value): field-of-view documents of a tile index, as JSON text."""
+#: Tiles of one document, about, where a field of view's may be several.
+DOCUMENT_TILES = 4096
+
+
+def fov_documents(index: DataFrame, tiles: int | None = None) -> DataFrame:
+    """(fov, image_type, value): field-of-view documents of a tile index, as JSON text.
+
+    tiles: a field of view of more tiles gets several documents of about as many, each with the
+    whole one's shape, so that no task holds all its tiles; read_fov_documents takes them together.
+    """
+    whole = index.groupBy("fov", "image_type").agg(*((F.max(a) + 1).alias(f"n_{a}") for a in ("r", "c", "z")), F.first("tile_format").alias("fmt"), F.count("*").alias("__n"))
+    part = F.lit(0) if tiles is None else F.pmod(F.xxhash64("r", "c", "z"), F.ceil(F.col("__n") / tiles))
     coords = F.create_map(*(x for a in ("xc", "yc", "zc") for x in (F.lit(a), F.array(F.col(f"{a}_min"), F.col(f"{a}_max")))))
     tile = F.struct(coords.alias("coordinates"), F.create_map(*(x for a in ("r", "c", "z") for x in (F.lit(a), F.col(a)))).alias("indices"), "file", "tile_format", "sha256", F.create_map(F.lit("y"), F.col("height"), F.lit("x"), F.col("width")).alias("tile_shape"))
-    g = index.groupBy("fov", "image_type").agg(F.collect_list(F.struct("r", "c", "z", tile.alias("t"))).alias("t"), *((F.max(a) + 1).alias(f"n_{a}") for a in ("r", "c", "z")), F.first("tile_format").alias("fmt"))
+    own = index.join(whole.select("fov", "image_type", "__n"), ["fov", "image_type"]).withColumn("__part", part)
+    g = own.groupBy("fov", "image_type", "__part").agg(F.collect_list(F.struct("r", "c", "z", tile.alias("t"))).alias("t")).join(whole, ["fov", "image_type"])
     doc = F.struct(F.lit("0.1.0").alias("version"), F.array(*map(F.lit, ("x", "y", "z", "r", "c"))).alias("dimensions"), F.create_map(*(x for a in ("r", "c", "z") for x in (F.lit(a), F.col(f"n_{a}")))).alias("shape"), F.col("fmt").alias("default_tile_format"), F.transform(F.array_sort("t", _in_order), lambda x: x["t"]).alias("tiles"))
     return g.select("fov", "image_type", F.to_json(doc).alias("value"))
 
