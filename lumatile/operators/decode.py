@@ -109,14 +109,17 @@ def _nearest_by_product(features: DataFrame, codes: DataFrame, metric: str) -> D
     return features.mapInArrow(run, features.schema)
 
 
-def decode_metric(features: DataFrame, codes: DataFrame, size: int, max_distance: float, min_intensity: float, norm_order: float = 2, metric: str = "euclidean", return_original_intensities: bool = False) -> DataFrame:
+def decode_metric(features: DataFrame, codes: DataFrame, size: int, max_distance: float, min_intensity: float, norm_order: float = 2, metric: str = "euclidean", return_original_intensities: bool = False, even_zeros: bool = True) -> DataFrame:
     """Nearest code of the normalised trace. A target is always named; it passes if norm >= min_intensity and distance <= max_distance.
 
-    NULL and NaN cells count as 0 for the norm.
+    NULL and NaN cells count as 0 for the norm. even_zeros: a trace of zeros is compared as an even one;
+    otherwise as zeros, which are as far from every code.
     """
     features, codes = checked(features, size, 1), checked(codes, size, 1)
     kept = features.withColumn("__trace", F.col("trace")).withColumn("trace", clean(F.col("trace")))
     unit = normalize_features(kept, size, norm_order)
+    if not even_zeros:
+        unit = unit.withColumn("trace", F.when(F.col("norm") == 0, F.array_repeat(F.lit(0.0), size)).otherwise(F.col("trace")))
     book = normalize_features(codes.select("code_idx", "target", clean(F.col("trace")).alias("trace")), size, norm_order).drop("norm")
     out = nearest_code(unit, book, metric).withColumn("passes_thresholds", (F.col("norm") >= min_intensity) & (F.col("distance") <= max_distance))
     return (out.withColumn("trace", F.col("__trace")) if return_original_intensities else out).drop("__trace", "norm")
@@ -150,11 +153,11 @@ def simple_lookup(spots: DataFrame, code_cells: DataFrame) -> DataFrame:
     return spots.join(_spread(book), ["r", "c"], "left")
 
 
-def metric_distance(spots: DataFrame, codes: DataFrame, rounds: int, channels: int, max_distance: float, min_intensity: float, norm_order: float = 2, metric: str = "euclidean", trace_building_strategy: str = "exact_match", anchor_round: int = 1, search_radius: float = 3, return_original_intensities: bool = False, ticks: DataFrame | None = None) -> DataFrame:
+def metric_distance(spots: DataFrame, codes: DataFrame, rounds: int, channels: int, max_distance: float, min_intensity: float, norm_order: float = 2, metric: str = "euclidean", trace_building_strategy: str = "exact_match", anchor_round: int = 1, search_radius: float = 3, return_original_intensities: bool = False, ticks: DataFrame | None = None, even_zeros: bool = True) -> DataFrame:
     """Spots to traces to decoded features, with physical coordinates if ticks are given."""
     traces = build_traces(spots, trace_building_strategy, rounds, channels, anchor_round=anchor_round, search_radius=search_radius)
     traces = traces if ticks is None else physical_coords(traces, ticks)
-    return decode_metric(traces, codes, rounds * channels, max_distance, min_intensity, norm_order, metric, return_original_intensities)
+    return decode_metric(traces, codes, rounds * channels, max_distance, min_intensity, norm_order, metric, return_original_intensities, even_zeros)
 
 
 def per_round_max_channel(spots: DataFrame, codes: DataFrame, rounds: int, channels: int, trace_building_strategy: str = "exact_match", anchor_round: int = 1, search_radius: float = 3, ticks: DataFrame | None = None) -> DataFrame:
