@@ -54,9 +54,20 @@ def label_components_sql(image: DataFrame, connectivity: int = 2) -> DataFrame:
     return rooted.join(first, ["fov", "n"]).select(*PLACE, "code", "label")
 
 
-def mean_pixel_traces(decoded: DataFrame, labels: DataFrame) -> DataFrame:
-    """(fov, label, trace, distance): means over each component's pixels, cell by cell."""
+def mean_pixel_traces(decoded: DataFrame, labels: DataFrame, ordered: bool = True) -> DataFrame:
+    """(fov, label, trace, distance): means over each component's pixels, cell by cell.
+
+    ordered: sums go by z, y, x, so that the same pixels give the same digits in every run; a
+    component's pixels meet in one task. Otherwise sums are partly aggregated before the shuffle.
+    """
     both = labels.select(*PLACE, "label").join(decoded, list(PLACE))
+    if ordered:
+        held = both.where("size(trace) > 0").groupBy("fov", "label").agg(F.array_sort(F.collect_list(F.struct("z", "y", "x", "trace", "distance"))).alias("p"))
+        known = lambda a: F.filter(a, lambda v: v.isNotNull())
+        mean = lambda a: F.try_divide(F.aggregate(known(a), F.lit(0.0), lambda s, v: s + v), F.size(known(a)))
+        cell = lambda i: mean(F.transform("p", lambda e: F.get(e["trace"], i)))
+        last = F.array_max(F.transform("p", lambda e: F.size(e["trace"]))) - 1
+        return held.select("fov", "label", F.transform(F.sequence(F.lit(0), last), cell).alias("trace"), mean(F.col("p")["distance"]).alias("distance"))
     cells = both.select("fov", "label", "distance", F.posexplode("trace").alias("i", "v"))
     means = cells.groupBy("fov", "label", "i").agg(F.avg("v").alias("v"), F.avg("distance").alias("distance"))
     return means.groupBy("fov", "label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("trace"), F.first("distance").alias("distance"))
@@ -85,7 +96,7 @@ def combine_adjacent_features(decoded: DataFrame, min_area: int, max_area: int,
     codes = targets_map(decoded)
     image = decoded_image(decoded, codes, mask_filtered_features)
     labels = (label_components_sql if distributed else label_components)(image, connectivity)
-    spots = component_attributes(labels, image, codes, min_area, max_area).join(mean_pixel_traces(decoded, labels), ["fov", "label"])
+    spots = component_attributes(labels, image, codes, min_area, max_area).join(mean_pixel_traces(decoded, labels, not distributed), ["fov", "label"])
     return spots.select("fov", (F.col("label") - 1).cast("long").alias("feature_id"), "z", "y", "x", "radius", "area", "trace", "target", "distance", "passes_thresholds")
 
 
