@@ -60,7 +60,7 @@ def mean_pixel_traces(decoded: DataFrame, labels: DataFrame, ordered: bool = Tru
     ordered: sums go by z, y, x, so that the same pixels give the same digits in every run; a
     component's pixels meet in one task. Otherwise sums are partly aggregated before the shuffle.
     """
-    both = labels.select(*PLACE, "label").join(decoded, list(PLACE))
+    both = labels.select(*PLACE, "label").join(decoded.hint("merge"), list(PLACE))
     if ordered:
         held = both.where("size(trace) > 0").groupBy("fov", "label").agg(F.array_sort(F.collect_list(F.struct("z", "y", "x", "trace", "distance"))).alias("p"))
         known = lambda a: F.filter(a, lambda v: v.isNotNull())
@@ -83,11 +83,11 @@ def component_attributes(labels: DataFrame, image: DataFrame, codes: DataFrame,
     pix = image.where("code > 0").select("fov", F.col("z").alias("pz"), F.col("y").alias("py"), F.col("x").alias("px"), "code")
     # A box covers as many rows as it is high; its pixels join on the row.
     rows = box.select("fov", "label", "z_min", "z_max", "x_min", "x_max", F.explode(F.sequence("y_min", "y_max")).alias("py"))
-    hits = rows.join(pix, ["fov", "py"]).where("pz BETWEEN z_min AND z_max AND px BETWEEN x_min AND x_max").groupBy("fov", "label", "code").agg(F.count("*").alias("n"))
+    hits = rows.join(pix.hint("merge"), ["fov", "py"]).where("pz BETWEEN z_min AND z_max AND px BETWEEN x_min AND x_max").groupBy("fov", "label", "code").agg(F.count("*").alias("n"))
     mode = hits.groupBy("fov", "label").agg(F.min_by("code", F.struct(-F.col("n"), "code")).alias("code"))
     flat = F.col("z_min") == F.col("z_max")
     diameter = F.when(flat, F.sqrt(4 * F.col("area") / F.pi())).otherwise(F.cbrt(6 * F.col("area") / F.pi()))
-    out = box.join(mode, ["fov", "label"]).join(codes, "code")
+    out = box.join(mode.hint("merge"), ["fov", "label"]).join(F.broadcast(codes), "code")  # a row per target
     return out.withColumns({"radius": diameter / 2, "passes_thresholds": (F.col("area") >= min_area) & (F.col("area") < max_area)})
 
 
@@ -96,7 +96,7 @@ def combine_adjacent_features(decoded: DataFrame, min_area: int, max_area: int,
     codes = targets_map(decoded)
     image = decoded_image(decoded, codes, mask_filtered_features)
     labels = (label_components_sql if distributed else label_components)(image, connectivity)
-    spots = component_attributes(labels, image, codes, min_area, max_area).join(mean_pixel_traces(decoded, labels, not distributed), ["fov", "label"])
+    spots = component_attributes(labels, image, codes, min_area, max_area).join(mean_pixel_traces(decoded, labels, not distributed).hint("merge"), ["fov", "label"])
     return spots.select("fov", (F.col("label") - 1).cast("long").alias("feature_id"), "z", "y", "x", "radius", "area", "trace", "target", "distance", "passes_thresholds")
 
 
