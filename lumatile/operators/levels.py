@@ -21,7 +21,8 @@ def level(pixels: DataFrame, method: Levels = Levels.CLIP, chunk: tuple[str, ...
 
     The largest is that of the row's chunk, or of its field of view for the methods by image. The
     saturated methods divide only if it exceeds 1. An image of zeros stays one. The maximum is
-    aggregated before it is joined back, so that no chunk is gathered in one task.
+    aggregated before it is joined back, so that no chunk is gathered in one task; a left join can't
+    broadcast the pixels.
     """
     v = F.greatest(F.col(value), F.lit(0.0))
     if method is Levels.CLIP:
@@ -29,7 +30,7 @@ def level(pixels: DataFrame, method: Levels = Levels.CLIP, chunk: tuple[str, ...
     keys = ["fov"] if method in (Levels.SCALE_BY_IMAGE, Levels.SCALE_SATURATED_BY_IMAGE) else list(chunk)
     top = pixels.groupBy(*keys).agg(F.max(v).alias("__top"))
     divide = F.col("__top") > (1 if method.name.startswith("SCALE_SATURATED") else 0)
-    return pixels.join(top, keys).withColumn(value, F.when(divide, v / F.col("__top")).otherwise(v)).drop("__top").select(*pixels.columns)
+    return pixels.join(top, keys, "left").withColumn(value, F.when(divide, v / F.col("__top")).otherwise(v)).drop("__top").select(*pixels.columns)
 
 
 def preserve_float_range(pixels: DataFrame, rescale: bool = False, rescale_saturated: bool = False, value: str = "value") -> DataFrame:

@@ -30,7 +30,7 @@ def reduce(pixels: DataFrame, dims: tuple[str, ...], name: str = "max", *args, m
         from .select import positions
 
         at = positions(out, a).select("fov", F.col("label").alias(a), F.col("position").cast("int").alias("__p"))
-        out = out.join(at, ["fov", a]).withColumn(a, F.col("__p")).drop("__p")
+        out = out.join(at, ["fov", a], "left").withColumn(a, F.col("__p")).drop("__p")
     for a in dims:
         out = out.withColumn(a, F.lit(0))
     by_image = {Levels.SCALE_BY_CHUNK: Levels.SCALE_BY_IMAGE, Levels.SCALE_SATURATED_BY_CHUNK: Levels.SCALE_SATURATED_BY_IMAGE}

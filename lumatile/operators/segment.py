@@ -82,12 +82,12 @@ def watershed_segment(pixels: DataFrame, markers: DataFrame | None = None, mask:
     image = pixels.select("fov", "z", "y", "x", F.col("value").alias("value"))
     keys = ["fov", "z", "y", "x"]
     if markers is not None:
-        image = image.join(markers.groupBy(*keys).agg((F.max("mask_id") + 1).alias("marker")), keys, "left")
+        image = image.join(markers.groupBy(*keys).agg((F.max("mask_id") + 1).alias("marker")).hint("merge"), keys, "left")
     else:
         image = image.withColumn("marker", F.lit(0))
     inside = F.lit(True) if mask is None else F.col("in_mask").isNotNull()
     if mask is not None:
-        image = image.join(mask.select(*keys, F.lit(1).alias("in_mask")).distinct(), keys, "left")
+        image = image.join(mask.select(*keys, F.lit(1).alias("in_mask")).distinct().hint("merge"), keys, "left")
     rows = image.select(*keys, "value", F.coalesce("marker", F.lit(0)).cast("int").alias("marker"), inside.alias("inside"))
     given = markers is not None
 

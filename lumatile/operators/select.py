@@ -166,7 +166,7 @@ def area_filter(mask_pixels: DataFrame, min_area: int | None = None, max_area: i
         raise ValueError("min_area exceeds max_area")
     area = mask_pixels.groupBy("fov", "mask_id").agg(F.count("*").alias("__area"))
     keep = area.where(_condition(F.col("__area"), (min_area, max_area), True))
-    return mask_pixels.join(keep.drop("__area"), ["fov", "mask_id"], "left_semi")
+    return mask_pixels.join(keep.drop("__area").hint("merge"), ["fov", "mask_id"], "left_semi")
 
 
 def passing(decoded: DataFrame) -> DataFrame:
