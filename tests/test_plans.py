@@ -29,7 +29,7 @@ def broadcast(plan: str) -> list[str]:
     return found
 
 
-@pytest.mark.parametrize("name", ["ag1_assign_targets", "ag2_expression_long", "ag2_cells", "ag2_expression_matrix", "fs4_measure_at_spots", "fs5_measure_max", "mo7_simple_merge", "mo6_logical_and", "ag4_concatenate_expression", "px7_planted_squares", "mo9_planted_cells"])
+@pytest.mark.parametrize("name", ["ag1_assign_targets", "ag2_expression_long", "ag2_cells", "ag2_expression_matrix", "fs4_measure_at_spots", "fs5_measure_max", "fs5_measure_mean", "mo7_simple_merge", "mo6_logical_and", "ag4_concatenate_expression", "px7_planted_squares", "mo9_planted_cells"])
 def test_what_is_spread_is_not_broadcast(spark, name):
     plan = relational.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Generate" in plan
