@@ -10,13 +10,16 @@ from pyspark.sql import functions as F
 from .graph import cut
 
 
-def assign_targets(decoded: DataFrame, mask_pixels: DataFrame, use_z: bool = True) -> DataFrame:
+def assign_targets(decoded: DataFrame, mask_pixels: DataFrame, use_z: bool = True, fields: DataFrame | None = None) -> DataFrame:
     """decoded features with cell_id, the name of the last mask that holds their pixel; NULL outside all masks.
 
     Pixel of a feature: its coordinates rounded down. An equi-join on the pixel after one mask per
     pixel is chosen, so masks never multiply features. The pixels are shuffled: estimates of their size
-    don't count what masks are spread to, and they would be broadcast.
+    don't count what masks are spread to, and they would be broadcast. fields: decoded's fields of view (fov),
+    if they are cheaper to get than pixels to shuffle; masks elsewhere are left out where they are.
     """
+    if fields is not None:
+        mask_pixels = mask_pixels.join(F.broadcast(fields.select("fov").distinct()), "fov", "left_semi")  # a row per field of view
     at = ["fov", *(("z",) if use_z else ()), "y", "x"]
     top = mask_pixels.groupBy(*at).agg(F.max("mask_id").alias("__mask")).select(*(F.col(a).alias(f"__{a}") for a in at), "__mask")
     cond = [decoded["fov"] == top["__fov"]] + [F.floor(decoded[a]).cast("int") == top[f"__{a}"] for a in at[1:]]
@@ -37,9 +40,15 @@ def cells(decoded: DataFrame) -> DataFrame:
 
 
 def expression_matrix(decoded: DataFrame, genes: list[str] | None = None) -> DataFrame:
-    """The wide matrix, a column per gene, 0 where a cell has none. genes: the columns, which saves a pass to find them."""
-    counts = expression_long(decoded)
-    wide = counts.groupBy("cell_id").pivot("gene", genes).agg(F.sum("n"))
+    """The wide matrix, a column per gene, 0 where a cell has none. genes: the columns, which saves a pass to find them.
+
+    With genes, decoded is read once: features without a target are counted too, for the rows of cells that have no others.
+    """
+    if genes is not None:
+        cell = F.coalesce("cell_id", F.lit("unassigned")).alias("cell_id")
+        counts = decoded.groupBy(cell, F.col("target").alias("gene")).agg(F.count("*").alias("n"))
+        return counts.groupBy("cell_id").pivot("gene", genes).agg(F.sum("n")).na.fill(0)
+    wide = expression_long(decoded).groupBy("cell_id").pivot("gene").agg(F.sum("n"))
     every = decoded.select(F.coalesce("cell_id", F.lit("unassigned")).alias("cell_id")).distinct()
     return every.join(wide.hint("merge"), "cell_id", "left").na.fill(0)
 

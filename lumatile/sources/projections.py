@@ -66,8 +66,11 @@ def spots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def masks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """mask_pixels: a rectangle for each part, MASK_KEYS of them, which may overlap, in a field of view of 64 x 64."""
-    p = table(spark, sf_dir, "part")
+    """mask_pixels: a rectangle for each part, MASK_KEYS of them, which may overlap, in a field of view of 64 x 64.
+
+    Parts are dealt out before they are spread: a small file of them, in few tasks, makes a hundred times as many rows.
+    """
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_size").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey")
     y0, x0 = F.pmod(F.col("p_partkey") * 13, F.lit(48)), F.pmod(F.col("p_partkey") * 29, F.lit(48))
     size = F.col("p_size") % 12 + 4
     return p.select(
