@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.registry import reducer
+from ..functions.registry import ALIASES, reducer
 from ..schema import SPOT_FIELDS, require
 from .spatial import box_join
 
@@ -20,6 +20,15 @@ def _boxes(spots: DataFrame, radius_is_gyration: bool) -> DataFrame:
     return out
 
 
+def _measured(measurement: str) -> Column:
+    """The reducer over value. Means don't hang on the order of rows: a value's multiple of 2^-30 and its rest are summed apart, the former exactly up to sums of 2^23."""
+    v = F.col("value").cast("double")
+    if ALIASES.get(measurement, measurement) != "mean":
+        return reducer(measurement)(F.col("value"))
+    high = F.rint(v * 2.0**30) / 2.0**30
+    return F.try_divide(F.sum(high) + F.sum(F.when(high == v, 0.0).otherwise(v - high)), F.count(v))
+
+
 def measure_at_spots(spots: DataFrame, pixels: DataFrame, measurement: str = "max", radius_is_gyration: bool = False) -> DataFrame:
     """spots with intensity, measured over their box in an image of one round and channel; NULL if the box lies outside.
 
@@ -27,7 +36,7 @@ def measure_at_spots(spots: DataFrame, pixels: DataFrame, measurement: str = "ma
     """
     boxes = _boxes(spots, radius_is_gyration)
     hits = box_join(boxes.select("fov", "spot_id", *(f"{a}_{m}" for a in ("z", "y", "x") for m in ("min", "max"))), pixels.select("fov", "z", "y", "x", "value"))
-    found = hits.groupBy("fov", "spot_id").agg(reducer(measurement)(F.col("value")).alias("intensity"))
+    found = hits.groupBy("fov", "spot_id").agg(_measured(measurement).alias("intensity"))
     return boxes.drop("intensity").join(found.hint("merge"), ["fov", "spot_id"], "left")
 
 
@@ -35,7 +44,7 @@ def measure_across_imagestack(spots: DataFrame, pixels: DataFrame, measurement:
     """Reference spots measured in every round and channel: fov, spot_id, place, r, c, intensity."""
     boxes = _boxes(spots.drop("r", "c", "intensity"), radius_is_gyration)
     hits = box_join(boxes.select("fov", "spot_id", *(f"{a}_{m}" for a in ("z", "y", "x") for m in ("min", "max"))), pixels)
-    found = hits.groupBy("fov", "spot_id", "r", "c").agg(reducer(measurement)(F.col("value")).alias("intensity"))
+    found = hits.groupBy("fov", "spot_id", "r", "c").agg(_measured(measurement).alias("intensity"))
     return boxes.join(found.hint("merge"), ["fov", "spot_id"])
 
 
