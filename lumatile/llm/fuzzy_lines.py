@@ -38,6 +38,12 @@ LANES, WIDE, TABLE = 32768, 64, 1 << 21
 COMPARED = 32 << 20
 #: 64-bit words of the bitmap of lines that have candidates (2 MB).
 SLOTS = 1 << 18
+#: Characters of the grams that similar lines must share, and cells of the histograms in which they are counted.
+SHARED, CELLS = 3, 1 << 14
+#: Characters of texts whose grams are looked up at once, and bits of the number of cells of their table (1 MB of blocks of places).
+LOOKED, PLACES = 1 << 15, 17
+#: Characters of a piece by which two texts are aligned.
+PIECE = 8
 #: Words that are added in one go.
 LANE = 255
 #: Bits of the five blocks; a key is a pair of them.
@@ -134,8 +140,7 @@ def _differing(a: bytes, b: bytes, least: float) -> bool | tuple[str, str, int]:
     allowed = int((1 - least) * longer + 1e-9)
     if abs(len(x) - len(y)) > allowed:
         return False
-    v, w = a.split(), b.split()
-    if len(v) == len(w) and sum(max(len(p), len(q)) for p, q in zip(v, w, strict=True) if p != q) <= allowed:
+    if a.count(b" ") == b.count(b" ") and len(v := a.split()) == len(w := b.split()) and sum(max(len(p), len(q)) for p, q in zip(v, w, strict=True) if p != q) <= allowed:
         return True  # rewriting the words that differ is enough
     head = _common(x, y)
     x, y = x[head:], y[head:]
@@ -161,7 +166,16 @@ def all_similar(x: list[bytes], y: list[bytes], least: float = SIMILARITY) -> np
         else:
             parts.append(found)
             at.append(i)
+    may = []
+    for i in np.flatnonzero(_in_place(parts)).tolist():
+        if _aligned(*parts[i]):
+            ok[at[i]] = True
+        else:
+            may.append(i)
+    parts, at = [parts[i] for i in may], [at[i] for i in may]
     words = np.array([-(-len(a) // 64) for a, _, _ in parts], np.int64)
+    step = np.maximum(1, 1 << np.maximum(np.log2(np.maximum(words, 1)).astype(np.int64) - 2, 0))
+    words = -(-words // step) * step  # texts of more than 8 words are compared with others of up to a fifth more: few at once take as long as many
     order = np.lexsort((np.array([len(b) for _, b, _ in parts], np.int64), np.array([k // 8 for _, _, k in parts], np.int64), words))
     one = 0
     while one < len(order):
@@ -175,11 +189,112 @@ def all_similar(x: list[bytes], y: list[bytes], least: float = SIMILARITY) -> np
         elif len(own) < 8:  # these few are faster one by one
             ok[where] = [edit_distance(*o) <= o[2] for o in own]
         else:
-            ok[where] = _within(own)
+            ok[where] = _within([(a + end, b + end, k) for a, b, k in own for end in ("\0" * (64 * wide - 63 - len(a)),)])  # the same end leaves their distance as it is
         one = stop
     return ok
 
 
+def _aligned(a: str, b: str, most: int) -> bool:
+    """Whether it takes `most` edits at most to rewrite all that is between pieces that the texts share. If not, they may be within the edits all the same."""
+    rest, left = [(a, b)], most
+    while rest:
+        a, b = rest.pop()
+        if len(a) < len(b):
+            a, b = b, a
+        if len(a) - len(b) > left:
+            return False
+        if len(b) > PIECE:
+            for k in (4, 2, 6, 3, 5):  # a piece of the longer text, the middle one or one about it
+                at = k * (len(a) - PIECE) // 8
+                piece = a[at : at + PIECE]
+                if (to := b.find(piece, max(0, at - left - 1), at + left + PIECE)) >= 0:
+                    head, tail = _common(a[:at][::-1], b[:to][::-1]), _common(a[at + PIECE :], b[to + PIECE :])
+                    rest += ((a[: at - head], b[: to - head]), (a[at + PIECE + tail :], b[to + PIECE + tail :]))
+                    break
+            else:
+                left -= len(a)
+        else:
+            left -= len(a)
+        if left < 0:
+            return False
+    return True
+
+
+def _in_place(pairs: list[tuple[str, str, int]]) -> np.ndarray:
+    """Which pairs (longer text, other text, edits allowed) share enough grams about the same places. Never wrong about pairs within the edits.
+
+    A gram that no edit touches is in the other text, moved by s places, which takes |s| edits before it and |d - s| after, d being
+    the difference of the lengths: so s is in a range of k places about d / 2, k being the edits. All other grams are touched;
+    an edit touches those that have its place, SHARED at most, so it takes as many as it takes places to meet all of them.
+    """
+    size = np.array([len(a) for a, _, _ in pairs], np.int64)
+    order = np.argsort(size, kind="stable")
+    part = np.cumsum(size[order]) // LOOKED
+    ok = np.zeros(len(pairs), bool)
+    for own in np.split(order, np.flatnonzero(np.diff(part)) + 1):
+        if len(own):
+            ok[own] = _in_place_at_once([pairs[i] for i in own.tolist()])
+    return ok
+
+
+def _places(texts: list[str], size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each character of the texts the cell of the gram that begins there, by hash of gram and text, and its place in its text."""
+    x = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    place = np.arange(len(x)) - np.repeat(np.cumsum(size) - size, size)
+    code = np.repeat(np.arange(len(size), dtype=np.uint32) * np.uint32(0x85EBCA6B), size)
+    for k, factor in enumerate((0x9E3779B1, 0xC2B2AE3D, 0x27D4EB2F)):  # those that reach into the next text only make more grams agree
+        code[: max(0, len(x) - k)] += x[k:] * np.uint32(factor)
+    code ^= code >> np.uint32(15)
+    code *= np.uint32(0x2C1B3C6D)
+    return (code >> np.uint32(32 - PLACES)).astype(np.intp), place
+
+
+def _touches() -> np.ndarray:
+    """By places already met (0 to SHARED - 1) and 16 bits for the grams that begin at as many places: how many places meet those set, times 4, and the places met beyond."""
+    bits = np.arange(1 << 16)
+    out = np.zeros((SHARED, 1 << 16), np.uint8)
+    for state in range(SHARED):
+        met, count = np.full(1 << 16, state), np.zeros(1 << 16, np.int64)
+        for k in range(16):
+            new = (bits >> k & 1 == 1) & (met == 0)
+            count += new
+            met = np.where(new, SHARED - 1, np.maximum(met - 1, 0))
+        out[state] = count * 4 + met
+    return out.ravel()
+
+
+_TOUCHES = _touches()
+
+
+def _in_place_at_once(pairs: list[tuple[str, str, int]]) -> np.ndarray:
+    """_in_place() of pairs in order of the longer text's length."""
+    m, n, most = (np.array(v, np.int64) for v in ([len(a) for a, _, _ in pairs], [len(b) for _, b, _ in pairs], [k for _, _, k in pairs]))
+    shift = np.ceil(np.log2(np.maximum(m, 64) / 64)).astype(np.int64)  # a text has up to 64 blocks of so many bits of places
+    cell, place = _places([b for _, b, _ in pairs], n)
+    table = np.zeros(1 << PLACES, np.int64)
+    np.bitwise_or.at(table, cell, 1 << (place >> np.repeat(shift, n)))
+    cell, place = _places([a for a, _, _ in pairs], m)
+    by = np.repeat(shift, m)
+    low = np.maximum(place - np.repeat((most + m - n) // 2, m), 0) >> by
+    high = np.minimum((place + np.repeat((most - m + n) // 2, m)) >> by, 63)
+    moved = (table[cell] & (2 << high) - (1 << low)) == 0
+    ends = np.cumsum(m)
+    for k in range(1, SHARED):
+        moved[ends - k] = False  # no gram begins there
+    words = -(-m // 16)
+    first = np.cumsum(words) - words
+    bits = np.zeros(16 * int(words.sum()), bool)
+    bits[place + np.repeat(16 * first, m)] = moved
+    bits = np.packbits(bits, bitorder="little").view("<u2").astype(np.intp)
+    count, met = np.zeros(len(m), np.int64), np.zeros(len(m), np.int64)
+    for k in range(int(words.max(initial=0))):
+        at = int(np.searchsorted(words, k, "right"))  # those before it have ended
+        found = _TOUCHES[(met[at:] << 16) + bits[first[at:] + k]]
+        count[at:] += found >> 2
+        met[at:] = found & 3
+    return count <= most
+
+
 def _codes(texts: list[str]) -> tuple[np.ndarray, int]:
     """The texts' characters one after the other, as numbers from 0 in place of the characters, and how many differ."""
     x = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -200,8 +315,9 @@ def _columns(codes: np.ndarray, size: np.ndarray, fill: int) -> np.ndarray:
 def _within(pairs: list[tuple[str, str, int]]) -> np.ndarray:
     """Which pairs (longer text, other text, edits allowed) are within the edits; the longer texts take equally many words of 64 characters.
 
-    As edit_distance(), for all pairs at once, and only in the words that the band of `allowed` cells beside the diagonal
-    touches: no cell outside it is on a path of so few edits. Distances there count as one more for each step, which is never too little.
+    As edit_distance(), for all pairs at once, and only in the words that a band of `allowed` cells about the middle of the first
+    and the last diagonal touches: no cell outside it is on a path of so few edits (see _in_place). Distances there count as one
+    more for each step, which is never too little.
     """
     a, b, most = ([p[k] for p in pairs] for k in range(3))
     codes, kinds = _codes(a + b)
@@ -220,7 +336,7 @@ def _within(pairs: list[tuple[str, str, int]]) -> np.ndarray:
     plus, minus = np.full((words, many), MASK, np.uint64), np.zeros((words, many), np.uint64)
     bit = ((m - 1) % 64).astype(np.uint64)
     word = np.arange(words)[:, None] * many
-    band, lo, hi = int(most.max()), 0, -1
+    before, beyond, lo, hi = int((most - m + n).max()) // 2, int((most + m - n).max()) // 2, 0, -1
     score = np.zeros(many, np.int64)  # distance at the end of word hi, or at the longer text's end if that is in it
     for j in range(len(columns) + 1):
         if j and (j % 32 == 0 or j == len(columns)):  # those settled leave
@@ -241,8 +357,8 @@ def _within(pairs: list[tuple[str, str, int]]) -> np.ndarray:
                 break
             if not stay.all():
                 live, plus, minus, score, bit, m, n, most = live[stay], plus[:, stay], minus[:, stay], score[stay], bit[stay], m[stay], n[stay], most[stay]
-        lo = max(0, (j - band) // 64)
-        while hi < min(words - 1, (j + band) // 64):
+        lo = max(0, (j - before) // 64)
+        while hi < min(words - 1, (j + beyond) // 64):
             hi += 1
             score += 64 if hi < words - 1 else (m - 1) % 64 + 1
         p, q = plus[lo : hi + 1], minus[lo : hi + 1]
@@ -572,10 +688,6 @@ def _cleanup(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(CLEANUP, before)
 
 
-#: Characters of the grams that similar lines must share, and cells of the histograms in which they are counted.
-SHARED, CELLS = 3, 1 << 14
-
-
 def _grams_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Histograms (lines, CELLS) of the lines' grams by hash, and the lines' lengths in characters."""
     size = np.fromiter(map(len, texts), np.int64, len(texts))
@@ -658,12 +770,21 @@ def _compare(least: float):
         under[line, k.view(np.uint64) >> np.uint64(BAND)] = k
         order = np.lexsort((h, key))
         cuts = np.concatenate(([0], np.flatnonzero(np.diff(key[order])) + 1, [len(key)]))
+        few, waiting = [], 0  # pairs of keys that have few of them
+
+        def flush():
+            if few:
+                u, v = (np.concatenate(p) for p in zip(*few, strict=True))
+                ok = all_similar(norm.take(pa.array(u)).to_pylist(), norm.take(pa.array(v)).to_pylist(), least)
+                yield pa.RecordBatch.from_arrays([pa.array(h[u[ok]]), pa.array(h[v[ok]])], names=["u", "v"])
+                few.clear()
+
         for a, stop in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             at, n = order[a:stop], stop - a
             values, own = np.unique(label[at], return_inverse=True)
             if len(values) < 2:
                 continue
-            texts = norm.take(pa.array(at)).to_pylist()
+            texts = None
             root, f, s, before = np.arange(len(values)), fp[at], side[at], under[at, : band[at[0]]]
             for i in range(0, n, step := max(1, PAIRS // n)):
                 fits = _lengths_fit(f[i : i + step, None], f[None, :], least) & ((s[i : i + step, None] < 0) | (s[i : i + step, None] != s[None, :]))
@@ -671,6 +792,14 @@ def _compare(least: float):
                 x += i
                 new = ~((before[x] == before[y]) & (before[x] != 0)).any(axis=1)
                 x, y = x[new], y[new]
+                if step >= n and len(x) <= TOGETHER:
+                    few.append((at[x], at[y]))
+                    waiting += len(x)
+                    if waiting >= TOGETHER:
+                        yield from flush()
+                        waiting = 0
+                    continue
+                texts = texts or norm.take(pa.array(at)).to_pylist()
                 for c in range(0, len(x), TOGETHER):
                     u, v = x[c : c + TOGETHER], y[c : c + TOGETHER]
                     apart = root[own[u]] != root[own[v]]
@@ -681,6 +810,7 @@ def _compare(least: float):
                         if root[p] != root[q]:
                             root[root == root[q]] = root[p]
                     yield pa.RecordBatch.from_arrays([pa.array(h[at[u]]), pa.array(h[at[v]])], names=["u", "v"])
+        yield from flush()
 
     return run
 

@@ -960,6 +960,51 @@ def test_all_similar_lines_under_a_key_are_linked(spark, monkeypatch, often, blo
     assert len(set(alone)) == len(set(reached))
 
 
+def test_unlike_lines_are_told_apart_without_distances(monkeypatch):
+    """op9_fuzzy_lines: of unlike lines of the same syllables few take an edit distance, and none that is similar is lost."""
+    r = random.Random(51)
+    pieces = "the of and to in is that er ed ing tion ent sh th wh ou ly es re on an at en nd st ha he or nt hi as it ble".split()
+    line = lambda n: "".join(r.choice(pieces) + r.choice(["", "", " "]) for _ in range(n))
+    unlike = [(line(n), line(n + r.randint(0, n // 8))) for n in (30, 60, 120, 250) for _ in range(100)]
+    near = []
+    for a, _ in unlike:  # edits in one place, moved pieces and scattered edits, on both sides of the threshold
+        b, k = list(a), r.randint(1, len(a) // 4)
+        kind, at = r.randrange(4), r.randrange(len(b) - k)
+        if kind == 0:
+            del b[at : at + k]
+        elif kind == 1:
+            b[at:at] = line(k)[:k]
+        elif kind == 2:
+            b = b[k // 2 :] + b[: k // 2]
+        else:
+            for i in r.sample(range(len(b)), k):
+                b[i] = r.choice(["", "x", "\u00e9", b[i] + "y"])
+        near.append((a, "".join(b)))
+    both = [(a.encode(), b.encode()) for a, b in unlike + near]
+    exact = [fuzzy_lines.edit_distance(a, b) <= int(0.2 * max(len(a), len(b)) + 1e-9) for a, b in unlike + near]
+    assert 100 < sum(exact) < 400
+    for looked in (fuzzy_lines.LOOKED, 700):
+        monkeypatch.setattr(fuzzy_lines, "LOOKED", looked)
+        assert _edit_distances_agree(both).tolist() == exact
+    compared, within = [], fuzzy_lines._within
+    monkeypatch.setattr(fuzzy_lines, "_within", lambda pairs: (compared.extend(pairs), within(pairs))[1])
+    monkeypatch.setattr(fuzzy_lines, "edit_distance", lambda *p, f=fuzzy_lines.edit_distance: (compared.append(p), f(*p))[1])
+    fuzzy_lines.all_similar(*zip(*both[: len(unlike)], strict=True))
+    assert len(compared) < len(unlike) / 4, len(compared)
+
+
+def test_keys_of_few_lines_are_compared_together(monkeypatch):
+    """op9_fuzzy_lines: pairs of many small keys go to one comparison."""
+    lines = [b"%d the same line of several words, but for the end %d" % (i // 20, i % 20) for i in range(800)]
+    h = np.arange(800)
+    rows = pa.RecordBatch.from_arrays([pa.array(h // 20), pa.array(np.zeros(800, np.int32)), pa.array(h), pa.array(h), pa.nulls(800, pa.int32()), pa.array(np.full(800, 100)), pa.array([[int(k)] for k in h // 20], pa.list_(pa.int64())), pa.array(lines, pa.binary())], names=["key", "band", "h", "label", "side", "fp", "keys", "norm"])
+    calls, compare = [], fuzzy_lines.all_similar
+    monkeypatch.setattr(fuzzy_lines, "all_similar", lambda x, y, least: (calls.append(len(x)), compare(x, y, least))[1])
+    found = {p for b in fuzzy_lines._compare(0.8)(iter([rows])) for p in zip(*(c.to_pylist() for c in b.columns), strict=True)}
+    assert found == {(i, j) for i in range(800) for j in range(i + 1, i // 20 * 20 + 20)}
+    assert sum(calls) == 40 * 190 and len(calls) <= 2
+
+
 def test_packed_keys_are_all_keys():
     """What Spark moves holds each key of each line once, a bucket's in one row, in far fewer rows."""
     r = random.Random(33)
