@@ -40,8 +40,8 @@ COMPARED = 32 << 20
 SLOTS = 1 << 18
 #: Characters of the grams that similar lines must share, and cells of the histograms in which they are counted.
 SHARED, CELLS = 3, 1 << 14
-#: Characters of texts whose grams are looked up at once, and bits of the number of cells of their table (1 MB of blocks of places).
-LOOKED, PLACES = 1 << 15, 17
+#: Characters of texts whose grams are looked up at once, and bits of the number of cells of their table (256 KB of blocks of places).
+LOOKED, PLACES = 3 << 14, 16
 #: Characters of a piece by which two texts are aligned.
 PIECE = 8
 #: Words that are added in one go.
@@ -240,13 +240,15 @@ def _in_place(pairs: list[tuple[str, str, int]]) -> np.ndarray:
 def _places(texts: list[str], size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of each character of the texts the cell of the gram that begins there, by hash of gram and text, and its place in its text."""
     x = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    place = np.arange(len(x)) - np.repeat(np.cumsum(size) - size, size)
+    place = np.arange(len(x), dtype=np.int32)
+    place -= np.repeat((np.cumsum(size) - size).astype(np.int32), size)
     code = np.repeat(np.arange(len(size), dtype=np.uint32) * np.uint32(0x85EBCA6B), size)
     for k, factor in enumerate((0x9E3779B1, 0xC2B2AE3D, 0x27D4EB2F)):  # those that reach into the next text only make more grams agree
         code[: max(0, len(x) - k)] += x[k:] * np.uint32(factor)
     code ^= code >> np.uint32(15)
     code *= np.uint32(0x2C1B3C6D)
-    return (code >> np.uint32(32 - PLACES)).astype(np.intp), place
+    code >>= np.uint32(32 - PLACES)
+    return code.astype(np.intp), place
 
 
 def _touches() -> np.ndarray:
@@ -268,23 +270,32 @@ _TOUCHES = _touches()
 
 def _in_place_at_once(pairs: list[tuple[str, str, int]]) -> np.ndarray:
     """_in_place() of pairs in order of the longer text's length."""
-    m, n, most = (np.array(v, np.int64) for v in ([len(a) for a, _, _ in pairs], [len(b) for _, b, _ in pairs], [k for _, _, k in pairs]))
-    shift = np.ceil(np.log2(np.maximum(m, 64) / 64)).astype(np.int64)  # a text has up to 64 blocks of so many bits of places
+    m, n, most = (np.array(v, np.int32) for v in ([len(a) for a, _, _ in pairs], [len(b) for _, b, _ in pairs], [k for _, _, k in pairs]))
+    shift = np.ceil(np.log2(np.maximum(m, 32) / 32)).astype(np.int32)  # a text has up to 32 blocks of so many bits of places
     cell, place = _places([b for _, b, _ in pairs], n)
-    table = np.zeros(1 << PLACES, np.int64)
-    np.bitwise_or.at(table, cell, 1 << (place >> np.repeat(shift, n)))
+    table = np.zeros(1 << PLACES, np.uint32)
+    place >>= np.repeat(shift, n)
+    np.bitwise_or.at(table, cell, np.uint32(1) << place.view(np.uint32))
     cell, place = _places([a for a, _, _ in pairs], m)
     by = np.repeat(shift, m)
-    low = np.maximum(place - np.repeat((most + m - n) // 2, m), 0) >> by
-    high = np.minimum((place + np.repeat((most - m + n) // 2, m)) >> by, 63)
-    moved = (table[cell] & (2 << high) - (1 << low)) == 0
+    low = place - np.repeat((most + m - n) // 2, m)
+    np.maximum(low, 0, out=low)
+    low >>= by
+    high = place + np.repeat((most - m + n) // 2, m)
+    high >>= by
+    np.minimum(high, 31, out=high)
+    np.subtract(31, high, out=high)
+    near = np.uint32(0xFFFFFFFF) >> high.view(np.uint32)
+    near &= np.uint32(0xFFFFFFFF) << low.view(np.uint32)
+    near &= table[cell]
+    moved = near == 0
     ends = np.cumsum(m)
     for k in range(1, SHARED):
         moved[ends - k] = False  # no gram begins there
     words = -(-m // 16)
     first = np.cumsum(words) - words
     bits = np.zeros(16 * int(words.sum()), bool)
-    bits[place + np.repeat(16 * first, m)] = moved
+    bits[place + np.repeat((16 * first).astype(np.int32), m)] = moved
     bits = np.packbits(bits, bitorder="little").view("<u2").astype(np.intp)
     count, met = np.zeros(len(m), np.int64), np.zeros(len(m), np.int64)
     for k in range(int(words.max(initial=0))):
