@@ -680,8 +680,9 @@ def _bitmap(nodes: DataFrame) -> bytes:
     slot = F.col("node").bitwiseAND(F.lit((SLOTS << 6) - 1))
     bit = F.expr("shiftleft(1L, int(node & 63L))")
     out = np.zeros(SLOTS, np.uint64)
-    for r in nodes.groupBy(F.shiftright(slot, 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toLocalIterator():
-        out[r.word] = np.uint64(r.bits & (1 << 64) - 1)
+    # not by toLocalIterator(): its query ends before its rows are read, and _cleanup() deletes the shuffle that they come from
+    found = nodes.groupBy(F.shiftright(slot, 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    out[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
     return out.tobytes()
 
 

@@ -4,8 +4,10 @@ import hashlib
 import itertools
 import json
 import math
+import os
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -1018,6 +1020,29 @@ def test_packed_keys_are_all_keys():
     assert all((x[:, 0] % fuzzy_lines.BUCKETS == k).all() for k, x in packed)
 
 
+def test_bitmap_is_read_before_its_shuffle_goes(spark, tmp_path, monkeypatch):
+    """op9_fuzzy_lines: the nodes are worked out once, however slowly rows are fetched: their shuffle files are deleted when the query ends, not before."""
+
+    def seen(parts):
+        (tmp_path / hashlib.sha1(os.urandom(16)).hexdigest()).touch()
+        yield from parts
+
+    def slowly(self, *a, read=type(spark.range(0)).toLocalIterator, **more):
+        rows = read(self, *a, **more)
+        time.sleep(2)
+        return rows
+
+    monkeypatch.setattr(type(spark.range(0)), "toLocalIterator", slowly)
+    hashes = [xxhash.xxh3_64_intdigest(b"%d" % i) - (1 << 63) for i in range(3000)]
+    nodes = spark.createDataFrame([(h,) for h in hashes], "node long").repartition(3).mapInArrow(seen, "node long")
+    with fuzzy_lines._cleanup(spark):
+        found = np.frombuffer(fuzzy_lines._bitmap(nodes), np.uint8)
+        nothing = fuzzy_lines._bitmap(spark.range(0).withColumnRenamed("id", "node"))
+    on = np.flatnonzero(np.unpackbits(found, bitorder="little")).tolist()
+    assert on == sorted({h % (fuzzy_lines.SLOTS << 6) for h in hashes})
+    assert not any(nothing) and len(list(tmp_path.iterdir())) == 3
+
+
 def test_unlike_long_lines_rarely_share_a_band():
     """Few lines of the same sixty words share a band by chance; most lines with 5 % of their letters changed still do."""
     r = random.Random(41)
